@@ -16,7 +16,7 @@ from mnemos.llm.common import SPACE_CLASS, SPACES, UPPER, materialise, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-FEATURES = ("symbol_rate", "bang_rate", "upper_rate", "word_length", "repeat_rate", "distinct_rate", "dup_line_rate", "line_words")
+FEATURES = ("symbol_rate", "bang_rate", "upper_rate", "repeat_rate", "next_rate", "dup_line_rate")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -57,16 +57,16 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(_repeat_words(F.col("_h"), F.col("n_words")), F.lit(0)).cast("long"),
         "_n_lines": F.size("_lines"),
-        "_distinct": F.size(F.array_distinct("_w")),
+        "_next": F.size(F.filter(F.zip_with("_w", F.slice("_w", 2, F.greatest(F.size("_w"), F.lit(1))), lambda a, b: a == b), lambda same: same)),
         "_upper": F.length(body) - F.length(F.translate(body, UPPER, "")),
         "_bangs": F.length(body) - F.length(F.translate(body, "!", "")),
     })
     per_word, per_char = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     return out.withColumns({
-        "symbol_rate": F.col("n_symbols") / per_char, "bang_rate": F.col("_bangs") / per_word, "upper_rate": F.col("_upper") / per_char, "word_length": F.col("word_chars") / per_word,
-        "repeat_rate": F.col("n_repeat_words") / per_word, "distinct_rate": F.col("_distinct") / per_word,
-        "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)), "line_words": F.col("n_words") / F.greatest(F.col("_n_lines"), F.lit(1)),
-    }).drop("_w", "_h", "_lines", "_n_lines", "_distinct", "_upper", "_bangs")
+        "symbol_rate": F.col("n_symbols") / per_char, "bang_rate": F.col("_bangs") / per_word, "upper_rate": F.col("_upper") / per_char,
+        "repeat_rate": F.col("n_repeat_words") / per_word, "next_rate": F.col("_next") / per_word,
+        "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
+    }).drop("_w", "_h", "_lines", "_n_lines", "_next", "_upper", "_bangs")
 
 
 def base_failed() -> Column:

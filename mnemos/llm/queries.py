@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mnemos.llm import licenses, quality_rules, url_filter
-from mnemos.llm.common import table
+from mnemos.llm import bpe_trie, decontaminate, licenses, packing, quality_crf, quality_rules, simhash, token_counts, toxicity, url_filter
+from mnemos.llm.common import fold, table
 
 #: Fixed values of the contract.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -23,6 +24,48 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), pad_id=49407)
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_crf.train(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    scored = quality_crf.score_documents(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_trie.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), arrays=False)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -30,6 +73,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1,
     "op2_quality_rules": op2,
+    "op3_token_packing": op3,
+    "op4_quality_crf": op4,
+    "op5_bpe_trie": op5,
+    "op6_decontamination": op6,
+    "op7_toxicity": op7,
+    "op8_simhash": op8,
+    "op9_token_counts": op9,
     "op10_license_scan": op10,
 }
 
@@ -80,5 +130,17 @@ best AS (SELECT doc_id, r, i, max(dice) AS dice, arg_min(name, (-dice, k)) AS na
 by_doc AS (SELECT r, arg_min(name, (-dice, i)) AS license, round(max(dice), 6) AS dice, arg_min(i, (-dice, i)) AS line, count(*) AS n_matches, array_to_string(list_sort(list(DISTINCT name)), ',') AS licenses FROM best GROUP BY r)
 SELECT c.doc_id, b.license, CAST(coalesce(b.dice, 0.0) AS DOUBLE) AS dice, CAST(b.line AS BIGINT) AS line, coalesce(b.n_matches, 0) AS n_matches, coalesce(b.licenses, '') AS licenses
 FROM clean c LEFT JOIN by_doc b USING (r)
+""",
+    "op6_decontamination": r"""
+WITH doc_words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item_words AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+doc_windows AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT r, w, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i FROM doc_words, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+found AS (SELECT d.r, d.i, d.k, x.item FROM doc_windows d JOIN windows x ON x.win = d.win AND x.k = d.k),
+hits AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + k)) AS j FROM found) GROUP BY r),
+items AS (SELECT r, list_sort(list(DISTINCT item)) AS ids FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """,
 }
