@@ -111,7 +111,7 @@ class CoveringConfig:
     """max_rows bounds the labelled sample (by hash of the id) that the list is learned from, whatever the input."""
 
     max_rows: int = 20_000
-    bins: int = 48
+    bins: int = 40
     max_rules: int = 8
     max_conditions: int = 3
     least_precision: float = 0.9
@@ -138,9 +138,10 @@ def learn_decision_list(stats: DataFrame, label: str = "quality", config: Coveri
     the condition of most FOIL gain on the grow fold, loses trailing conditions while the prune fold's (p - n)/(p + n)
     doesn't fall, and is taken if precise there; what it covers is set aside for the next.
     """
-    cuts_at = [i / config.bins for i in range(1, config.bins)]
-    row = stats.agg(*(F.percentile_approx(f, cuts_at, 10_000).alias(f) for f in FEATURES)).first()
-    cuts = {f: sorted(set(row[f] or ())) for f in FEATURES}
+    # thresholds are quantiles within either class, so that a kind of few documents has some of its own
+    at, bad = [(i + 0.5) / config.bins for i in range(config.bins)], F.col(label) == 0
+    row = stats.agg(*(F.percentile_approx(F.when(bad == of, F.col(f)), at, 10_000).alias(f"{f}_{of}") for f in FEATURES for of in (True, False))).first()
+    cuts = {f: sorted({*(row[f"{f}_True"] or ()), *(row[f"{f}_False"] or ())}) for f in FEATURES}
     binned = stats.select(
         (F.col(label) == 0).alias("_bad"), (F.pmod(F.xxhash64(F.col(doc_id), F.lit(5)), F.lit(3)) == 0).alias("_prune"),
         *(_bin(F.col(f), cuts[f]).alias(f) for f in FEATURES),
