@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,12 +165,11 @@ class Trie:
 class Encoder:
     """Texts to ids, chunk by chunk: no word crosses white space, so equal chunks have equal ids wherever they stand."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, forms: tuple[str, ...] = ("decimal", "text")) -> None:
         self.v = Vocabulary(path)
         self.words: dict[str, list[int]] = {}
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
-        self.packed: dict[str, bytes] = {}
+        # what is kept of a chunk: its ids in decimal, its decoded text, or its ids as little-endian 32-bit integers
+        self.kept: dict[str, dict] = {f: {} for f in forms}
         self.table = str.maketrans({chr(b): x for b, x in enumerate(self.v.symbols)})
 
     def chunks(self, text: str | None) -> list[str]:
@@ -198,52 +198,43 @@ class Encoder:
         """A word in byte-level symbols; printable ASCII stands for itself."""
         return w if w.isascii() and w.isprintable() else w.encode("utf-8", "replace").decode("latin-1").translate(self.table)
 
-    def learn(self, chunks: set[str], packed: bool = False) -> None:
+    def learn(self, chunks: set[str]) -> None:
         """Keeps the encodings of chunks not seen yet; their words that aren't known go into one trie."""
-        v = self.v
-        done = self.packed if packed else self.ids
+        v, known = self.v, self.words
+        done = next(iter(self.kept.values()))
         if len(done) > MAX_KEPT:
-            done.clear()
-            self.text.clear()
-        if len(self.words) > MAX_KEPT:
-            self.words.clear()
+            for d in self.kept.values():
+                d.clear()
+        if len(known) > MAX_KEPT:
+            known.clear()
         new = chunks.difference(done)
         of = {c: [self._word(w) for w in v.word.findall(c)] for c in new if c not in v.special}
-        known = self.words
         known.update(Trie({w for ws in of.values() for w in ws}.difference(known)).encode(v))
+        forms = [(self.kept[f], join, part) for f, join, part in (("decimal", " ".join, v.decimal), ("text", " ".join, v.tokens), ("packed", b"".join, v.raw)) if f in self.kept]
         for c in new:
             ids = [v.special[c]] if c in v.special else known[of[c][0]] if len(of[c]) == 1 else [i for w in of[c] for i in known[w]]
-            if packed:
-                self.packed[c] = b"".join([v.raw[i] for i in ids])
-            else:
-                self.ids[c] = " ".join([v.decimal[i] for i in ids])
-                self.text[c] = " ".join([v.tokens[i] for i in ids])
+            for d, join, part in forms:
+                d[c] = join([part[i] for i in ids])
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
-        """The ids, in decimal, and the decoded text of each text, both joined by spaces."""
+    def encode(self, texts: list[str | None]) -> Iterator[tuple]:
+        """What the encoder's forms are of each text."""
         split = [self.chunks(t) for t in texts]
         gc.disable()  # the caches hold no cycles; walking them again and again is most of a collection's work
         self.learn(set().union(*split))
         gc.enable()
+        forms = [(b"" if f == "packed" else " ", d.__getitem__) for f, d in self.kept.items()]
         for c in split:
-            yield " ".join(map(self.ids.__getitem__, c)), " ".join(map(self.text.__getitem__, c))
-
-    def encode_packed(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split = [self.chunks(t) for t in texts]
-        self.learn(set().union(*split), packed=True)
-        for c in split:
-            yield b"".join(map(self.packed.__getitem__, c))
+            yield tuple(between.join(map(get, c)) for between, get in forms)
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, use: str = "text") -> Encoder:
+def encoder(path: str, *forms: str) -> Encoder:
     """One for each worker process, kept between tasks."""
-    if (path, use) not in _encoders:
-        _encoders[path, use] = Encoder(path)
-    return _encoders[path, use]
+    if (path, forms) not in _encoders:
+        _encoders[path, forms] = Encoder(path, forms)
+    return _encoders[path, forms]
 
 
 def decode(ids: list[int], v: Vocabulary) -> str:
@@ -259,13 +250,17 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     keep = [doc_id] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, "packed" if arrays else "decimal", "text")
         for whole in batches:
             for b in by_bytes(whole, 0, 2 << 20):
                 ids, decoded = map(list, zip(*e.encode(b.column(0).to_pylist())))
-                counts = pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())
-                out = pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32())) if arrays else pa.array(ids)
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], counts, out, pa.array(decoded)], names=[*(f"c{i}" for i in range(len(keep))), "n_tokens", "ids", "decoded"])
+                if arrays:
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                    counts = pa.array(np.diff(ends), pa.int64())
+                else:
+                    out, counts = pa.array(ids, pa.string()), pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], counts, out, pa.array(decoded, pa.string())], names=[*(f"c{i}" for i in range(len(keep))), "n_tokens", "ids", "decoded"])
 
     kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     out = docs.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))

@@ -119,7 +119,7 @@ def pack_documents(docs: DataFrame, path: str, pad_id: int, row: int = ROW_TOKEN
         size = 0
         for whole in batches:
             for b in by_bytes(whole, 1, 2 << 20):
-                for d, raw in zip(b.column(0).to_pylist(), e.encode_packed(b.column(1).to_pylist())):
+                for d, (raw,) in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist())):
                     ids = np.frombuffer(raw, dtype="<u4").astype("<u2")
                     held.extend(split_long(d, ids, row))
                     size += len(ids)
