@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemos.plans import encode_queries, graph_queries, objective_queries, replay_queries, scalar_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in (scalar_queries, graph_queries, objective_queries, replay_queries, encode_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """Conversations to packets to vectors, their closest traces, and the traces' responsibilities."""
+    return encode_queries.flagship(spark, sf_dir)
