@@ -11,7 +11,7 @@ from __future__ import annotations
 import gc
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from mnemos.llm.common import by_bytes
 
-#: Chunks of text, and words, whose encodings a worker keeps; beyond that it starts anew. Only speed depends on it.
-MAX_KEPT = 500_000
+#: Chunks of text whose encodings a worker keeps, and pairs of tokens whose fit it remembers; beyond that it starts
+#: anew. Only speed and memory depend on them: about 0.4 kB a chunk and form, 0.15 kB a pair.
+MAX_KEPT = 250_000
+MAX_PAIRS = 400_000
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the tokenizer
 
 
@@ -69,7 +71,7 @@ class Vocabulary:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.space = regex.compile(r"[\x09-\x0d\x20\x85\xa0  -     　]+")
         self.symbols = byte_symbols()
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.known: dict[tuple[int, int], bool] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the symbols of token a and token b gives just these two tokens.
@@ -77,9 +79,6 @@ class Vocabulary:
         Undoes their merges, latest first. A merge across the border that comes earlier than all undone so far (at the
         same rank, the leftmost goes first) would have been made instead.
         """
-        known = self._fits.get((a, b))
-        if known is not None:
-            return known
         x, y, limit, rank, pair = a, b, 1 << 60, self.rank, self.pair
         while True:
             r = pair.get((x, y))
@@ -93,9 +92,9 @@ class Vocabulary:
             else:
                 out = True
                 break
-        if len(self._fits) > 2_000_000:
-            self._fits.clear()
-        self._fits[a, b] = out
+        if len(self.known) > MAX_PAIRS:
+            self.known.clear()
+        self.known[a, b] = out
         return out
 
 
@@ -124,35 +123,44 @@ class Trie:
         last: list[int] = [-1]  # the last token of each prefix on the way down, and its length
         size: list[int] = [0]
 
-        def step(text: str, n: int, table: dict[str, int]) -> None:
+        known = v.known  # of pairs tested before
+
+        def step(text: str, n: int, get: Callable[[str], int | None]) -> None:
             """Pushes the last token of the first n symbols: the only one of those that end there that fits."""
             could = []
             for k in range(n - 1, -1, -1):
-                t = table.get(text[k:n])
+                t = get(text[k:n])
                 if t is None:
                     break
                 if t >= 0:
-                    could.append((t, n - k))
+                    could.append((t, k))
             while could:
                 t, k = could.pop()
-                if k == n or fits(last[n - k], t):
-                    last.append(t)
-                    size.append(k)
-                    return
+                if k:
+                    before = last[k]
+                    ok = known.get((before, t))
+                    if ok is None:
+                        ok = fits(before, t)
+                    if not ok:
+                        continue
+                last.append(t)
+                size.append(n - k)
+                return
             raise ValueError(f"no encoding of {text!r}")
 
+        in_word, at_end = inside.get, ending.get
         stack: list[tuple[dict, str]] = [(self.root, "")]
         while stack:
             node, text = stack.pop()
             n = len(text)
             del last[max(n, 1) :], size[max(n, 1) :]
             if n:
-                step(text, n, inside)
+                step(text, n, in_word)
             for key, below in node.items():
                 if key is not None:
                     stack.append((below, text + key))
             for word in node.get(None, ()):
-                step(word, n + 1, ending)
+                step(word, n + 1, at_end)
                 found, at = [last.pop()], n + 1 - size.pop()
                 while at:
                     found.append(last[at])
@@ -165,9 +173,9 @@ class Trie:
 class Encoder:
     """Texts to ids, chunk by chunk: no word crosses white space, so equal chunks have equal ids wherever they stand."""
 
-    def __init__(self, path: str, forms: tuple[str, ...] = ("decimal", "text")) -> None:
+    def __init__(self, path: str, forms: tuple[str, ...] = ("decimal", "text"), most: int = MAX_KEPT) -> None:
         self.v = Vocabulary(path)
-        self.words: dict[str, list[int]] = {}
+        self.most = most
         # what is kept of a chunk: its ids in decimal, its decoded text, or its ids as little-endian 32-bit integers
         self.kept: dict[str, dict] = {f: {} for f in forms}
         self.table = str.maketrans({chr(b): x for b, x in enumerate(self.v.symbols)})
@@ -199,22 +207,28 @@ class Encoder:
         return w if w.isascii() and w.isprintable() else w.encode("utf-8", "replace").decode("latin-1").translate(self.table)
 
     def learn(self, chunks: set[str]) -> None:
-        """Keeps the encodings of chunks not seen yet; their words that aren't known go into one trie."""
-        v, known = self.v, self.words
-        done = next(iter(self.kept.values()))
-        if len(done) > MAX_KEPT:
-            for d in self.kept.values():
+        """Keeps the forms of chunks not seen yet; those of their words that are new too go into one trie.
+
+        A word is a chunk of one word, so both share the same entries.
+        """
+        v = self.v
+        forms = [(d, *{"decimal": (" ", v.decimal), "text": (" ", v.tokens), "packed": (b"", v.raw)}[f]) for f, d in self.kept.items()]
+        done = forms[0][0]
+        if len(done) > self.most:
+            for d, _, _ in forms:
                 d.clear()
-        if len(known) > MAX_KEPT:
-            known.clear()
-        new = chunks.difference(done)
-        of = {c: [self._word(w) for w in v.word.findall(c)] for c in new if c not in v.special}
-        known.update(Trie({w for ws in of.values() for w in ws}.difference(known)).encode(v))
-        forms = [(self.kept[f], join, part) for f, join, part in (("decimal", " ".join, v.decimal), ("text", " ".join, v.tokens), ("packed", b"".join, v.raw)) if f in self.kept]
-        for c in new:
-            ids = [v.special[c]] if c in v.special else known[of[c][0]] if len(of[c]) == 1 else [i for w in of[c] for i in known[w]]
-            for d, join, part in forms:
-                d[c] = join([part[i] for i in ids])
+        of = {c: v.word.findall(c) for c in chunks.difference(done) if c not in v.special}
+        need = {w for ws in of.values() for w in ws}.difference(done)
+        symbols = {self._word(w): w for w in need}
+        found = Trie(symbols).encode(v)
+        found.update((c, [v.special[c]]) for c in chunks if c in v.special)
+        for d, between, part in forms:
+            join = between.join
+            for s, ids in found.items():
+                d[symbols.get(s, s)] = join([part[i] for i in ids]) if len(ids) > 1 else part[ids[0]]
+            for c, ws in of.items():
+                if len(ws) > 1:
+                    d[c] = join([d[w] for w in ws])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple]:
         """What the encoder's forms are of each text."""
@@ -230,10 +244,10 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, *forms: str) -> Encoder:
+def encoder(path: str, *forms: str, most: int = MAX_KEPT) -> Encoder:
     """One for each worker process, kept between tasks."""
     if (path, forms) not in _encoders:
-        _encoders[path, forms] = Encoder(path, forms)
+        _encoders[path, forms] = Encoder(path, forms, most)
     return _encoders[path, forms]
 
 
