@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.bpe_trie import encoder
 from mnemos.llm.common import by_bytes
 
 ROW_TOKENS = 2048
@@ -74,6 +73,22 @@ def split_long(doc_id: object, ids: np.ndarray, row: int) -> list[Segment]:
     return [(doc_id, k, ids[k : k + row]) for k in range(0, len(ids), row)]
 
 
+_encodings: dict[tuple[str, str], object] = {}
+
+
+def encoding(path: str, pattern: str):
+    """The ranks of a .tiktoken file behind the pattern that splits text, once for each worker process."""
+    import base64
+
+    import tiktoken
+
+    if (path, pattern) not in _encodings:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _encodings[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path, pattern]
+
+
 SCHEMA = "pack_id bigint, doc_ids array<bigint>, starts array<bigint>, cu_seqlens array<int>, n_tokens int, input_ids binary, position_ids binary"
 
 
@@ -99,8 +114,8 @@ def _rows(segments: list[Segment], row: int, pad: int, first: int) -> pa.RecordB
     )
 
 
-def pack_documents(docs: DataFrame, path: str, pad_id: int, row: int = ROW_TOKENS, window: int = WINDOW_TOKENS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Packed rows: input_ids and position_ids are rows of little-endian uint16 matrices, padded with pad_id and 0.
+def pack_documents(docs: DataFrame, path: str, pattern: str, pad_id: int, row: int = ROW_TOKENS, window: int = WINDOW_TOKENS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Packed rows of the texts' ids (byte-level BPE by ranks; special strings are ordinary text): input_ids and position_ids are rows of little-endian uint16 matrices, padded with pad_id and 0.
 
     Segment j of a row is input_ids[cu_seqlens[j]:cu_seqlens[j + 1]] and holds the tokens of doc_ids[j] from starts[j].
     Each task encodes and packs its own documents, window by window, so nothing is shuffled; only the last row of few
@@ -112,15 +127,15 @@ def pack_documents(docs: DataFrame, path: str, pad_id: int, row: int = ROW_TOKEN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        e, first = encoder(path, "packed"), TaskContext.get().partitionId() << 33
-        if max(e.v.tokens) >= 1 << 16:
+        e, first = encoding(path, pattern), TaskContext.get().partitionId() << 33
+        if e.n_vocab > 1 << 16:
             raise ValueError("ids have 16 bits here")
         held: list[Segment] = []
         size = 0
         for whole in batches:
             for b in by_bytes(whole, 1, 2 << 20):
-                for d, (raw,) in zip(b.column(0).to_pylist(), e.encode(b.column(1).to_pylist())):
-                    ids = np.frombuffer(raw, dtype="<u4").astype("<u2")
+                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    ids = e.encode_to_numpy(t, disallowed_special=()).astype("<u2") if t else np.empty(0, dtype="<u2")
                     held.extend(split_long(d, ids, row))
                     size += len(ids)
                     if size >= window:

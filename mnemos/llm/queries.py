@@ -31,7 +31,9 @@ def vocabulary(name: str) -> str:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), pad_id=49407)
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, pad_id=50256)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
