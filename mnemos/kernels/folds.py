@@ -81,3 +81,45 @@ def option_edge(weight: float, alpha: float, beta: float, exists: bool, temporal
         weight = 0.95 * weight + 0.5 * rate * s if exists else 0.5 * rate * s
         alpha, beta, exists, taken = 0.98 * alpha + s, 0.98 * beta + (1 - s), True, taken + 1
     return {"weight": weight, "success_alpha": alpha, "success_beta": beta, "exists": exists, "taken": taken}
+
+
+def log_density(x: np.ndarray, mu: np.ndarray, var: np.ndarray) -> float:
+    v = np.clip(var, 1e-4, 1e4)
+    return float(-0.5 * (((x - mu) ** 2 / v).sum() + np.log(v).sum() + x.size * math.log(2 * math.pi)))
+
+
+def group_slice(g: dict, mu: np.ndarray, var: np.ndarray, x: np.ndarray, c: np.ndarray, f: FieldConfig = FIELD) -> np.ndarray:
+    """Probabilities of a group's members, and last of its null slot."""
+    n = len(mu)
+    s = np.array([math.log(g["alpha"][i] + EPS) + log_density(c, g["ctx_mu"][i], g["ctx_sigma_diag"][i]) for i in range(n + 1)])
+    s[:n] += [log_density(x, mu[i], var[i]) + 0.15 * math.log(g["pred_success_ema"][i] + EPS) for i in range(n)]
+    s[n] += log_density(x, np.zeros_like(x), np.full_like(x, f.null_sigma))
+    e = np.exp((s - s.max()) / max(g["temperature"], 1e-4))
+    return e / e.sum()
+
+
+def update_group(g: dict, mu: np.ndarray, var: np.ndarray, x: np.ndarray, c: np.ndarray, anchor_id: str, known: bool, loss: float | None = None, f: FieldConfig = FIELD) -> tuple[dict, np.ndarray]:
+    """A group after one observation, and the factor by which each member's variance grows (1: not at all).
+
+    mu and var are the members' means and variances. known: the anchor is in the anchor table.
+    """
+    p, n = group_slice(g, mu, var, x, c, f), len(mu)
+    g = dict(g)
+    w = p[:n, None]
+    ctx, sig = g["ctx_mu"].copy(), g["ctx_sigma_diag"].copy()
+    ctx[:n] += 0.10 * w * (c - ctx[:n])
+    sig[:n] = np.clip((1 - 0.10 * w) * sig[:n] + 0.10 * w * (c - ctx[:n]) ** 2, f.sigma_floor, f.sigma_ceiling)
+    fit = np.array([math.exp(log_density(x, mu[i], var[i]) / max(x.size, 1)) for i in range(n)])
+    fit = fit if loss is None else np.maximum(fit, math.exp(-loss))
+    success = np.array(g["pred_success_ema"], dtype=np.float64)
+    success[:n] = 0.95 * success[:n] + 0.05 * p[:n] * fit
+    q = np.clip(p, EPS, 1.0)
+    q = q / q.sum()
+    h = float(-(q * np.log(q)).sum())
+    mass = 0.95 * g["unresolved_mass"] + p[n]
+    g |= {"alpha": 0.995 * np.asarray(g["alpha"]) + p, "ctx_mu": ctx, "ctx_sigma_diag": sig, "pred_success_ema": success, "unresolved_mass": float(mass)}
+    if p[n] > 0.25 and known:
+        g["ambiguous_buffer"] = [*g["ambiguous_buffer"], anchor_id][-16:]
+    g["temperature"] = float(np.clip(g["temperature"] + 0.05 * (h - 0.75 * math.log(n + 1)), 0.5, 2.0))
+    g["replay_tension_ema"] = 0.98 * g["replay_tension_ema"] + 0.02 * (h + g["unresolved_mass"])
+    return g, 1 + 0.03 * p[:n] if p[n] > 0.25 else np.ones(n)

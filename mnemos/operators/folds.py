@@ -141,3 +141,36 @@ def fit_transition_model(rows: DataFrame, steps: int = 20, hidden: int = 16, rat
             new[k] = m[k] - rate * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.999**t)) + 1e-8)
         m = new
     return m, losses
+
+
+GROUP = "group_id string, alpha array<double>, ctx_mu array<array<double>>, pred_success_ema array<double>, temperature double, unresolved_mass double, replay_tension_ema double, ambiguous_buffer array<string>, inflation array<double>"
+
+
+def update_groups(groups: DataFrame, traces: DataFrame, observations: DataFrame) -> DataFrame:
+    """Groups folded over their observations (group_id, x, c, ts, seq, anchor_id) in order, and each member's inflation.
+
+    groups has member_ids, alpha, ctx_mu, ctx_sigma (one variance), pred_success_ema, temperature, unresolved_mass,
+    replay_tension_ema, ambiguous_buffer. Members' means and variances are those at batch start.
+    """
+    names = ["group_id", "alpha", "ctx_mu", "ctx_sigma", "pred_success_ema", "temperature", "unresolved_mass", "replay_tension_ema", "ambiguous_buffer"]
+    member = groups.select("group_id", F.posexplode("member_ids").alias("i", "trace_id")).join(traces.select("trace_id", "z_mu", "z_sigma_diag"), "trace_id")
+    held = member.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("i", "z_mu", "z_sigma_diag"))).alias("m"))
+    left = groups.select(*names).join(held.select("group_id", F.col("m.z_mu").alias("mu"), F.col("m.z_sigma_diag").alias("var")), "group_id")
+
+    def run(key: tuple, g: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        columns = [c.split()[0] for c in GROUP.split(", ")]
+        if not len(g):
+            return pd.DataFrame(columns=columns)
+        r = g.iloc[0]
+        mu, var = np.stack(list(r["mu"])), np.stack(list(r["var"]))
+        state = {n: np.asarray(r[n], dtype=np.float64) for n in ("alpha", "pred_success_ema")} | {n: float(r[n]) for n in ("temperature", "unresolved_mass", "replay_tension_ema")}
+        state |= {"ctx_mu": np.stack(list(r["ctx_mu"])).astype(float), "ambiguous_buffer": list(r["ambiguous_buffer"])}
+        state["ctx_sigma_diag"] = np.full_like(state["ctx_mu"], r["ctx_sigma"])
+        grown = np.ones(len(mu))
+        for s in steps.sort_values(["ts", "seq"], kind="stable").to_dict("records"):
+            state, factor = folds.update_group(state, mu, var, np.asarray(s["x"], float), np.asarray(s["c"], float), s["anchor_id"], True)
+            grown = grown * factor
+        row = [r["group_id"], state["alpha"].tolist(), state["ctx_mu"].tolist(), state["pred_success_ema"].tolist(), state["temperature"], state["unresolved_mass"], state["replay_tension_ema"], state["ambiguous_buffer"], grown.tolist()]
+        return pd.DataFrame([row], columns=columns)
+
+    return left.groupBy("group_id").cogroup(observations.groupBy("group_id")).applyInPandas(run, GROUP)

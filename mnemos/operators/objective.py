@@ -127,3 +127,24 @@ def merge_columns(x: Column, c: Column) -> dict[str, Column]:
     z, ctx = mu("z_mu"), mu("ctx_mu")
     var = lambda s, f, m: vadd(vscale(vadd(a[s], spread(f, m)), wa), vscale(vadd(b[s], other(f, m)), wb))
     return {"merged_mu": z, "merged_sigma": var("z_sigma_diag", "z_mu", z), "merged_ctx": ctx, "merged_ctx_sigma": var("ctx_sigma_diag", "ctx_mu", ctx), "overlap": 0.5 * (1.0 + cosine(a["ctx_mu"], b["ctx_mu"]))}
+
+
+def patch_objective(candidates: DataFrame, observations: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """The local objective of each patch with its terms: candidates (patch_id and a trace's columns), observations
+    (patch_id, obs_id, x, c), edges (src, dst, kind) touching the candidates.
+
+    Terms over observations are means of per-observation aggregates; terms over traces and edges are sums by patch.
+    """
+    pairs = logits(observations.join(candidates, "patch_id")).withColumn("null_logit", costs.null_logprob(F.col("x"), F.col("c")))
+    weighted = responsibilities(pairs)
+    per = surprise(pairs).join(weighted_costs(weighted), "obs_id").join(observations.select("obs_id", "patch_id"), "obs_id")
+    mean = per.groupBy("patch_id").agg(F.avg("surprise").alias("surprise"), (0.5 * F.avg("future_alignment")).alias("slow_alignment"), (0.5 * F.avg("future_drift")).alias("drift"))
+    own = candidates.groupBy("patch_id").agg(F.sum(costs.storage_cost()).alias("storage"), F.sum(costs.fidelity_cost()).alias("fidelity"), F.sum(costs.role_cost()).alias("role"))
+    out = own.join(mean, "patch_id", "left").withColumn("complexity", F.lit(0.0))
+    if edges is not None:
+        touched = edges.select(F.monotonically_increasing_id().alias("_e"), "kind", F.explode(F.array_distinct(F.array("src", "dst"))).alias("trace_id")).join(candidates.select("patch_id", "trace_id"), "trace_id")
+        degree = touched.groupBy("patch_id", "trace_id").agg(F.count(F.lit(1)).alias("d")).groupBy("patch_id").agg(F.sum(F.log1p("d")).alias("_degrees"))
+        once = touched.groupBy("patch_id", "_e").agg(F.first("kind").alias("kind")).groupBy("patch_id").agg(F.count(F.lit(1)).alias("_edges"), F.sum(costs.edge_storage_cost()).alias("_edge_cost"))
+        out = out.join(degree, "patch_id", "left").join(once, "patch_id", "left")
+        out = out.withColumns({"complexity": F.coalesce("_degrees", F.lit(0.0)) + 0.05 * F.coalesce("_edges", F.lit(0)), "storage": F.col("storage") + F.coalesce("_edge_cost", F.lit(0.0))}).drop("_degrees", "_edges", "_edge_cost")
+    return combine_objective(out)

@@ -138,3 +138,16 @@ def ag12(spark, sf_dir):
 @query("wn5_ambiguity_pairs", _q(", k AS (SELECT obs_id, trace_id, resp, row_number() OVER (PARTITION BY obs_id ORDER BY resp DESC, trace_id) AS r FROM w), g AS (SELECT obs_id, max(trace_id) FILTER (r = 1) AS first, max(trace_id) FILTER (r = 2) AS second, max(resp) FILTER (r = 1) - max(resp) FILTER (r = 2) AS gap FROM k WHERE r <= 2 GROUP BY ALL) SELECT obs_id, first, second, round(gap, 6) AS gap FROM g WHERE gap <= 0.15"))
 def wn5(spark, sf_dir):
     return objective.ambiguity_pairs(weighted(spark, sf_dir)).withColumn("gap", r6("gap"))
+
+
+_ROLE_COST = "pow(greatest(logit, 0) - least(greatest(support + greatest(gain, 0), 0), 4), 2)"
+
+
+@query("ag8_patch_objective", _q(f""", m AS (SELECT obs_id, session_id, greatest(max(lg), max(null_logit)) AS m, max(null_logit) AS nl, sum(resp * future_alignment_ema) AS fa, sum(resp * future_drift_ema) AS fd FROM w GROUP BY ALL),
+su AS (SELECT obs_id, m.session_id, -(m + ln(sum(exp(lg - m)) + exp(nl - m))) AS s, fa, fd FROM w JOIN m USING (obs_id) GROUP BY obs_id, m.session_id, m, nl, fa, fd), o AS (SELECT session_id, avg(s) AS s, avg(fa) / 2 AS fa, avg(fd) / 2 AS fd FROM su GROUP BY ALL),
+t AS (SELECT session_id, sum({_STORAGE}) AS st, sum(greatest(0, 1 - fidelity) * (1 + 0.25::DOUBLE * compression_stage)) AS fi, sum({_ROLE_COST}) AS ro FROM v_traces GROUP BY ALL)
+SELECT session_id AS patch_id, round(s, 6) AS surprise, round(st, 6) AS storage, round(s + 0.05::DOUBLE * st + 0.18::DOUBLE * fa + 0.08::DOUBLE * fd + 0.05::DOUBLE * fi + 0.03::DOUBLE * ro, 6) AS total FROM o JOIN t USING (session_id)"""))
+def ag8(spark, sf_dir):
+    t = views.traces(spark, sf_dir).withColumnRenamed("session_id", "patch_id")
+    obs = views.anchors(spark, sf_dir).where("session_id != ''").select(F.col("session_id").alias("patch_id"), F.col("anchor_id").alias("obs_id"), F.col("z").alias("x"), F.col("z").alias("c"))
+    return objective.patch_objective(t, obs).select("patch_id", *(r6(c).alias(c) for c in ("surprise", "storage", "total")))

@@ -197,6 +197,15 @@ def fold_steps(spark, sf_dir):
     return f.select(F.explode("activation").alias("trace_id", "r"), "x", F.col("x").alias("c"), F.col("pred_loss").alias("loss"), "ts", "seq", "anchor_id")
 
 
+@query("in5_update_groups")
+def in5(spark, sf_dir):
+    t = fold_traces(spark, sf_dir)
+    g = views.groups(spark, sf_dir)
+    f = fold_steps(spark, sf_dir).where("r = 0.6").withColumn("group_id", F.concat(F.lit("g"), F.substring(F.split("trace_id", ":")[0], 2, 20)))
+    out = folds.update_groups(g, t, f)
+    return out.select("group_id", F.transform("alpha", lambda a: F.round(a, 6)).alias("alpha"), r6("temperature").alias("temperature"), r6("unresolved_mass").alias("unresolved_mass"), F.size("ambiguous_buffer").alias("buffered"), F.transform("inflation", lambda a: F.round(a, 6)).alias("inflation"))
+
+
 @query("mt3_reconsolidate")
 def mt3(spark, sf_dir):
     out = folds.reconsolidate(fold_traces(spark, sf_dir), fold_steps(spark, sf_dir))
