@@ -79,8 +79,9 @@ class Session:
         ranked = sorted(((score(t), i) for i, t in self.traces.items()), reverse=True)
         return [i for _, i in ranked[: self.f.candidate_size]]
 
-    def choose(self, x: np.ndarray, c: np.ndarray, ids: list[str], ts: float, anchor_id: str) -> tuple[str, str | None, float]:
-        """The action of least objective, first wins: BIRTH, then ASSIMILATE, ATTACH and SPLIT of each candidate."""
+    def choose(self, x: np.ndarray, c: np.ndarray, ids: list[str], ts: float, anchor_id: str) -> tuple[str, str | None, float, float]:
+        """The action of least objective, first wins: BIRTH, then ASSIMILATE, ATTACH and SPLIT of each candidate; its
+        trace, its objective, and the objective of doing nothing (0 without candidates)."""
         own = [self.traces[i] for i in ids]
         wanted = set(ids)
         seen = [(x, c)] + [(r["x"], r["c"]) for r in self.recent if wanted & set(r["touched"])][-WINDOW:]
@@ -90,9 +91,11 @@ class Session:
         degree = sum(math.log1p(sum(i in (k[0], k[1]) for k in touching)) for i in ids)
         storage = float(len(own)) + sum(0.1 * EDGE_KIND_COST[k[2]] for k in touching)
 
-        def total(shadow: dict, at: int | None, extra: float, plasticity: float) -> float:
-            column = np.array([logit(shadow, a, b) for a, b in seen])
-            if at is None:
+        def total(shadow: dict | None, at: int | None, extra: float, plasticity: float) -> float:
+            column = None if shadow is None else np.array([logit(shadow, a, b) for a, b in seen])
+            if shadow is None:
+                scores, mus, n = base, [t["z_mu"] for t in own], 0.0
+            elif at is None:
                 scores, mus, n = np.hstack([base, column[:, None]]), [*(t["z_mu"] for t in own), shadow["z_mu"]], 1.0
             else:
                 scores, mus, n = base.copy(), [t["z_mu"] for t in own], 0.0
@@ -114,7 +117,7 @@ class Session:
                     value = total(shadow, at, 0.0, t["stability"] * float(np.mean((shadow["z_mu"] - t["z_mu"]) ** 2)))
                 if value < best[2]:
                     best = (action, i, value)
-        return best
+        return *best, total(None, None, 0.0, 0.0) if own else 0.0
 
     def touch(self, src: str, dst: str, kind: str, delta: float) -> None:
         old = self.edges.get((src, dst, kind))
@@ -125,7 +128,7 @@ class Session:
         frontier = self.frontier_vector(ts)
         c = unit(unit(x) + 0.35 * unit(frontier) + 0.25 * unit(self.summary))
         ids = self.candidates(x, c)
-        action, target, energy = self.choose(x, c, ids, ts, anchor_id)
+        action, target, energy, _ = self.choose(x, c, ids, ts, anchor_id)
         if action in ("BIRTH", "SPLIT"):
             own = "trace_" + hashlib.sha256(f"{self.id}|{anchor_id}|{self.seq}".encode()).hexdigest()[:12]
             parent = self.traces.get(target) if target else None
