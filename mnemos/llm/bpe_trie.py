@@ -22,8 +22,10 @@ from mnemos.llm.common import by_bytes
 
 #: Chunks of text whose encodings a worker keeps, and pairs of tokens whose fit it remembers; beyond that it starts
 #: anew. Only speed and memory depend on them: about 0.4 kB a chunk and form, 0.15 kB a pair.
-MAX_KEPT = 250_000
-MAX_PAIRS = 400_000
+MAX_KEPT = 160_000
+MAX_PAIRS = 200_000
+#: Bytes of text whose new words go into one trie.
+SLICE_BYTES = 1 << 19
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the tokenizer
 
 
@@ -253,7 +255,7 @@ def encoder(path: str, *forms: str, most: int = MAX_KEPT) -> Encoder:
 
 def decode(ids: list[int], v: Vocabulary) -> str:
     """Tokens joined by spaces: what the library gives for a vocabulary file without a decoder."""
-    return " ".join(v.tokens[i] for i in ids if i in v.tokens)
+    return " ".join([v.tokens[i] for i in ids if i in v.tokens])
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, arrays: bool = True) -> DataFrame:
@@ -264,14 +266,18 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     keep = [doc_id] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, "packed" if arrays else "decimal", "text")
+        # arrays are decoded from the ids themselves: one form less to keep
+        e = encoder(path, "packed") if arrays else encoder(path, "decimal", "text")
         for whole in batches:
-            for b in by_bytes(whole, 0, 2 << 20):
-                ids, decoded = map(list, zip(*e.encode(b.column(0).to_pylist())))
+            for b in by_bytes(whole, 0, SLICE_BYTES):
+                made = list(e.encode(b.column(0).to_pylist()))
+                ids, decoded = [x[0] for x in made], [x[-1] for x in made]
                 if arrays:
                     ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                    flat = np.frombuffer(b"".join(ids), dtype="<i4")
+                    out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                     counts = pa.array(np.diff(ends), pa.int64())
+                    decoded = [decode(flat[a:z].tolist(), e.v) for a, z in zip(ends, ends[1:])]
                 else:
                     out, counts = pa.array(ids, pa.string()), pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], counts, out, pa.array(decoded, pa.string())], names=[*(f"c{i}" for i in range(len(keep))), "n_tokens", "ids", "decoded"])
