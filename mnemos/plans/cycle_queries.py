@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from mnemos.functions import vectors as V
 from mnemos.operators import cycle, retrieve
 from mnemos.plans import views
-from mnemos.plans.graph_queries import cues
+from mnemos.plans.graph_queries import SUPPORT, cues
 from mnemos.plans.scalar_queries import r6
 from mnemos.plans.state_queries import fold_traces, workspaces
+from mnemos.plans.views import with_views
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -46,4 +47,19 @@ def rd7(spark, sf_dir):
     return events.select("session_id", "turn_id", "source", "payload")
 
 
-QUERIES |= {"in1_score_actions": in1, "mt6_replay_mutations": mt6, "mt13_maintenance_cycle": mt13, "rd7_respond_batch": rd7}
+def mt11(spark, sf_dir):
+    f = views.frames(spark, sf_dir)
+    past = f.select("frame_id", F.explode("activation").alias("trace_id", "a"))
+    even = f.select("frame_id", F.explode("active_ids").alias("trace_id"), (1.0 / F.size("active_ids")).alias("a"))
+    steps = f.where("next_trace_id is not null").select(F.col("trace_id").alias("src"), F.col("next_trace_id").alias("dst"))
+    t = views.event_traces(spark, sf_dir)
+    out = cycle.replay_objective(past, even, steps, views.edges(spark, sf_dir), views.groups(spark, sf_dir), t.where("evidence < 10"), t)
+    return out.select(*(r6(c).alias(c) for c in out.columns))
+
+
+QUERIES |= {"in1_score_actions": in1, "mt6_replay_mutations": mt6, "mt11_replay_objective": mt11, "mt13_maintenance_cycle": mt13, "rd7_respond_batch": rd7}
+
+ORACLES["mt11_replay_objective"] = with_views(f""", a AS (SELECT frame_id, trace_id AS own, len(active_ids) AS n, unnest(active_ids) AS t FROM v_frames), b AS (SELECT frame_id, CASE WHEN t = own THEN 0.6::DOUBLE ELSE 0.4::DOUBLE / (n - 1) END AS p, 1.0::DOUBLE / n AS q FROM a),
+kl AS (SELECT frame_id, sum((p - q) * (ln(p) - ln(q))) / 2 AS kl FROM b GROUP BY ALL), sp AS (SELECT src, dst, least({SUPPORT}, 1) AS s FROM v_edges GROUP BY ALL),
+g AS (SELECT avg(1 - s) AS gap FROM v_frames f JOIN sp ON sp.src = f.trace_id AND sp.dst = f.next_trace_id), h AS (SELECT avg(replay_tension_ema + 0.5::DOUBLE * unresolved_mass) AS heat FROM v_groups), c AS (SELECT count(*) FILTER (evidence < 10) / count(*) AS churn FROM v_etraces), k AS (SELECT avg(kl) AS kl FROM kl)
+SELECT round(kl, 6) AS activation_kl, round(gap, 6) AS transition_gap, round(heat, 6) AS group_heat, round(churn, 6) AS churn, round(kl + gap + churn, 6) AS drift FROM k, g, h, c""", "v_frames", "v_etraces", "v_edges", "v_groups")

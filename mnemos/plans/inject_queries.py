@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemos.functions.encode import encode_text
-from mnemos.operators import ingest
+from mnemos.operators import graph, ingest
 from mnemos.plans import views
-from mnemos.streaming.inject import inject_sessions
+from mnemos.plans.state_queries import scratch
+from mnemos.streaming.inject import inject_sessions, inject_stream, maintenance_trigger
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,4 +25,28 @@ def in6(spark, sf_dir):
     return out.select("session_id", "anchor_id", "seq", "action", "trace_id", F.round("objective", 6).alias("objective"), F.size("active_ids").alias("active"), F.round(F.aggregate("weights", F.lit(0.0), lambda s, x: s + x), 6).alias("mass"))
 
 
-QUERIES["in6_inject_sessions"] = in6
+def in7(spark, sf_dir):
+    """The turns as files of a stream, two micro-batches or more, folded with state."""
+    path = scratch(spark)
+    rows = session_anchors(spark, sf_dir)
+    rows.repartition(2, "session_id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    q = inject_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("session_id", "anchor_id", "seq", "action", "trace_id", F.round("objective", 6).alias("objective"))
+
+
+def in8(spark, sf_dir):
+    """Maintenance of a stream of frames: each batch's edge touches are added to a table, summed up at the end."""
+    path = scratch(spark)
+    f = views.frames(spark, sf_dir)
+    f.repartition(2, "session_id").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    q = maintenance_trigger(stream, lambda df, i: graph.temporal_deltas(df).write.mode("overwrite").parquet(f"{path}/deltas/batch={i}"), checkpoint=f"{path}/state", once=True)
+    q.awaitTermination()
+    out = graph.upsert_edges(spark.read.parquet(f"{path}/deltas").drop("batch"))
+    return out.select("src", "dst", "kind", F.round("weight", 6).alias("weight"))
+
+
+QUERIES |= {"in6_inject_sessions": in6, "in7_inject_stream": in7, "in8_maintenance_trigger": in8}
+ORACLES["in8_maintenance_trigger"] = views.with_views(" SELECT src, dst, kind, round(weight, 6) AS weight FROM v_edges WHERE kind = 'temporal'", "v_edges")
