@@ -1,0 +1,133 @@
+"""Components of texts whose sets of word shingles have a Jaccard similarity of 4/5 at least, without loss.
+
+Edge cases: null, empty and blank texts have no shingle and link to nothing but their copies; a text of fewer words than a
+shingle is one shingle; copies are one node, whatever their number; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from mnemos.llm.common import by_bytes, materialise
+from mnemos.llm.components import connected_components
+
+WORDS, SEED = 5, 42
+#: The least similarity, as a fraction, so that whole numbers decide.
+OVER, UNDER = 4, 5
+#: In a bucket of more texts, all meet the least first, and the others only where components still differ.
+SMALL_BUCKET = 24
+#: Shingles at most that are put last in the order. Any order gives the same links; this one keeps buckets small.
+HOT_SHINGLES = 100_000
+
+
+def text_key(text: Column) -> Column:
+    """Equal texts have equal keys (null counts as empty)."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
+    """The distinct shingles' XXH64, ascending."""
+    import xxhash
+
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    if not w:
+        return np.zeros(0, dtype=np.uint64)
+    h = xxhash.xxh64_intdigest
+    if len(w) < n:
+        return np.array([h(b" ".join(w), SEED)], dtype=np.uint64)
+    return np.unique(np.fromiter((h(b" ".join(s), SEED) for s in zip(*(w[i:] for i in range(n)))), dtype=np.uint64, count=len(w) - n + 1))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    if not len(a) or not len(b):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * both >= OVER * (len(a) + len(b) - both)
+
+
+def _first_shingles(docs: DataFrame, hot: np.ndarray, text: str, more: int = 0) -> DataFrame:
+    """key, n (shingles) and at: the first n - ceil(4n/5) + 1 shingles, those in `hot` last, the others by value.
+
+    Sets of similarity 4/5 share at least ceil(4n/5) shingles, so one of these is in both. more adds n * more / 100.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
+        for whole in batches:
+            for b in by_bytes(whole, 1):
+                sizes, at = [], []
+                for t in b.column(1).to_pylist():
+                    s = shingles(t)
+                    sizes.append(len(s))
+                    if len(last):
+                        put = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                        s = np.concatenate([s[~put], s[put]])
+                    at.append(s[: len(s) - -(-OVER * len(s) // UNDER) + 1 + len(s) * more // 100].view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(at, pa.list_(pa.int64()))], names=["key", "n", "at"])
+
+    named = docs.select(text_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
+    return named.mapInArrow(run, "key bigint, n int, at array<bigint>").dropDuplicates(["key"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The pairs (src, dst) whose whole sets are similar. Texts of candidates move, and no others' sets are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple[int, np.ndarray] | None = None
+        for b in batches:
+            keep = []
+            for i, (src, x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
+                if before is None or before[0] != src:
+                    before = (src, shingles(x))
+                if similar(before[1], shingles(y)):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["src", "dst"])
+
+    pairs = materialise(pairs.distinct(), "jaccard-pairs")
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+    texts = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    texts = materialise(texts.join(ends, "key", "left_semi").dropDuplicates(["key"]), "jaccard-texts")
+    both = pairs.join(texts.select(F.col("key").alias("src"), F.col("text").alias("x")), "src").join(texts.select(F.col("key").alias("dst"), F.col("text").alias("y")), "dst")
+    return materialise(both.select("src", "dst", "x", "y").mapInArrow(run, "src bigint, dst bigint"), "jaccard-links")
+
+
+def _fits(a: Column, b: Column) -> Column:
+    """Sets of these sizes can be similar."""
+    return F.least(a, b) * UNDER >= F.greatest(a, b) * OVER
+
+
+def similar_components(docs: DataFrame, text: str = "text", small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """(node, component) over text keys that link to another; component is the least key reachable."""
+    counted = _first_shingles(docs, np.zeros(0, np.uint64), text, more=10).select(F.explode("at").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > small_bucket)
+    hot = np.array([r["s"] for r in counted.orderBy(F.desc("c"), "s").limit(HOT_SHINGLES).collect()], dtype=np.int64).view(np.uint64)
+    keyed = materialise(_first_shingles(docs, hot, text), "jaccard-first").select("key", "n", F.explode("at").alias("s"))
+    node = F.struct("key", "n")
+    sizes = materialise(keyed.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min(node).alias("lo"), F.max(node).alias("hi")).where("c > 1"), "jaccard-buckets")
+    pairs = sizes.where("c = 2").where(_fits(F.col("lo.n"), F.col("hi.n"))).select(F.col("lo.key").alias("src"), F.col("hi.key").alias("dst"))
+    members = keyed.join(sizes.where("c > 2").select("s", "c", "lo"), "s")
+    small = members.where(F.col("c") <= small_bucket).groupBy("s").agg(F.collect_list(node).alias("all"))
+    met = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: (b["key"] > a["key"]) & _fits(a["n"], b["n"])), lambda b: F.struct(a["key"].alias("src"), b["key"].alias("dst")))))
+    pairs = pairs.union(small.select(F.inline(met)))
+    large = members.where((F.col("c") > small_bucket))
+    star = large.where((F.col("lo.key") != F.col("key")) & _fits(F.col("lo.n"), F.col("n"))).select(F.col("lo.key").alias("src"), F.col("key").alias("dst"))
+    links = _verified(pairs.union(star), docs, text)
+    found = materialise(connected_components(links), "jaccard-components")
+    if sizes.where(F.col("c") > small_bucket).isEmpty():
+        return found
+    # in large buckets all pairs of different components remain, whatever their number
+    named = large.select("s", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
+    open_ = named.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a != z").select("s")
+    named = materialise(named.join(open_, "s").select("s", "key", "n", "root"), "jaccard-open")
+    if named.isEmpty():
+        return found
+    other = named.select("s", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    rest = named.join(other, "s").where((F.col("key") < F.col("key2")) & (F.col("root") != F.col("root2")) & _fits(F.col("n"), F.col("n2")))
+    return connected_components(links.union(_verified(rest.select(F.col("key").alias("src"), F.col("key2").alias("dst")), docs, text)))

@@ -47,3 +47,32 @@ def test_run_gives_encodings(spark, folder):
     out = corpus_pipeline.run(spark, folder).collect()
     assert len(out) == 160
     assert all(r["ids"] == lib.encode(text[r["doc_id"]], add_special_tokens=False).ids for r in out)
+
+
+def test_near_dedup_finds_edited_copies(spark):
+    from mnemos.llm import jaccard
+
+    text = {i: prose(96, 500 + i) for i in range(30)}
+    edit = lambda t, *at: " ".join("zz" if k in at else w for k, w in enumerate(t.split()))
+    text |= {100 + i: edit(text[i], 40) for i in range(10)} | {200 + i: edit(text[i], 10, 30, 50, 70) for i in range(10, 20)}
+    text |= {1000 + k: edit(text[25], k, (7 * k) % 96) for k in range(40)}  # more than a small bucket
+    docs = spark.createDataFrame(list(text.items()), "doc_id bigint, text string")
+    sets = {i: jaccard.shingles(t) for i, t in text.items()}
+    up = {i: i for i in text}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in text:
+        for j in text:
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted(i for i in text if find(i) == i)
+    assert not {*range(100, 110)} & {*want} and {*range(210, 220)} < {*want}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.apply_near_dedup(spark, docs, "").select("doc_id").collect()) == want
+    for small in (2, 1000):
+        got = dict(jaccard.similar_components(docs, small_bucket=small).collect())
+        assert len(got) - len(set(got.values())) == len(set(text.values())) - len(want)  # copies are one node
