@@ -76,3 +76,11 @@ def test_near_dedup_finds_edited_copies(spark):
     for small in (2, 1000):
         got = dict(jaccard.similar_components(docs, small_bucket=small).collect())
         assert len(got) - len(set(got.values())) == len(set(text.values())) - len(want)  # copies are one node
+
+
+def test_near_dedup_keeps_null_ids_and_texts_that_share_an_id(spark):
+    a, b, c, d, e = (prose(60, 700 + k) for k in range(5))
+    data = [(None, a), (None, b), (None, b), (1, c), (1, d), (None, d), (2, e), (2, e), (3, e)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = corpus_pipeline.apply_near_dedup(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, a), (None, b), (1, c), (1, d), (2, e)], key=str)
