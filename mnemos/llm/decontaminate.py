@@ -145,7 +145,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             hits = scan_documents(rows, items, window, doc_id, text, keep=[doc_id, "_row"]).dropDuplicates([doc_id, "_row"])
             out = hits if out is None else out.union(hits)
         parts = out.groupBy(doc_id, "_row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-        out = rows.select(doc_id, "_row").join(parts, [doc_id, "_row"]).drop("_row").withColumn("spans", _merge("spans"))
+        # null ids are ids like any other, as in one scan
+        parts = parts.withColumnsRenamed({doc_id: "_id", "_row": "_of"})
+        out = rows.select(doc_id, "_row").join(parts, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_of"))).drop("_id", "_row", "_of").withColumn("spans", _merge("spans"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["last"] - s["first"]))
     return out.withColumnRenamed(doc_id, "doc_id").select("doc_id", "n_words", hit.alias("n_hit"), "spans", "item_ids")
 

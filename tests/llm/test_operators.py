@@ -212,6 +212,16 @@ def test_decontamination(spark, clash, monkeypatch):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_many_scans_keep_null_ids(spark, monkeypatch):
+    items = [(1, "one two three"), (2, "four five six")]
+    docs = spark.createDataFrame([(None, "one two three"), (None, "x four five six"), (None, None), (4, "none")], "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda: sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.find_contamination(docs, bench).collect())
+    once = found()
+    monkeypatch.setattr(decontaminate, "item_shards", lambda b: [items[:1], items[1:]])
+    assert found() == once and len(once) == 4
+
+
 # 7
 def test_toxicity_held_out(spark, clash):
     r = random.Random(5)
