@@ -63,31 +63,54 @@ def match_rules(urls: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame
 
 
 def url_key(url: Column) -> Column:
-    """A url without its fragment, which no server sees."""
-    return F.regexp_extract(url, r"^[^#]*", 0)
-
-
-def _targets(html: Column, key: Column) -> Column:
-    """Absolute urls that the page's canonical links, refresh redirects and og:url name."""
+    """A url without its fragment, which no server sees, with scheme and host in lower case and no dot segments."""
+    bare = F.regexp_extract(url, r"^[^#]*", 0)
+    part = lambda k: F.regexp_extract(bare, r"^([^:/?#]+://)([^/?#@]*@)?([^/?#]*)([^?]*)(.*)", k)
+    known = F.concat(ascii_lower(part(1)), part(2), ascii_lower(part(3)), _without_dots(part(4)), part(5))
+    return F.when(bare.rlike(r"^[^:/?#]+://"), known).otherwise(bare)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with "/", its segments "." and ".." resolved."""
+    steps = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(steps, 2, F.size(steps)),
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
+    )
+    last = F.when(path.rlike(r"/\.{1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))).otherwise(path)
+
+
+def _targets(html: Column) -> Column:
+    """What the page's canonical links, refresh redirects and og:url name, as written."""
     head = F.coalesce(html, F.lit(""))
     canonical = F.regexp_extract_all(head, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
     refresh = F.regexp_extract_all(head, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""), 1)
     og = F.regexp_extract_all(head, F.lit(r"""(?is)<meta\b(?=[^>]*\bproperty\s*=\s*["']?og:url\b)[^>]*\bcontent\s*=\s*["']?([^"'\s>]+)"""), 1)
-    scheme = F.regexp_extract(key, r"^([^:/?#]+:)//", 1)
-    origin = F.regexp_extract(key, r"^[^:/?#]+://[^/?#]*", 0)
-    found = F.concat(canonical, refresh, og)
-    return F.transform(found, lambda t: F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(scheme, t)).when(t.startswith("/"), F.concat(origin, t)))
+    return F.concat(canonical, refresh, og)
 
 
-def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): a page and the address that it redirects to or calls canonical. Relative paths without "/" are skipped."""
-    key = url_key(F.col(url))
+def resolve(target: Column, page: Column) -> Column:
+    """The absolute url that a target names on a page (a key). Null for a mere fragment and for a scheme without "//"."""
+    scheme = F.regexp_extract(page, r"^([^:/?#]+:)//", 1)
+    origin = F.regexp_extract(page, r"^[^:/?#]+://[^/?#]*", 0)
+    path = F.regexp_extract(page, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"^.*/", 0)
     return (
-        pages.where(F.col(url).contains("://")).select(key.alias("src"), F.explode(_targets(F.col(html), key)).alias("dst"))
-        .select("src", url_key(F.col("dst")).alias("dst")).where("dst is not null and dst != '' and src != dst").distinct()
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.rlike(r"^(?:#|[A-Za-z][A-Za-z0-9+.-]*:)"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(origin, target)).when(target.startswith("?"), F.concat(origin, path, target))
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), target))
     )
 
 
+def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(src, dst): a page and the address that it redirects to or calls canonical, relative ones resolved against the page."""
+    found = pages.where(F.col(url).rlike(r"^[^:/?#]+://")).select(F.col(url).alias("_page"), F.explode(_targets(F.col(html))).alias("_target"))
+    named = found.select(url_key(F.col("_page")).alias("src"), url_key(resolve(F.col("_target"), url_key(F.col("_page")))).alias("dst"))
+    return named.where("dst is not null and dst != '' and src != dst").distinct()
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, edges: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for each page.
 

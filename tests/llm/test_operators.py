@@ -60,6 +60,19 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_url_aliases_of_relative_targets_and_case(spark):
+    base = "HTTP://A.k.org.zz/d/e/p?q=1#f"
+    aim = ["page2.html", "../a", "?id=1", "./x/./y/../z", "/r/../s", "//M.nn/b", "..", "#top", "mailto:x@y", "r.php?u=http://q.q/", "HTTPS://Big.Host/Path"]
+    df = spark.createDataFrame([(i, base, f"<link rel=canonical href='{t}'>") for i, t in enumerate(aim)], "page_id bigint, url string, html string")
+    host = "http://a.k.org.zz"
+    want = {f"{host}/d/e/page2.html", f"{host}/d/a", f"{host}/d/e/p?id=1", f"{host}/d/e/x/z", f"{host}/s", "http://m.nn/b", f"{host}/d/", f"{host}/d/e/r.php?u=http://q.q/", "https://big.host/Path"}
+    got = url_filter.alias_edges(df).collect()
+    assert {r["dst"] for r in got} == want and {r["src"] for r in got} == {f"{host}/d/e/p?q=1"}
+    pages = [(1, "http://m.net/a/b", "<link rel=canonical href='../c'>"), (2, "HTTP://M.net/c", '<meta http-equiv=refresh content="0; url=//W.com/de/1">'), (3, "http://w.COM/de/1", None), (4, "http://bare.net", "<link rel=canonical href='c'>"), (5, "http://bare.net/c", "<link rel=canonical href='http://w.com/de/2'>")]
+    got = rows(url_filter.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string, html string"), URL_RULES), "page_id")
+    assert [r[4] for r in got] == ["block"] * 5
+
+
 def test_components_of_stars_and_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (200, 201)]
     got = dict(rows(connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")), "node"))
