@@ -131,17 +131,14 @@ class Voters:
         for x in hit:
             for i in vocabulary[x]:
                 v[i] = 1
-        marked = hit | stemmed
+        matched, more = self.matches(text, patterns, v, hit | stemmed)
+        marked = hit | stemmed | matched
         if marked:
-            count = sum(x in marked for x in w)
+            count = sum(x in marked for x in w) + more
             v[tail] = 1 if count * 200 > len(w) else 0
             v[tail + 1] = 1 if len(marked) >= 3 else 0
-        if hit:
-            low = text.lower()
-            for j, p in enumerate(patterns):
-                v[len(LEXICONS) + j] = 1 if p.search(text) or p.search(low) else 0
-        v[tail + 2] = 0 if hit else -1
-        v[tail + 3] = 0 if in_terms else -1
+        v[tail + 2] = 0 if hit or matched else -1
+        v[tail + 3] = 0 if in_terms or matched else -1
         v[tail + 4] = -1 if count * 2000 < len(w) or not w else 0
         x = np.zeros(tail + 3)
         x[:tail] = v[:tail]
@@ -151,6 +148,25 @@ class Voters:
         return v, x
 
 
+    def matches(self, text: str | None, patterns: list, v: np.ndarray, marked: set[str]) -> tuple[set[str], int]:
+        """Sets the patterns' votes, and gives what they found besides marked words: distinct, and how often outside of
+        single words (those the caller counts). A word that is cleared is no masked one."""
+        found: set[str] = set()
+        more = 0
+        low = (text or "").lower()
+        for j, (name, p) in enumerate(zip(PATTERNS, patterns)):
+            for m in p.finditer(text or "" if name == "shouted" else low):
+                x = m.group().lower()
+                if name == "masked" and x in self.learned.cleared:
+                    continue
+                v[len(LEXICONS) + j] = 1
+                w = document_words(x)
+                if marked.isdisjoint(w):
+                    found.add(w[0] if len(w) == 1 else x)
+                    more += len(w) > 1
+        return found, more
+
+
 @dataclass(frozen=True)
 class LabelModel:
     """P(vote | class) of each voter, the prior, and how far correlated voters repeat each other."""

@@ -236,6 +236,25 @@ def test_many_scans_keep_null_ids(spark, monkeypatch):
 
 
 # 7
+def test_toxicity_finds_what_is_only_masked(spark):
+    r = random.Random(6)
+    text = lambda i: prose(60, i) + (" " + " ".join(r.sample(["idiot", "moron", "scum", "pathetic"], 2)) + "." if i % 4 == 0 else "")
+    docs = spark.createDataFrame([(i, text(i), "en", "s", 0) for i in range(400)], DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    clean = model.scores([prose(60, 9001)])[0]
+    made, at = model.voters.compiled(), model.voters.names.index("pattern:masked")
+    for x in ("1d10t", "m0ron", "l0ser", "tr@sh", "sc*m"):
+        v, _ = model.voters.votes(f"{prose(60, 9001)} {x}", made)
+        assert v[at] == 1 and v[-3] == v[-2] == 0, x
+        assert model.scores([f"{prose(60, 9001)} {x}"])[0] > 5 * clean, x  # exactly clean before
+    plain = toxicity.Voters(toxicity.Lexicon(cleared=frozenset({"trash", "idiot"})))
+    v, _ = plain.votes("put the trash out", plain.compiled())
+    assert not v[: len(toxicity.LEXICONS) + len(toxicity.PATTERNS)].any()
+    v, _ = plain.votes("an 1D10T, the IDIOT", plain.compiled())
+    assert v[at] == 1 and v[plain.names.index("pattern:shouted")] == 1
+
+
 def test_toxicity_held_out(spark, clash):
     r = random.Random(5)
     text = lambda i: prose(60, i) + (" " + " ".join(r.sample(["idiot", "moron", "zorgle", "scum"], 2)) + "." if i % 4 == 0 else "")
