@@ -2,8 +2,9 @@
 
 The vocabulary file is a parameter. Supported: a tokenizers JSON with a BPE model, an end-of-word suffix, NFC, white
 space and lower-case normalisers, words split by a pattern, and byte-level symbols. Edge cases: null and empty texts have
-no tokens; text of any length is encoded whole; special strings in a text are single tokens, as is the library's default;
-repeated rows are encoded alike; extra columns are ignored.
+no tokens; text of any length is encoded whole, in time and memory linear in it; special strings in a text, as they are
+written, are single tokens, as is the library's default, and in other case they are ordinary text; repeated rows are
+encoded alike; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 import gc
 import json
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,16 @@ from pyspark.sql import functions as F
 
 from mnemos.llm.common import by_bytes
 
-#: Chunks of text whose encodings a worker keeps, and pairs of tokens whose fit it remembers; beyond that it starts
-#: anew. Only speed and memory depend on them: about 0.4 kB a chunk and form, 0.15 kB a pair.
-MAX_KEPT = 160_000
-MAX_PAIRS = 200_000
-#: Bytes of text whose new words go into one trie.
-SLICE_BYTES = 1 << 19
+#: Estimated bytes of chunks and encodings that a worker keeps, and pairs of tokens whose fit it remembers. Only speed
+#: and memory depend on them.
+KEPT_BYTES = 160 << 20
+MAX_PAIRS = 600_000
+#: Bytes of text whose new words go into one trie, and symbols of a word at most to be put there: the tail of a longer
+#: word is walked alone, as it has nothing to share.
+SLICE_BYTES = 1 << 20
+TRIE_DEPTH = 64
+#: Characters of a chunk at most to be kept beyond its slice.
+LONG_CHUNK = 256
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the tokenizer
 
 
@@ -61,19 +67,57 @@ class Vocabulary:
             self.pair[x, y] = r
             if self.rank[z] < 0:
                 self.rank[z], self.left[z], self.right[z] = r, x, y
-        # every ending of a token, with the token's id if it is a whole token, else -1: inside words and at their ends
-        self.inside: dict[str, int] = {}
-        self.ending: dict[str, int] = {}
-        for t, i in self.ids.items():
-            table, bare = (self.ending, t.removesuffix(self.suffix)) if t.endswith(self.suffix) and len(t) > len(self.suffix) else (self.inside, t)
-            for k in range(1, len(bare)):
-                table.setdefault(bare[k:], -1)
-            table[bare] = i
+        self._automaton()
         self.word = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.space = regex.compile(r"[\x09-\x0d\x20\x85\xa0  -     　]+")
         self.symbols = byte_symbols()
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
+
+    def _automaton(self) -> None:
+        """States are the prefixes of tokens. Each lists the tokens that end there, longest first: those inside words and
+        those at their ends."""
+        self.length: dict[int, int] = {}
+        goto: list[dict[str, int]] = [{}]
+        inside: dict[int, int] = {}
+        ending: dict[int, int] = {}
+        for t, i in self.ids.items():
+            at_end = bool(self.suffix) and t.endswith(self.suffix) and len(t) > len(self.suffix)
+            bare = t[: -len(self.suffix)] if at_end else t
+            self.length[i] = len(bare)
+            s = 0
+            for c in bare:
+                nxt = goto[s].get(c)
+                if nxt is None:
+                    nxt = goto[s][c] = len(goto)
+                    goto.append({})
+                s = nxt
+            (ending if at_end else inside)[s] = i
+        if not self.suffix:
+            ending = inside
+        n = len(goto)
+        self.goto, self.fail = goto, [0] * n
+        self.inside: list[tuple[int, ...]] = [()] * n
+        self.ending: list[tuple[int, ...]] = [()] * n
+        todo = deque([0])
+        while todo:
+            s = todo.popleft()
+            for c, t in goto[s].items():
+                self.fail[t] = f = self.next_state(self.fail[s], c) if s else 0
+                self.inside[t] = (inside[t], *self.inside[f]) if t in inside else self.inside[f]
+                self.ending[t] = (ending[t], *self.ending[f]) if t in ending else self.ending[f]
+                todo.append(t)
+
+    def next_state(self, s: int, c: str) -> int:
+        """The longest prefix of a token that ends with the symbol c behind state s."""
+        goto, fail = self.goto, self.fail
+        while True:
+            t = goto[s].get(c)
+            if t is not None:
+                return t
+            if not s:
+                return 0
+            s = fail[s]
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging the symbols of token a and token b gives just these two tokens.
@@ -96,23 +140,27 @@ class Vocabulary:
                 break
         if len(self.known) > MAX_PAIRS:
             self.known.clear()
-        self.known[a, b] = out
+        self.known[a << 32 | b] = out
         return out
 
 
 class Trie:
-    """Distinct words by their prefixes. A node maps a symbol to its child; the key None holds the words that end there."""
+    """Distinct words by their prefixes. A node maps a symbol to its child; the key None holds the words that end below it
+    by one symbol, which is their own."""
 
     def __init__(self, words: Iterable[str]) -> None:
         self.root: dict = {}
         for word in words:
             node = self.root
-            for c in word[:-1]:
+            for c in word[: min(len(word) - 1, TRIE_DEPTH)]:
                 nxt = node.get(c)
                 if nxt is None:
                     nxt = node[c] = {}
                 node = nxt
-            node.setdefault(None, []).append(word)
+            if None in node:
+                node[None].append(word)
+            else:
+                node[None] = [word]
 
     def encode(self, v: Vocabulary) -> dict[str, list[int]]:
         """The ids of each word, by a depth-first walk.
@@ -121,75 +169,91 @@ class Trie:
         prefix's own last token. So a node needs its last token alone, found once for all words below it.
         """
         out: dict[str, list[int]] = {}
-        inside, ending, fits = v.inside, v.ending, v.fits
-        last: list[int] = [-1]  # the last token of each prefix on the way down, and its length
-        size: list[int] = [0]
-
-        known = v.known  # of pairs tested before
-
-        def step(text: str, n: int, get: Callable[[str], int | None]) -> None:
-            """Pushes the last token of the first n symbols: the only one of those that end there that fits."""
-            could = []
-            for k in range(n - 1, -1, -1):
-                t = get(text[k:n])
-                if t is None:
-                    break
-                if t >= 0:
-                    could.append((t, k))
-            while could:
-                t, k = could.pop()
-                if k:
-                    before = last[k]
-                    ok = known.get((before, t))
-                    if ok is None:
-                        ok = fits(before, t)
-                    if not ok:
-                        continue
+        inside, ending, length, fits, known, goto, next_state = v.inside, v.ending, v.length, v.fits, v.known, v.goto, v.next_state
+        last, states = [-1], [0]  # of the prefixes on the way down: the last token, and the automaton's state
+
+        def walk(word: str, n: int) -> None:
+            """Last tokens and states of the word's prefixes beyond n symbols, but not of the whole word."""
+            del last[n + 1 :], states[n + 1 :]
+            s = states[n]
+            for at in range(n + 1, len(word)):
+                s = next_state(s, word[at - 1])
+                for t in inside[s]:
+                    k = at - length[t]
+                    if not k or ((ok := known.get(last[k] << 32 | t)) is None and fits(last[k], t)) or ok:
+                        break
+                else:
+                    raise ValueError(f"no encoding of {word[:at]!r}")
+                states.append(s)
                 last.append(t)
-                size.append(n - k)
-                return
-            raise ValueError(f"no encoding of {text!r}")
 
-        in_word, at_end = inside.get, ending.get
-        stack: list[tuple[dict, str]] = [(self.root, "")]
+        stack: list[tuple[dict, int, str]] = [(self.root, 0, "")]
         while stack:
-            node, text = stack.pop()
-            n = len(text)
-            del last[max(n, 1) :], size[max(n, 1) :]
+            node, n, c = stack.pop()
             if n:
-                step(text, n, in_word)
+                s = goto[states[n - 1]].get(c)
+                if s is None:
+                    s = next_state(states[n - 1], c)
+                for t in inside[s]:
+                    k = n - length[t]
+                    if not k:
+                        break
+                    ok = known.get(last[k] << 32 | t)
+                    if ok or (ok is None and fits(last[k], t)):
+                        break
+                else:
+                    raise ValueError(f"no encoding of a prefix of {n} symbols that ends in {c!r}")
+                if n < len(last):
+                    last[n], states[n] = t, s
+                else:
+                    last.append(t)
+                    states.append(s)
             for key, below in node.items():
                 if key is not None:
-                    stack.append((below, text + key))
-            for word in node.get(None, ()):
-                step(word, n + 1, at_end)
-                found, at = [last.pop()], n + 1 - size.pop()
-                while at:
-                    found.append(last[at])
-                    at -= size[at]
-                found.reverse()
-                out[word] = found
+                    stack.append((below, n + 1, key))
+                    continue
+                for word in below:
+                    size = len(word)
+                    if size > n + 1:
+                        walk(word, n)
+                    s = next_state(states[size - 1], word[-1])
+                    for t in ending[s]:
+                        k = size - length[t]
+                        if not k or ((ok := known.get(last[k] << 32 | t)) is None and fits(last[k], t)) or ok:
+                            break
+                    else:
+                        raise ValueError(f"no encoding of {word!r}")
+                    found, at = [t], size - length[t]
+                    while at:
+                        t = last[at]
+                        found.append(t)
+                        at -= length[t]
+                    found.reverse()
+                    out[word] = found
         return out
 
 
 class Encoder:
     """Texts to ids, chunk by chunk: no word crosses white space, so equal chunks have equal ids wherever they stand."""
 
-    def __init__(self, path: str, forms: tuple[str, ...] = ("decimal", "text"), most: int = MAX_KEPT) -> None:
+    def __init__(self, path: str, forms: tuple[str, ...] = ("decimal", "text"), most: int = KEPT_BYTES) -> None:
         self.v = Vocabulary(path)
         self.most = most
         # what is kept of a chunk: its ids in decimal, its decoded text, or its ids as little-endian 32-bit integers
-        self.kept: dict[str, dict] = {f: {} for f in forms}
+        self.forms = [{"decimal": (" ", self.v.decimal), "text": (" ", self.v.tokens), "packed": (b"", self.v.raw)}[f] for f in forms]
+        self.kept: list[dict] = [{} for _ in forms]
+        self.older: list[dict] = [{} for _ in forms]
+        self.bytes = 0
         self.table = str.maketrans({chr(b): x for b, x in enumerate(self.v.symbols)})
 
-    def chunks(self, text: str | None) -> list[str]:
-        """Normalised chunks; a special string is one of its own."""
+    def chunks(self, text: str | None) -> list:
+        """Normalised chunks; a special string is one of its own, told from a chunk of the same letters by its tuple."""
         if not text:
             return []
         if self.v.specials is not None and any(s in text for s in self.v.special):
-            out = []
-            for part in self.v.specials.split(text):
-                out.extend([part] if part in self.v.special else self._chunks(part))
+            out: list = []
+            for k, part in enumerate(self.v.specials.split(text)):
+                out.extend([(part,)] if k % 2 else self._chunks(part))
             return out
         return self._chunks(text)
 
@@ -208,45 +272,70 @@ class Encoder:
         """A word in byte-level symbols; printable ASCII stands for itself."""
         return w if w.isascii() and w.isprintable() else w.encode("utf-8", "replace").decode("latin-1").translate(self.table)
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set) -> None:
         """Keeps the forms of chunks not seen yet; those of their words that are new too go into one trie.
 
-        A word is a chunk of one word, so both share the same entries.
+        A word is a chunk of one word, so both share the same entries. What was used since the last change of generation
+        is kept; when that fills half of the bytes, it becomes the older one, and what was there and not used is dropped.
         """
-        v = self.v
-        forms = [(d, *{"decimal": (" ", v.decimal), "text": (" ", v.tokens), "packed": (b"", v.raw)}[f]) for f, d in self.kept.items()]
-        done = forms[0][0]
-        if len(done) > self.most:
-            for d, _, _ in forms:
-                d.clear()
-        of = {c: v.word.findall(c) for c in chunks.difference(done) if c not in v.special}
-        need = {w for ws in of.values() for w in ws}.difference(done)
+        v, kept, older = self.v, self.kept, self.older
+        if 2 * self.bytes > self.most:
+            older[:] = kept
+            kept[:] = [{} for _ in kept]
+            self.bytes = 0
+        new = self._kept_before(chunks)
+        of = {c: v.word.findall(c) for c in new if type(c) is str}
+        need = self._kept_before({w for ws in of.values() for w in ws})
         symbols = {self._word(w): w for w in need}
-        found = Trie(symbols).encode(v)
-        found.update((c, [v.special[c]]) for c in chunks if c in v.special)
-        for d, between, part in forms:
-            join = between.join
+        found: dict = Trie(symbols).encode(v)
+        found.update((c, [v.special[c[0]]]) for c in new if type(c) is not str)
+        for d, (between, part) in zip(kept, self.forms):
+            join, get = between.join, d.__getitem__
             for s, ids in found.items():
                 d[symbols.get(s, s)] = join([part[i] for i in ids]) if len(ids) > 1 else part[ids[0]]
             for c, ws in of.items():
                 if len(ws) > 1:
-                    d[c] = join([d[w] for w in ws])
+                    d[c] = join(map(get, ws))
+                elif not ws:
+                    d[c] = join(())
+        self.bytes += 250 * len(kept) * len(found) + sum(map(len, found)) * 4 * len(kept) + 250 * len(of)
+
+    def _kept_before(self, chunks: set) -> list:
+        """Those that aren't kept; the others are among what was used of late afterwards."""
+        first, new, back = self.older[0], [], []
+        for c in chunks.difference(self.kept[0]):
+            (back if c in first else new).append(c)
+        for d, old in zip(self.kept, self.older):
+            for c in back:
+                d[c] = old[c]
+        self.bytes += 300 * len(back)
+        return new
+
+    def _forget_long(self, chunks: set) -> None:
+        for c in [c for c in chunks if len(c) > LONG_CHUNK]:
+            for d in self.kept:
+                for w in (c, *self.v.word.findall(c)):
+                    d.pop(w, None)
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple]:
         """What the encoder's forms are of each text."""
         split = [self.chunks(t) for t in texts]
+        every = set().union(*split)
         gc.disable()  # the caches hold no cycles; walking them again and again is most of a collection's work
-        self.learn(set().union(*split))
+        self.learn(every)
         gc.enable()
-        forms = [(b"" if f == "packed" else " ", d.__getitem__) for f, d in self.kept.items()]
-        for c in split:
-            yield tuple(between.join(map(get, c)) for between, get in forms)
+        forms = [(between.join, d.__getitem__) for d, (between, _) in zip(self.kept, self.forms)]
+        try:
+            for c in split:
+                yield tuple(join(map(get, c)) for join, get in forms)
+        finally:
+            self._forget_long(every)
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, *forms: str, most: int = MAX_KEPT) -> Encoder:
+def encoder(path: str, *forms: str, most: int = KEPT_BYTES) -> Encoder:
     """One for each worker process, kept between tasks."""
     if (path, forms) not in _encoders:
         _encoders[path, forms] = Encoder(path, forms, most)

@@ -191,6 +191,30 @@ def test_trie_on_random_words():
         assert ids == " ".join(map(str, want)) and decoded == lib.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_special_strings_long_words_and_small_caches():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    mine = bpe_trie.Encoder(path, most=1 << 16)  # changes its generation again and again
+    r = random.Random(8)
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|> b", "<|endoftext|>", "x<|startoftext|><|endoftext|>Y", "q" * 200_000, "ab1" * 20_000, "漢" * 50_000]
+    texts += [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 90))) for _ in range(60)) for _ in range(120)] * 2
+    for k in range(0, len(texts), 20):
+        for t, (ids, decoded) in zip(texts[k : k + 20], mine.encode(texts[k : k + 20])):
+            want = lib.encode(t, add_special_tokens=False).ids
+            assert ids == " ".join(map(str, want)) and decoded == lib.decode(want, skip_special_tokens=False)
+    assert max(map(len, mine.kept[0])) <= bpe_trie.LONG_CHUNK
+    packed = bpe_trie.Encoder(path, ("packed",))
+    assert [np.frombuffer(x, "<i4").tolist() for (x,) in packed.encode(texts[:5])] == [lib.encode(t, add_special_tokens=False).ids for t in texts[:5]]
+
+
+def test_bpe_clashing_columns_and_empty_tables(clash):
+    out = bpe_trie.encode_documents(clash.withColumns({"ids": F.lit(1), "n_tokens": F.lit("x"), "decoded": F.lit(2)}), vocabulary("word_bpe_49k.json"))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() == len(TEXTS) + 1
+    assert bpe_trie.encode_documents(clash.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
+
+
 # 6
 def brute_hits(text, items):
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
