@@ -50,32 +50,61 @@ def test_run_gives_encodings(spark, folder):
 
 
 def test_near_dedup_finds_edited_copies(spark):
-    from mnemos.llm import jaccard
+    """Held against the links that the definition gives: a common bucket, near fingerprints, a similarity of 0.8."""
+    import numpy as np
+
+    from mnemos.llm import simhash
 
     text = {i: prose(96, 500 + i) for i in range(30)}
     edit = lambda t, *at: " ".join("zz" if k in at else w for k, w in enumerate(t.split()))
     text |= {100 + i: edit(text[i], 40) for i in range(10)} | {200 + i: edit(text[i], 10, 30, 50, 70) for i in range(10, 20)}
-    text |= {1000 + k: edit(text[25], k, (7 * k) % 96) for k in range(40)}  # more than a small bucket
+    text |= {1000 + k: edit(text[25], k, (7 * k) % 96) for k in range(60)}  # a crowd of one base
+    text |= {2000 + k: edit(text[26], k, (k + 30) % 96, (k + 60) % 96) for k in range(40)}  # a crowd whose members differ more
     docs = spark.createDataFrame(list(text.items()), "doc_id bigint, text string")
-    sets = {i: jaccard.shingles(t) for i, t in text.items()}
-    up = {i: i for i in text}
-
-    def find(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in text:
-        for j in text:
-            a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if i < j and len(a & b) >= 0.8 * len(a | b):
-                up[max(find(i), find(j))] = min(find(i), find(j))
-    want = sorted(i for i in text if find(i) == i)
-    assert not {*range(100, 110)} & {*want} and {*range(210, 220)} < {*want}
-    assert sorted(r["doc_id"] for r in corpus_pipeline.apply_near_dedup(spark, docs, "").select("doc_id").collect()) == want
-    for small in (2, 1000):
-        got = dict(jaccard.similar_components(docs, small_bucket=small).collect())
-        assert len(got) - len(set(got.values())) == len(set(text.values())) - len(want)  # copies are one node
+    sets = {i: simhash.shingle_set(t) for i, t in text.items()}
+
+    def two(h):
+        again = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return simhash.majority(h), simhash.majority(again ^ (again >> np.uint64(29)))
+
+    fps = {i: two(h) for i, h in sets.items()}
+    masks = simhash.covering_masks(simhash.COVERED_RADIUS, simhash.COVERED_BITS)
+
+    def removed(linked):
+        up = {i: i for i in text}
+
+        def find(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i in text:
+            for j in text:
+                if i < j and linked(i, j):
+                    up[max(find(i), find(j))] = min(find(i), find(j))
+        return sorted(i for i in text if find(i) == i)
+
+    def like(i, j):
+        a, b = set(sets[i].tolist()), set(sets[j].tolist())
+        return len(a & b) >= 0.8 * len(a | b)
+
+    def proposed(i, j):
+        x, y = fps[i][0] ^ fps[j][0], fps[i][1] ^ fps[j][1]
+        return any(not x & m for m in masks) and x.bit_count() + y.bit_count() <= simhash.FAR
+
+    want = removed(lambda i, j: proposed(i, j) and like(i, j))
+    every = removed(like)
+    assert set(every) <= set(want) and len(text) - len(want) >= 0.9 * (len(text) - len(every))
+    got = sorted(r["doc_id"] for r in corpus_pipeline.apply_near_dedup(spark, docs, "").select("doc_id").collect())
+    assert got == want and {*range(210, 220)} < {*got}
+
+
+def test_near_dedup_of_tables_without_links(spark):
+    schema = "doc_id bigint, text string"
+    assert corpus_pipeline.apply_near_dedup(spark, spark.createDataFrame([], schema), "").count() == 0
+    rows = [(1, None), (2, ""), (3, " "), (4, "a"), (5, "b"), (6, None)]
+    got = corpus_pipeline.apply_near_dedup(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3, 4, 5]  # null and empty texts are copies of one another
 
 
 def test_near_dedup_keeps_null_ids_and_texts_that_share_an_id(spark):
