@@ -38,9 +38,14 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset) a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or a new local one where all run in this process.
+
+    On a cluster without that setting this raises: executors would each write to a disk of their own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-shared-")
     return folder.rstrip("/")
 

@@ -20,26 +20,31 @@ from mnemos.llm.quality_rules import labelled_sample
 
 OWN = 12  # features of a line; with those of its neighbours and a constant there are FEATURES
 FEATURES = 3 * OWN + 1
+#: Features of a long text are made for so many lines at a time; sequences are padded to so many cells at most together.
+LINES_AT_ONCE = 1 << 15
+CELLS_AT_ONCE = 1 << 17
 _SYMBOLS = {ord(c): None for c in "#*$%&|<>"}
 _SPACES = {ord(c): None for c in " \t\n\r\x0b\x0c"}
 
 
 @dataclass(frozen=True)
 class CrfConfig:
-    """max_docs and max_lines bound what is learned from (a sample by hash of the id, its first lines), at any scale."""
+    """max_docs and max_lines bound what is learned from, at any scale: so many labelled documents at most, by hash, that
+    together have so many lines at most. Each is learned from whole; one of more than max_lines lines isn't chosen."""
 
     max_docs: int = 4000
-    max_lines: int = 120
+    max_lines: int = 200_000
     steps: int = 150
     rate: float = 0.15
     decay: float = 1e-4
     threshold: float = 0.7
 
 
-def line_features(lines: list[str]) -> np.ndarray:
-    """A row for each line, from the whole line: shares and log counts, all within about 0 and 1."""
+def line_features(lines: list[str], seen: set[str] | None = None) -> np.ndarray:
+    """A row for each line, from the whole line: shares and log counts, all within about 0 and 1. `seen` holds the
+    document's earlier lines, where these aren't its first, and takes these."""
     out = np.zeros((len(lines), OWN))
-    seen: set[str] = set()
+    seen = set() if seen is None else seen
     for i, line in enumerate(lines):
         w = line.split()
         n = len(w)
@@ -67,13 +72,16 @@ def line_features(lines: list[str]) -> np.ndarray:
 def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(lines, FEATURES): each line's own features, those of the lines before and behind it, and 1; and line lengths."""
     lines = (text or "").split("\n")
-    own = line_features(lines)
-    x = np.zeros((len(lines), FEATURES))
+    return with_neighbours(line_features(lines)), np.array([len(s) for s in lines], dtype=np.float64)
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(own), FEATURES))
     x[:, :OWN] = own
     x[1:, OWN : 2 * OWN] = own[:-1]
     x[:-1, 2 * OWN : 3 * OWN] = own[1:]
     x[:, -1] = 1
-    return x, np.array([len(s) for s in lines], dtype=np.float64)
+    return x
 
 
 @dataclass(frozen=True)
@@ -84,29 +92,53 @@ class Crf:
     moves: np.ndarray
 
     def marginals(self, xs: list[np.ndarray]) -> list[np.ndarray]:
-        odds, sizes, order = _padded([x @ self.weights for x in xs])
-        good, _, _ = _forward_backward(odds, sizes, self.moves)
-        out: list[np.ndarray] = [np.empty(0)] * len(xs)
-        for r, i in enumerate(order):
-            out[i] = good[r, : sizes[r]]
+        return self.from_odds([x @ self.weights for x in xs])
+
+    def from_odds(self, odds: list[np.ndarray]) -> list[np.ndarray]:
+        """P(line is good) of each sequence, from its lines' own log odds."""
+        order = sorted(range(len(odds)), key=lambda i: -len(odds[i]))
+        sizes = np.array([len(odds[i]) for i in order], dtype=np.int64)
+        out: list[np.ndarray] = [np.empty(0)] * len(odds)
+        for lo, hi in _blocks(sizes):
+            padded = np.zeros((hi - lo, sizes[lo]))
+            for r in range(lo, hi):
+                padded[r - lo, : sizes[r]] = odds[order[r]]
+            good, _, _ = _forward_backward(padded, sizes[lo:hi], self.moves)
+            for r in range(lo, hi):
+                out[order[r]] = good[r - lo, : sizes[r]]
         return out
 
+    def line_odds(self, lines: list[str]) -> np.ndarray:
+        """A document's lines' log odds; features are made for a block of lines at a time."""
+        views = self.weights[:-1].reshape(3, OWN).T  # what a line adds to its own odds, to the next line's, to the last's
+        seen: set[str] = set()
+        adds = np.concatenate([line_features(lines[i : i + LINES_AT_ONCE], seen) @ views for i in range(0, len(lines), LINES_AT_ONCE)])
+        odds = adds[:, 0] + self.weights[-1]
+        odds[1:] += adds[:-1, 1]
+        odds[:-1] += adds[1:, 2]
+        return odds
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        made = [document_features(t) for t in texts]
+        odds, lengths = [], []
+        for t in texts:
+            lines = (t or "").split("\n")
+            odds.append(self.line_odds(lines))
+            lengths.append(np.fromiter(map(len, lines), dtype=np.float64, count=len(lines)))
         out = np.empty(len(texts))
-        for i, (p, (_, size)) in enumerate(zip(self.marginals([x for x, _ in made]), made)):
+        for i, (p, size) in enumerate(zip(self.from_odds(odds), lengths)):
             out[i] = (p * size).sum() / size.sum() if size.sum() else p.mean()
         return np.clip(out, 0.0, 1.0)
 
 
-def _padded(odds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Longest first, so that at each line the sequences still going are the first rows."""
-    order = sorted(range(len(odds)), key=lambda i: -len(odds[i]))
-    sizes = np.array([len(odds[i]) for i in order])
-    out = np.zeros((len(odds), sizes[0] if len(odds) else 0))
-    for r, i in enumerate(order):
-        out[r, : sizes[r]] = odds[i]
-    return out, sizes, order
+def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of sequences, longest first, that are padded together: none under half of the run's longest, and at most
+    CELLS_AT_ONCE cells, so one long text costs its own length only."""
+    lo = 0
+    while lo < len(sizes):
+        fit = min(len(sizes), lo + max(1, CELLS_AT_ONCE // max(1, int(sizes[lo]))))
+        hi = lo + max(1, int(np.searchsorted(-sizes[lo:fit], -(sizes[lo] / 2), side="right")))
+        yield lo, hi
+        lo = hi
 
 
 def _forward_backward(odds: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,12 +186,19 @@ def fit_crf(xs: list[np.ndarray], labels: np.ndarray, config: CrfConfig = CrfCon
     seen = np.zeros((2, 2))
     seen[0, 0], seen[1, 1] = ((sizes - 1) * (1 - y)).sum(), ((sizes - 1) * y).sum()
     n = sizes.sum()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
     state = [np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)]
-    odds = np.zeros((len(order), sizes[0]))
+    good = np.empty(n)
     for k in range(1, config.steps + 1):
-        odds[at, col] = flat @ weights
-        good, moved, _ = _forward_backward(odds, sizes, moves)
-        grad = np.concatenate([flat.T @ (y[at] - good[at, col]), (seen - moved).ravel()]) / n - config.decay * np.concatenate([weights, moves.ravel()])
+        odds, moved = flat @ weights, np.zeros((2, 2))
+        for lo, hi in _blocks(sizes):
+            mine = slice(ends[lo], ends[hi])
+            padded = np.zeros((hi - lo, sizes[lo]))
+            padded[at[mine] - lo, col[mine]] = odds[mine]
+            here, m, _ = _forward_backward(padded, sizes[lo:hi], moves)
+            good[mine] = here[at[mine] - lo, col[mine]]
+            moved += m
+        grad = np.concatenate([flat.T @ (y[at] - good), (seen - moved).ravel()]) / n - config.decay * np.concatenate([weights, moves.ravel()])
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         change = config.rate * (state[0] / (1 - 0.9**k)) / (np.sqrt(state[1] / (1 - 0.99**k)) + 1e-8)
@@ -169,26 +208,28 @@ def fit_crf(xs: list[np.ndarray], labels: np.ndarray, config: CrfConfig = CrfCon
 
 
 def train(docs: DataFrame, labels: DataFrame, config: CrfConfig = CrfConfig(), doc_id: str = "doc_id", text: str = "text") -> Crf:
-    """Learns from a bounded sample of labelled rows: features are made on the executors, at most
-    max_docs x max_lines x OWN numbers of 32 bits reach the driver. labels holds the rows that may be learned from."""
+    """Learns from a bounded sample of labelled rows, equal texts of one label once: features are made on the executors,
+    at most max_lines x OWN numbers of 32 bits reach the driver. labels holds the rows that may be learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [line_features((t or "").split("\n")[: config.max_lines]).astype("<f4").tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column(1)], names=["x", "y"])
+            made = [line_features((t or "").split("\n")).astype("<f4").tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *b.columns[1:]], names=["x", "y", "h", "n"])
 
     sample = labelled_sample(docs.select(doc_id, text), labels, "quality", config.max_docs, doc_id)
-    rows = materialise(sample.select(F.col(text).cast("string"), F.col("quality").cast("int")).mapInArrow(run, "x binary, y int"), "crf-lines").collect()
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    n = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    once = sample.select(t.alias("t"), F.col("quality").cast("int").alias("y"), F.xxhash64(t).alias("h"), n.cast("long").alias("n")).where(F.col("n") <= config.max_lines).dropDuplicates(["h", "y"])
+    made = materialise(once.mapInArrow(run, "x binary, y int, h bigint, n bigint"), "crf-lines")
+    chosen, total = [], 0
+    for r in made.select("h", "y", "n").orderBy("h", "y").limit(config.max_docs).collect():
+        total += r["n"]
+        if total > config.max_lines:
+            break
+        chosen.append(r["h"])
+    rows = made.where(F.col("h") <= max(chosen)).collect() if chosen else []
     rows.sort(key=lambda r: (len(r["x"]), bytes(r["x"]), r["y"]))  # the same model whatever the order of rows
-    xs = []
-    for r in rows:
-        own = np.frombuffer(r["x"], dtype="<f4").reshape(-1, OWN).astype(np.float64)
-        x = np.zeros((len(own), FEATURES))
-        x[:, :OWN] = own
-        x[1:, OWN : 2 * OWN] = own[:-1]
-        x[:-1, 2 * OWN : 3 * OWN] = own[1:]
-        x[:, -1] = 1
-        xs.append(x)
+    xs = [with_neighbours(np.frombuffer(r["x"], dtype="<f4").reshape(-1, OWN).astype(np.float64)) for r in rows]
     return fit_crf(xs, np.array([r["y"] for r in rows]), config)
 
 

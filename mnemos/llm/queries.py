@@ -126,7 +126,7 @@ WITH templates AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(name, k, grams)),
 clean AS (SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), chr(10)) AS lines, row_number() OVER () AS r FROM documents),
 lines AS (SELECT doc_id, r, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM clean),
 tokens AS (SELECT doc_id, r, i, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines),
-grams AS (SELECT doc_id, r, i, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM tokens WHERE len(w) BETWEEN 2 AND 200),
+grams AS (SELECT doc_id, r, i, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM tokens WHERE len(w) >= 2),
 scores AS (SELECT doc_id, r, i, name, k, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM grams g, templates t WHERE len(list_intersect(g.g, t.grams)) > 0),
 best AS (SELECT doc_id, r, i, max(dice) AS dice, arg_min(name, (-dice, k)) AS name FROM scores WHERE dice >= {licenses.THRESHOLD} GROUP BY ALL),
 by_doc AS (SELECT r, arg_min(name, (-dice, i)) AS license, round(max(dice), 6) AS dice, arg_min(i, (-dice, i)) AS line, count(*) AS n_matches, array_to_string(list_sort(list(DISTINCT name)), ',') AS licenses FROM best GROUP BY r)

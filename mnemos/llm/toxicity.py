@@ -45,8 +45,8 @@ class ToxicityConfig:
     """max_docs bounds the labelled sample that everything is learned from, whatever the input."""
 
     max_docs: int = 20_000
-    max_terms: int = 96
     least_count: int = 5
+    least_share: float = 0.005  # of the toxic documents, that a learned word or beginning occurs in
     least_precision: float = 0.8
     steps: int = 300
     threshold: float = 0.5
@@ -66,26 +66,29 @@ class Lexicon:
 
 
 def learn_lexicon(sample: DataFrame, config: ToxicityConfig, text: str = "text", label: str = "toxic") -> Lexicon:
-    """Distributed counts of documents by word (equal texts count once); a bounded number of words reaches the driver."""
+    """Distributed counts of documents by word (equal texts count once). A word or beginning is learned by its evidence
+    alone: how many toxic documents have it (least_count, and least_share of them), and how few others (least_precision).
+    What reaches the driver are the words of toxic documents at these thresholds, of a sample bounded by max_docs."""
     once = sample.groupBy(F.xxhash64(text)).agg(F.first(text).alias("t"), F.max(label).alias("y"))
     flat = F.regexp_replace(ascii_lower(F.coalesce(F.col("t"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
     once = once.select("y", F.explode(F.array_distinct(F.split(flat, " "))).alias("w"))
     counts = materialise(once.where("w != ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")), "toxic-words")
     n, p = F.col("n"), F.col("p")
-    terms = [r["w"] for r in counts.where((p >= config.least_count) & (p >= config.least_precision * n)).orderBy(F.desc("p"), "w").limit(config.max_terms).collect()]
+    least = max(config.least_count, config.least_share * (sample.agg(F.sum(label)).first()[0] or 0))
+    terms = [r["w"] for r in counts.where((p >= least) & (p >= config.least_precision * n)).orderBy(F.desc("p"), "w").collect()]
     seeds = [w for k in LEXICONS for w in LEXICONS[k]]
     cleared = {r["w"] for r in counts.where(F.col("w").isin(seeds) & (n >= 4) & (p < 0.4 * n)).collect()}
     begins = counts.where(n - p <= 1).select(n, p, F.explode(F.array(*(F.when(F.length("w") > k, F.substring("w", 1, k)) for k in (5, 6, 7)))).alias("s")).where("s is not null")
-    best = begins.groupBy("s").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("words")).where((p >= 2 * config.least_count) & (p >= config.least_precision * n) & (F.col("words") >= 4))
+    best = begins.groupBy("s").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("words")).where((p >= 2 * least) & (p >= config.least_precision * n) & (F.col("words") >= 4))
     stems: list[str] = []
-    for r in best.orderBy(F.length("s"), F.desc("p"), "s").limit(config.max_terms).collect():
+    for r in best.orderBy(F.length("s"), F.desc("p"), "s").collect():
         if not any(r["s"].startswith(x) for x in stems):
             stems.append(r["s"])
     if stems:
         starts = F.lit(False)
         for x in stems:
             starts = starts | F.col("w").startswith(x)
-        cleared |= {r["w"] for r in counts.where(starts & (n - p >= 2) & (p < 0.5 * n)).orderBy(F.desc(n - p), "w").limit(2000).collect()}
+        cleared |= {r["w"] for r in counts.where(starts & (n - p >= 2) & (p < 0.5 * n)).collect()}
     return Lexicon(tuple(terms), tuple(stems), frozenset(cleared))
 
 
@@ -176,13 +179,15 @@ class LabelModel:
     weight: np.ndarray  # 1 / (1 + sum of a voter's correlations given the class)
 
     @staticmethod
-    def fit(votes: np.ndarray, prior: float, rounds: int = 60) -> LabelModel:
+    def fit(votes: np.ndarray, prior: float, rounds: int = 60, times: np.ndarray | None = None) -> LabelModel:
         """Expectation maximisation, then the correlations that remain given the class, then again with those weights.
 
         A voter's log likelihood ratio counts 1 / (1 + sum of |correlations|), so that voters that repeat each other
-        weigh together about what one weighs.
+        weigh together about what one weighs. Row i of votes counts times[i] times (once, where not given).
         """
-        n, m = votes.shape
+        m = votes.shape[1]
+        times = np.ones(len(votes)) if times is None else times.astype(np.float64)
+        n = times.sum()
         onehot = np.stack([votes == k for k in (-1, 0, 1)], axis=-1).astype(np.float32)
         toxic, clean = (votes > 0).sum(axis=1), (votes < 0).sum(axis=1)
         start = np.clip(prior + 0.4 * np.sign(toxic - clean * 0.5) * (toxic + clean > 0), 0.02, 0.98)
@@ -190,7 +195,7 @@ class LabelModel:
         post, rates = start, np.full((m, 2, 3), 1 / 3)
         for phase in range(2):
             for _ in range(rounds):
-                for c, p in ((0, 1 - post), (1, post)):
+                for c, p in ((0, times * (1 - post)), (1, times * post)):
                     rates[:, c] = (np.einsum("n,nmk->mk", p, onehot) + 0.1) / (p.sum() + 0.3)
                 ratio = np.log(rates[:, 1] / rates[:, 0])
                 score = np.log(prior / (1 - prior)) + np.einsum("nmk,mk,m->n", onehot, ratio, weight)
@@ -201,9 +206,9 @@ class LabelModel:
                     break
             if phase == 0:
                 left = votes - (post[:, None] * (rates[:, 1, 2] - rates[:, 1, 0]) + (1 - post)[:, None] * (rates[:, 0, 2] - rates[:, 0, 0]))
-                sd = left.std(axis=0)
+                sd = np.sqrt(times @ (left - times @ left / n) ** 2 / n)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    corr = np.abs((left.T @ left) / n / np.outer(sd, sd))
+                    corr = np.abs(((left.T * times) @ left) / n / np.outer(sd, sd))
                 corr = np.where(np.isfinite(corr) & (corr > 0.1), np.minimum(corr, 1.0), 0.0)
                 np.fill_diagonal(corr, 0.0)
                 weight = 1 / (1 + corr.sum(axis=1))
@@ -230,14 +235,16 @@ class ToxicityModel:
         return out
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, steps: int, decay: float = 1e-3) -> np.ndarray:
-    """Logistic regression on soft targets by damped Newton steps; the last weight is the constant."""
+def fit_linear(x: np.ndarray, target: np.ndarray, steps: int, decay: float = 1e-3, times: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression on soft targets by damped Newton steps; the last weight is the constant. Row i counts times[i]
+    times."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    share = np.full(len(x), 1 / len(x)) if times is None else times / times.sum()
     w = np.zeros(x.shape[1])
     for _ in range(min(steps, 50)):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (target - p) / len(x) - decay * w
-        hess = (x.T * (p * (1 - p))) @ x / len(x) + (decay + 1e-6) * np.eye(len(w))
+        grad = x.T @ (share * (target - p)) - decay * w
+        hess = (x.T * (share * p * (1 - p))) @ x + (decay + 1e-6) * np.eye(len(w))
         change = np.linalg.solve(hess, grad)
         w = w + change
         if np.abs(change).max() < 1e-6:
@@ -266,10 +273,11 @@ def train(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     if not kinds:
         model = LabelModel(prior, np.full((m, 2, 3), 1 / 3), np.ones(m))
         return ToxicityModel(voters, model, np.r_[np.full(len(LEXICONS) + len(PATTERNS), 3.0), np.zeros(3), -2.0])
-    votes = np.array([np.frombuffer(k["v"], dtype=np.int8) for k in kinds for _ in range(k["n"])]).reshape(-1, m).astype(np.int64)
-    x = np.array([np.frombuffer(k["x"], dtype="<f4") for k in kinds for _ in range(k["n"])]).reshape(len(votes), -1).astype(np.float64)
-    model = LabelModel.fit(votes, prior)
-    return ToxicityModel(voters, model, fit_linear(x, model.posterior(votes), config.steps))
+    votes = np.array([np.frombuffer(k["v"], dtype=np.int8) for k in kinds]).reshape(-1, m).astype(np.int64)
+    x = np.array([np.frombuffer(k["x"], dtype="<f4") for k in kinds]).reshape(len(votes), -1).astype(np.float64)
+    times = np.array([k["n"] for k in kinds], dtype=np.float64)
+    model = LabelModel.fit(votes, prior, times=times)
+    return ToxicityModel(voters, model, fit_linear(x, model.posterior(votes), config.steps, times=times))
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -33,9 +33,10 @@ def path_of(url: Column) -> Column:
 
 
 def rule_expression(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """The longest rule that fits, as a struct of the rule's text and verdict; null where none fits."""
+    """The longest rule that fits, as a struct of the rule's text and verdict; null where none fits. Of rules of one length
+    the greater text holds, of equal texts a block."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2], r[0])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
@@ -45,6 +46,7 @@ def match_rules(urls: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame
     """urls(host, path, ...) with rule and rule_verdict. A DataFrame of rules has verdict, host, path.
 
     A short list becomes one conditional expression. A long one is joined on the distinct (host, path)'s host suffixes.
+    Both settle ties as rule_expression says.
     """
     if not isinstance(rules, DataFrame):
         if len(rules) <= MAX_INLINE_RULES:
