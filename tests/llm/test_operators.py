@@ -60,6 +60,17 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_url_rules_of_one_length_hold_alike_in_both_forms(spark, monkeypatch):
+    rules = [("block", "b.org", "/x"), ("allow", "b.org", "/x"), ("allow", "org", "/x/aa"), ("block", "b.org", "/"), ("block", "a.b.org", "/"), ("allow", "b.org", "/x/1")]
+    urls = spark.createDataFrame([("b.org", "/x/aa"), ("b.org", "/x/1"), ("b.org", "/xy"), ("b.org", "/y"), ("c.com", "/")], "host string, path string")
+    pick = lambda rs: rows(url_filter.match_rules(urls, rs), "host", "path", "rule", "rule_verdict")
+    inline = pick(rules)
+    assert pick(rules[::-1]) == inline
+    monkeypatch.setattr(url_filter, "MAX_INLINE_RULES", 0)
+    assert pick(rules) == inline and pick(rules[::-1]) == inline
+    assert ("b.org", "/x/aa", "org/x/aa", "allow") in inline and ("b.org", "/xy", "b.org/x", "block") in inline
+
+
 def test_url_aliases_of_relative_targets_and_case(spark):
     base = "HTTP://A.k.org.zz/d/e/p?q=1#f"
     aim = ["page2.html", "../a", "?id=1", "./x/./y/../z", "/r/../s", "//M.nn/b", "..", "#top", "mailto:x@y", "r.php?u=http://q.q/", "HTTPS://Big.Host/Path"]
@@ -159,6 +170,35 @@ def test_forward_backward_by_enumeration():
         assert np.allclose(got, want / total)
 
 
+def test_crf_blocks_change_nothing(monkeypatch):
+    r = np.random.default_rng(5)
+    crf = quality_crf.Crf(r.normal(size=quality_crf.FEATURES), r.normal(size=(2, 2)))
+    texts = [None, "", "\n" * 3000, *("\n".join("Word " * int(k) for k in r.integers(0, 9, n)) for n in (1, 2, 40, 700))]
+    want = crf.scores(texts)
+    for i, t in enumerate(texts):
+        x, size = quality_crf.document_features(t)
+        p = crf.marginals([x])[0]
+        assert want[i] == pytest.approx((p * size).sum() / size.sum() if size.sum() else p.mean(), abs=1e-9)
+    monkeypatch.setattr(quality_crf, "LINES_AT_ONCE", 7)
+    monkeypatch.setattr(quality_crf, "CELLS_AT_ONCE", 50)
+    assert crf.scores(texts) == pytest.approx(want, abs=1e-9)
+    padded = [(hi - lo) * s for sizes in [np.array([3000, 700, 40, 2, 1, 1, 1])] for lo, hi in quality_crf._blocks(sizes) for s in [sizes[lo]]]
+    assert max(padded) == 3000 and sum(padded) < 4000
+
+
+def test_crf_learns_from_whole_documents_within_its_bounds(spark):
+    tail = "\n".join(["Good words stand here."] * 150 + ["$$ ## ||"] * 150)
+    docs = spark.createDataFrame([(i, ("Good words stand here. " + str(i) + "\n") * 300 if i % 2 else tail + str(i), "en", "s", 0) for i in range(60)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    model = quality_crf.train(docs, labels)
+    good, bad = model.scores([docs.where("doc_id = 1").first()["text"], docs.where("doc_id = 0").first()["text"]])
+    assert good > 0.8 > bad
+    few = quality_crf.train(docs.union(docs), labels, quality_crf.CrfConfig(max_lines=3100, steps=5))
+    assert few.weights.any()
+    none = quality_crf.train(docs, labels, quality_crf.CrfConfig(max_lines=10))
+    assert none.scores(["x"]).tolist() == [0.5]
+
+
 def test_crf_held_out(spark, clash):
     bad = lambda t: t.upper().replace(" ", "!! ")
     docs = spark.createDataFrame([(i, bad(prose(80, i)) if i % 3 == 0 else prose(80, i), "en", "s", 0) for i in range(150)], DOCS)
@@ -301,6 +341,8 @@ def test_label_model_discounts_repeating_voters():
     votes = np.stack([a, b, c, c, c], axis=1)
     m = toxicity.LabelModel.fit(votes, 0.2)
     assert m.weight[2] < 0.6 < m.weight[0]
+    kinds, times = np.unique(votes, axis=0, return_counts=True)
+    assert toxicity.LabelModel.fit(kinds, 0.2, times=times).rates == pytest.approx(m.rates, abs=1e-3)
     right = lambda model: ((model.posterior(votes) > 0.5) == y).mean()
     assert right(m) > right(toxicity.LabelModel(m.prior, m.rates, np.ones(5)))
 
