@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemos.config import FIELD, FieldConfig
+from mnemos.config import EPS, FIELD, FieldConfig
 from mnemos.functions import costs
-from mnemos.functions.vectors import cosine
+from mnemos.functions.vectors import norm, vdot
+from mnemos.kernels.nearest import Nearest, by_width
 
 #: Cues that are dealt to every partition of the traces at a time; more are worked off in blocks of this size.
 CUE_BLOCK_BYTES = 64 << 20
@@ -40,11 +44,30 @@ def _against_all(cues: DataFrame, traces: DataFrame) -> DataFrame:
 def topk_similar(cues: DataFrame, traces: DataFrame, k: int = FIELD.candidate_size) -> DataFrame:
     """(cue_id, trace_id, score, rank): exact cosine top-k among all traces, ties by trace_id ascending.
 
-    The window's rank limit is applied before the shuffle by cue, so each partition sends k rows a cue at most.
+    Cues are a stated query set, dealt to the tasks in blocks of CUE_BLOCK_BYTES: each task multiplies its traces with the
+    block as matrices and keeps k rows a cue, so k rows a cue and partition are shuffled. A null vector, and one whose
+    score is no number, is like nothing; vectors meet those of their own width.
     """
-    scored = _against_all(cues.select("cue_id", "z"), traces.select("trace_id", "z_mu")).select("cue_id", "trace_id", cosine(F.col("z"), F.col("z_mu")).alias("score"))
+    cues, traces = cues.select("cue_id", "z"), traces.select("trace_id", "z_mu")
+    cue_type, trace_type = cues.schema["cue_id"].dataType.simpleString(), traces.schema["trace_id"].dataType.simpleString()
+    size = cues.agg(F.sum(F.size("z") * 8 + 64)).first()[0] or 0
+    blocks, out = 1 + int(size) // CUE_BLOCK_BYTES, None
+    for b in range(blocks):
+        part = cues if blocks == 1 else cues.where(F.pmod(F.xxhash64("cue_id"), F.lit(blocks)) == b)
+        block = part.toArrow()
+        ids, known = block.column(0).combine_chunks(), by_width(block.column(1))
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, known=known) -> Iterator[pa.RecordBatch]:
+            best = Nearest(known, k)
+            for x in batches:
+                best.add(x.column(0), x.column(1))
+            for at, found, score in best.rows():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), found, pa.array(score)], names=["cue_id", "trace_id", "score"])
+
+        found = traces.mapInArrow(run, f"cue_id {cue_type}, trace_id {trace_type}, score double")
+        out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("cue_id").orderBy(F.desc("score"), "trace_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def expand_groups(candidates: DataFrame, groups: DataFrame, traces: DataFrame) -> DataFrame:
@@ -63,9 +86,11 @@ def make_candidates(cues: DataFrame, traces: DataFrame, size: int = FIELD.candid
     blended score, structural traces; then their groups. All are rescored; the top `size` stay. cues has cue_id,
     session_id, z, context.
     """
-    seen = session_scope(cues, traces)
+    # norms are made once a row, not once a pair
+    seen = session_scope(cues.withColumns({"_nz": norm(F.col("z")), "_nc": norm(F.col("context"))}), traces.withColumns({"_nm": norm(F.col("z_mu")), "_nx": norm(F.col("ctx_mu"))}))
     mine = F.when((F.col("session_id") != "") & (F.col("trace_session") == F.col("session_id")), 0.25).otherwise(0.0)
-    latent, ctx = cosine(F.col("z"), F.col("z_mu")), cosine(F.col("context"), F.col("ctx_mu"))
+    cosine = lambda a, b, n, m: vdot(F.col(a), F.col(b)) / F.greatest(F.col(n) * F.col(m), F.lit(EPS))
+    latent, ctx = cosine("z", "z_mu", "_nz", "_nm"), cosine("context", "ctx_mu", "_nc", "_nx")
     scored = seen.withColumns({"_latent": latent, "_ctx": ctx, "_mass": costs.structural_role_mass(), "_mine": mine})
     blended = 0.65 * F.col("_latent") + 0.25 * F.col("_ctx") + 0.1 * F.col("evidence") + 0.1 * F.col("access_ema") - 0.05 * F.col("uncertainty") + F.col("_mine")
     final = 0.60 * F.col("_latent") + 0.20 * F.col("_ctx") + 0.15 * F.col("evidence") - 0.10 * F.col("uncertainty") + 0.05 * F.col("_mass") + F.col("_mine")

@@ -140,3 +140,28 @@ def test_snapshots(spark, tmp_path):
     row.write.mode("append").parquet(f"{path}/manifest")
     with pytest.raises(ValueError):
         snapshots.read_latest_snapshot(spark, path)
+
+
+def test_nearest_by_brute_force():
+    import pyarrow as pa
+
+    from mnemos.kernels.nearest import Nearest, by_width
+
+    r = np.random.default_rng(3)
+    cues = r.integers(-2, 3, (700, 4)).astype(float).tolist() + [None, [1.0, 2.0], [0.0] * 4]
+    batches = [[(f"t{b}-{i}", v) for i, v in enumerate([*r.integers(-2, 3, (n, 4)).astype(float).tolist(), None, [3.0, 1.0], [float("nan")] * 4])] for b, n in enumerate((3, 0, 90, 40))]
+    best = Nearest(by_width(pa.array(cues, pa.list_(pa.float64()))), 5)
+    for b in batches:
+        best.add(pa.array([i for i, _ in b]), pa.array([v for _, v in b], pa.list_(pa.float64())))
+    got: dict = {}
+    for at, ids, score in best.rows():
+        for c, i, s in zip(at.tolist(), ids.to_pylist(), score.tolist()):
+            got.setdefault(c, []).append((-s, i))
+
+    def cosine(a, b):
+        dot = lambda x, y: sum((p * q for p, q in zip(x, y)), 0.0)
+        return dot(a, b) / max(np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)), 1e-8)
+
+    for c, x in enumerate(cues):
+        want = sorted((-cosine(x, v), i) for b in batches for i, v in b if x and v and len(v) == len(x) and v == v and not np.isnan(v).any())[:5]
+        assert got.get(c, []) == want
