@@ -13,6 +13,8 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -151,10 +153,12 @@ def label_components(fps: DataFrame, radius: int = RADIUS, links: DataFrame | No
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: similar_components: words of a shingle, the least similarity as a fraction (so that whole numbers decide), the bits of
-#: the fingerprint that the masks cover and their radius, and the bits of 128 that may differ in a proposed pair.
+#: similar_components: words of a shingle, the least similarity as a fraction (so that whole numbers decide), the
+#: fingerprints of a text, the bits of each that its masks cover and their radius, and the bits of all fingerprints that
+#: may differ in a proposed pair. Four sets of 31 masks over bits of their own catch more than one set of 127 over the
+#: bits of one fingerprint, whose tables all miss the same pairs.
 SIMILAR_WORDS, OVER, UNDER = 5, 4, 5
-COVERED_BITS, COVERED_RADIUS, FAR = 40, 6, 32
+GROUPS, COVERED_BITS, COVERED_RADIUS, FAR = 4, 40, 4, 60
 #: Rounds in which each text meets one proposed partner at most; then all that is still open is compared.
 ROUNDS = 3
 
@@ -177,8 +181,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return UNDER * both >= OVER * (len(a) + len(b) - both)
 
 
+def _mixed(h: np.ndarray, g: int) -> np.ndarray:
+    """Other bits of the same hashes for each g; the hashes themselves for 0."""
+    if not g:
+        return h
+    z = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 * (2 * g + 1) % (1 << 64))
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ (z >> np.uint64(32))
+
+
 def _sketches(docs: DataFrame, n: int, text: str) -> DataFrame:
-    """key, fp and fp2 of each distinct text with a shingle: two fingerprints of its set of shingles, 128 bits together."""
+    """key and fp0, fp1, ... of each distinct text with a shingle: GROUPS fingerprints of its set of shingles."""
+    names = [f"fp{g}" for g in range(GROUPS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -188,18 +202,18 @@ def _sketches(docs: DataFrame, n: int, text: str) -> DataFrame:
                     h = shingle_set(t, n)
                     if len(h):
                         keys.append(key)
-                        again = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)  # other bits of the same hashes
-                        fps.append((majority(h), majority(again ^ (again >> np.uint64(29)))))
-                both = np.array(fps, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["key", "fp", "fp2"])
+                        fps.append([majority(_mixed(h, g)) for g in range(GROUPS)])
+                both = np.array(fps, dtype=np.uint64).reshape(-1, GROUPS).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(both[:, g]) for g in range(GROUPS))], names=["key", *names])
 
     named = docs.select(text_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
-    return materialise(named.mapInArrow(run, "key bigint, fp bigint, fp2 bigint").dropDuplicates(["key"]), "similar-sketches")
+    schema = ", ".join(f"{c} bigint" for c in ["key", *names])
+    return materialise(named.mapInArrow(run, schema).dropDuplicates(["key"]), "similar-sketches")
 
 
 def _apart(a: str, b: str) -> Column:
-    """Differing bits, of 128."""
-    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.fp2").bitwiseXOR(F.col(f"{b}.fp2")))
+    """Differing bits of all fingerprints."""
+    return reduce(add, (F.bit_count(F.col(f"{a}.fp{g}").bitwiseXOR(F.col(f"{b}.fp{g}"))) for g in range(GROUPS)))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, text: str) -> DataFrame:
@@ -259,9 +273,10 @@ def _resolved(proposed: DataFrame, links: DataFrame | None, docs: DataFrame, n:
 def similar_components(docs: DataFrame, n: int = SIMILAR_WORDS, bits: int = COVERED_BITS, radius: int = COVERED_RADIUS, text: str = "text") -> DataFrame:
     """(node, component) over the keys of texts that link to another; component is the least key reachable.
 
-    Texts link if some covering mask of `radius` over the first `bits` bits gives their fingerprints one bucket, they
-    differ in FAR of 128 bits at most, and their sets of n-word shingles have a Jaccard similarity of 4/5 at least. So
-    every pair within the radius is compared, most others of that similarity are, and no pair of less is linked.
+    Texts link if some covering mask of `radius` over the first `bits` bits of one of their fingerprints gives them one
+    bucket, they differ in FAR of all bits at most, and their sets of n-word shingles have a Jaccard similarity of 4/5 at
+    least. So every pair within the radius in any fingerprint is compared, most others of that similarity are, and no
+    pair of less is linked.
 
     Buckets are counted before anything is gathered. Each text of a bucket is proposed to the bucket's least, a hub, so
     a bucket of any size costs as much as it has texts. Only in buckets where texts of different components are left do
@@ -269,10 +284,10 @@ def similar_components(docs: DataFrame, n: int = SIMILAR_WORDS, bits: int = COVE
     """
     sketches = _sketches(docs, n, text)
     masks = covering_masks(radius, bits)
-    shift = bits if bits + radius + 1 <= 63 else None
-    if shift is None:
-        raise ValueError("bits and radius + 1 share 63 bits of a bucket's number")
-    bucket = F.explode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).bitwiseOR(F.lit(t << shift).cast("bigint")) for t, m in enumerate(masks))))
+    tables = [(g, m) for g in range(GROUPS) for m in masks]
+    if bits + len(tables).bit_length() > 63:
+        raise ValueError("the covered bits and the table's number share 63 bits of a bucket's number")
+    bucket = F.explode(F.array(*(F.col(f"fp{g}").bitwiseAND(F.lit(m).cast("bigint")).bitwiseOR(F.lit(t << bits).cast("bigint")) for t, (g, m) in enumerate(tables))))
     keyed = sketches.select("key", bucket.alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1")
     sizes = materialise(sizes, "similar-buckets")

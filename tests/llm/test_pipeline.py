@@ -63,11 +63,12 @@ def test_near_dedup_finds_edited_copies(spark):
     docs = spark.createDataFrame(list(text.items()), "doc_id bigint, text string")
     sets = {i: simhash.shingle_set(t) for i, t in text.items()}
 
-    def two(h):
-        again = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        return simhash.majority(h), simhash.majority(again ^ (again >> np.uint64(29)))
+    def mixed(h, g):
+        z = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 * (2 * g + 1) % (1 << 64))
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return z ^ (z >> np.uint64(32))
 
-    fps = {i: two(h) for i, h in sets.items()}
+    fps = {i: [simhash.majority(mixed(h, g) if g else h) for g in range(simhash.GROUPS)] for i, h in sets.items()}
     masks = simhash.covering_masks(simhash.COVERED_RADIUS, simhash.COVERED_BITS)
 
     def removed(linked):
@@ -89,8 +90,8 @@ def test_near_dedup_finds_edited_copies(spark):
         return len(a & b) >= 0.8 * len(a | b)
 
     def proposed(i, j):
-        x, y = fps[i][0] ^ fps[j][0], fps[i][1] ^ fps[j][1]
-        return any(not x & m for m in masks) and x.bit_count() + y.bit_count() <= simhash.FAR
+        apart = [x ^ y for x, y in zip(fps[i], fps[j])]
+        return any(not x & m for x in apart for m in masks) and sum(x.bit_count() for x in apart) <= simhash.FAR
 
     want = removed(lambda i, j: proposed(i, j) and like(i, j))
     every = removed(like)
