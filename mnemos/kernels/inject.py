@@ -130,7 +130,7 @@ class Session:
         ids = self.candidates(x, c)
         action, target, energy, _ = self.choose(x, c, ids, ts, anchor_id)
         if action in ("BIRTH", "SPLIT"):
-            own = "trace_" + hashlib.sha256(f"{self.id}|{anchor_id}|{self.seq}".encode()).hexdigest()[:12]
+            own = "trace_" + hashlib.sha256(f"{self.id}|{anchor_id}|{self.seq}".encode()).hexdigest()[:32]
             parent = self.traces.get(target) if target else None
             self.traces[own] = new_trace(own, x, c, ts, anchor_id) if parent is None else new_trace(own, x, parent["ctx_mu"], ts, anchor_id, np.minimum(0.40, 0.5 * parent["z_sigma_diag"]), parent["ctx_sigma_diag"])
             if parent is not None:

@@ -22,17 +22,17 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def nll(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Mean over dimensions of half the squared error by variance plus log variance, without the constant."""
+    """Sum over dimensions of half the squared error by variance plus log variance, without the constant."""
     mu, ls, _ = forward(m, x)
-    return 0.5 * ((y - mu) ** 2 * np.exp(-ls) + ls).mean(axis=1)
+    return 0.5 * ((y - mu) ** 2 * np.exp(-ls) + ls).sum(axis=1)
 
 
 def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Sums over rows, so that those of partitions add up."""
     mu, ls, (gate, prop, h, raw) = forward(m, x)
-    d, inv = y.shape[1], np.exp(-ls)
-    dmu = (mu - y) * inv / d
-    dls = 0.5 * (1 - (y - mu) ** 2 * inv) / d * ((raw > LOW) & (raw < HIGH))
+    inv = np.exp(-ls)
+    dmu = (mu - y) * inv
+    dls = 0.5 * (1 - (y - mu) ** 2 * inv) * ((raw > LOW) & (raw < HIGH))
     dh = dmu @ m["wm"].T + dls @ m["ws"].T
     dp, dg = dh * gate * (1 - prop**2), dh * prop * gate * (1 - gate)
     return {"wp": x.T @ dp, "bp": dp.sum(0), "wg": x.T @ dg, "bg": dg.sum(0), "wm": h.T @ dmu, "bm": dmu.sum(0), "ws": h.T @ dls, "bs": dls.sum(0)}, float(nll(m, x, y).sum())

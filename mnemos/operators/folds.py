@@ -61,7 +61,7 @@ def apply_actions(traces: DataFrame, decisions: DataFrame, config: FieldConfig =
     new = decisions.where("action in ('BIRTH', 'SPLIT')").join(old, "trace_id", "left")
     split = F.col("action") == "SPLIT"
     born = new.select(
-        F.concat(F.lit("trace_"), F.substring(F.sha2(F.concat_ws(":", F.col("anchor_id"), F.col("seq").cast("string")), 256), 1, 12)).alias("trace_id"), F.col("x").alias("z_mu"),
+        F.concat(F.lit("trace_"), F.substring(F.sha2(F.concat_ws(":", F.col("anchor_id"), F.col("seq").cast("string")), 256), 1, 32)).alias("trace_id"), F.col("x").alias("z_mu"),
         F.when(split, F.transform("pz", lambda v: F.least(F.lit(0.4), v / 2))).otherwise(F.transform("x", lambda _: F.lit(0.4))).alias("z_sigma_diag"), F.when(split, F.col("pc")).otherwise(F.col("c")).alias("ctx_mu"),
         F.when(split, F.col("ps")).otherwise(F.transform("c", lambda _: F.lit(0.6))).alias("ctx_sigma_diag"), F.lit(1.0).alias("evidence"), F.lit(0.0).alias("stability"), F.lit(1.0).alias("uncertainty"), F.lit(0.0).alias("pred_loss_ema"), F.lit(1.0).alias("access_ema"), F.col("ts").alias("last_access_ts"), F.array("anchor_id").alias("anchor_reservoir"),
     )

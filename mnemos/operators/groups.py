@@ -49,7 +49,7 @@ def create_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     member = groups.select("group_id", F.explode("member_ids").alias("m"))
     held = pairs.join(member.select("group_id", F.col("m").alias("first")), "first").join(member.select("group_id", F.col("m").alias("second")), ["group_id", "second"]).select("first", "second")
     new = pairs.select("first", "second").distinct().join(held, ["first", "second"], "left_anti")
-    return new.select(F.concat(F.lit("group_"), F.substring(F.sha2(F.concat_ws("\x1f", "first", "second"), 256), 1, 12)).alias("group_id"), F.array("first", "second").alias("member_ids"), F.array(F.lit(1.0), F.lit(1.0), F.lit(0.5)).alias("alpha"), F.lit(0.0).alias("unresolved_mass"), F.lit(1.0).alias("temperature"))
+    return new.select(F.concat(F.lit("group_"), F.substring(F.sha2(F.concat_ws("\x1f", "first", "second"), 256), 1, 32)).alias("group_id"), F.array("first", "second").alias("member_ids"), F.array(F.lit(1.0), F.lit(1.0), F.lit(0.5)).alias("alpha"), F.lit(0.0).alias("unresolved_mass"), F.lit(1.0).alias("temperature"))
 
 
 def unresolved_clusters(groups: DataFrame, anchors: DataFrame, config: FieldConfig = FIELD, trigger: float = 0.35, least: int = 3, compact: float = 0.35) -> DataFrame:

@@ -52,7 +52,7 @@ def packetize(events: DataFrame, max_chars: int = FIELD.packet_chars) -> DataFra
     out = events.select("*", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("payload"), i * size + 1, F.lit(size)))).alias("chunk_index", "chunk"))
     out = out.drop("payload").withColumnRenamed("chunk", "payload").withColumn("token_count", F.greatest(F.lit(1), F.floor(F.octet_length("payload") / 4).cast("int")))
     key = F.sha2(F.concat_ws("\x1f", "session_id", "turn_id", F.col("ts").cast("string"), F.col("chunk_index").cast("string"), "payload"), 256)
-    return out.withColumn("packet_id", F.concat(F.lit("pkt_"), F.substring(key, 1, 12)))
+    return out.withColumn("packet_id", F.concat(F.lit("pkt_"), F.substring(key, 1, 32)))
 
 
 def source_quality() -> Column:

@@ -117,6 +117,16 @@ def test_gradient_by_differences():
         assert abs((predictor.nll(up, x, y).sum() - predictor.nll(down, x, y).sum()) / 2e-6 - g[k][i]) < 1e-5
 
 
+def test_loss_is_summed_over_dimensions():
+    r = np.random.default_rng(5)
+    m, x, y = predictor.init(4, 5, 3), r.normal(size=(6, 4)), r.normal(size=(6, 3))
+    mu, log_var, _ = predictor.forward(m, x)
+    for i in range(6):
+        # a Gaussian's log density of each dimension, without its constant
+        want = sum(0.5 * ((y[i, k] - mu[i, k]) ** 2 / np.exp(log_var[i, k]) + log_var[i, k]) for k in range(3))
+        assert abs(predictor.nll(m, x, y)[i] - want) < 1e-12
+
+
 def test_training_lowers_the_loss(spark):
     r = np.random.default_rng(4)
     rows = [(x.tolist(), [float(x[0] - x[1])]) for x in r.normal(size=(200, 3))]
