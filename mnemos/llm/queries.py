@@ -101,7 +101,7 @@ def _judged(source: str, url: str) -> str:
       WHERE (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p) ORDER BY length(h || p) DESC LIMIT 1) r ON true)"""
 
 
-_TEMPLATES = ", ".join("('{}', {}, [{}])".format(n, i, ", ".join(f"'{g}'" for g in b)) for i, (n, b) in enumerate(licenses.template_bigrams(licenses.TEMPLATES)))
+_TEMPLATES = ", ".join("('{}', {}, {}, [{}])".format(n, i, len(licenses.normalised_words(licenses.TEMPLATES[n])), ", ".join(f"'{g}'" for g in b)) for i, (n, b) in enumerate(licenses.template_bigrams(licenses.TEMPLATES)))
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": rf"""
@@ -122,14 +122,24 @@ SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.rv, h.hv, 'allow') AS verdi
 FROM {_judged("pages", "url")} p LEFT JOIN heard h ON h.node = regexp_extract(p.url, '^[^#]*')
 """,
     "op10_license_scan": rf"""
-WITH templates AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(name, k, grams)),
-clean AS (SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), chr(10)) AS lines, row_number() OVER () AS r FROM documents),
-lines AS (SELECT doc_id, r, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM clean),
-tokens AS (SELECT doc_id, r, i, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines),
-grams AS (SELECT doc_id, r, i, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM tokens WHERE len(w) >= 2),
-scores AS (SELECT doc_id, r, i, name, k, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM grams g, templates t WHERE len(list_intersect(g.g, t.grams)) > 0),
-best AS (SELECT doc_id, r, i, max(dice) AS dice, arg_min(name, (-dice, k)) AS name FROM scores WHERE dice >= {licenses.THRESHOLD} GROUP BY ALL),
-by_doc AS (SELECT r, arg_min(name, (-dice, i)) AS license, round(max(dice), 6) AS dice, arg_min(i, (-dice, i)) AS line, count(*) AS n_matches, array_to_string(list_sort(list(DISTINCT name)), ',') AS licenses FROM best GROUP BY r)
+WITH templates AS (SELECT *, len(grams) AS nb FROM (VALUES {_TEMPLATES}) AS t(name, k, m, grams)),
+clean AS (SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x01-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g'), chr(10)) AS lines, row_number() OVER () AS r FROM documents),
+lines AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM clean),
+tokens AS (SELECT r, i, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines),
+grams AS (SELECT r, i, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM tokens WHERE len(w) >= 2),
+scores AS (SELECT r, i, name, k, 2.0 * len(list_intersect(g, grams)) / (len(g) + nb) AS dice FROM grams g, templates t WHERE len(list_intersect(g.g, t.grams)) > 0),
+best_lines AS (SELECT r, i, max(dice) AS dice, arg_min(name, (-dice, k)) AS name, arg_min(k, (-dice, k)) AS k FROM scores WHERE dice >= {licenses.THRESHOLD} GROUP BY r, i),
+spread AS (SELECT r, i, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM tokens),
+placed AS (SELECT r, i, word, row_number() OVER (PARTITION BY r ORDER BY i, j) - 1 AS p, count(*) OVER (PARTITION BY r) AS n FROM spread),
+pairs AS (SELECT r, i, p, n, word || ' ' || lead(word) OVER (PARTITION BY r ORDER BY p) AS gram FROM placed),
+wanted AS (SELECT name, k, m, nb, unnest(grams) AS gram FROM templates),
+met AS (SELECT r, p, n, k, name, m, nb, gram FROM pairs JOIN wanted USING (gram)),
+starts AS (SELECT DISTINCT r, k, name, m, nb, unnest(range(greatest(0, p - m + 2), least(p, greatest(0, n - m)) + 1)) AS s FROM met),
+shared AS (SELECT a.r, a.k, a.name, a.m, a.nb, a.s, count(DISTINCT b.gram) AS both FROM starts a JOIN met b ON a.r = b.r AND a.k = b.k AND b.p BETWEEN a.s AND a.s + a.m - 2 GROUP BY ALL HAVING count(DISTINCT b.gram) * (2 - {licenses.THRESHOLD}) >= {licenses.THRESHOLD} * a.nb - 1e-9),
+sized AS (SELECT a.r, a.k, a.name, a.s, 2.0 * a.both / (count(DISTINCT c.gram) + a.nb) AS dice FROM shared a JOIN pairs c ON a.r = c.r AND c.p BETWEEN a.s AND a.s + a.m - 2 AND c.gram IS NOT NULL GROUP BY a.r, a.k, a.name, a.s, a.both, a.nb),
+at_line AS (SELECT z.r, z.k, z.name, z.dice, q.i FROM sized z JOIN placed q ON q.r = z.r AND q.p = z.s WHERE z.dice >= {licenses.THRESHOLD}),
+best AS (SELECT r, i, dice, name, k FROM best_lines UNION ALL SELECT r, arg_min(i, (-dice, i)) AS i, max(dice) AS dice, name, k FROM at_line GROUP BY r, name, k),
+by_doc AS (SELECT r, arg_min(name, (-dice, i, k)) AS license, round(max(dice), 6) AS dice, arg_min(i, (-dice, i, k)) AS line, count(DISTINCT i) AS n_matches, array_to_string(list_sort(list(DISTINCT name)), ',') AS licenses FROM best GROUP BY r)
 SELECT c.doc_id, b.license, CAST(coalesce(b.dice, 0.0) AS DOUBLE) AS dice, CAST(b.line AS BIGINT) AS line, coalesce(b.n_matches, 0) AS n_matches, coalesce(b.licenses, '') AS licenses
 FROM clean c LEFT JOIN by_doc b USING (r)
 """,

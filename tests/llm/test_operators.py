@@ -408,15 +408,52 @@ def test_license_scan(spark):
     got = rows(licenses.scan_licenses(df), "doc_id")
     assert [(r[1], r[3], r[4]) for r in got] == [(None, None, 0), (None, None, 0), ("Apache-2.0", 1, 1), ("MIT", 0, 2), (None, None, 0), (None, None, 0), ("proprietary", 0, 2)]
 
-    def dice(a, b):
-        w = licenses.normalised_words(a)
+    check_licenses(texts, got)
+
+
+def check_licenses(texts, got):
+    """Every line, and every window of each template's number of words, against each template."""
+    known = [(n, k, set(b), len(licenses.normalised_words(licenses.TEMPLATES[n]))) for k, (n, b) in enumerate(licenses.template_bigrams(licenses.TEMPLATES))]
+
+    def dice(w, b):
         x = {f"{p} {q}" for p, q in zip(w, w[1:])}
-        return 2 * len(x & set(b)) / (len(x) + len(b)) if x else 0.0
+        return 2 * len(x & b) / (len(x) + len(b)) if x else 0.0
 
-    known = licenses.template_bigrams(t)
     for r in got:
-        best = max([0.0, *(dice(line, b) for line in (texts[r[0]] or "").split("\n") for _, b in known)])
-        assert abs(r[2] - (best if best >= licenses.THRESHOLD else 0.0)) < 1e-6
+        placed = [(w, i) for i, line in enumerate((texts[r[0]] or "").split("\n")) for w in licenses.normalised_words(line)]
+        w, hits = [x for x, _ in placed], []
+        for i in {i for _, i in placed}:
+            line = [x for x, j in placed if j == i]
+            hits.append(min((-dice(line, b), i, k, n) for n, k, b, _ in known))
+        for n, k, b, m in known:
+            hits += sorted((-dice(w[s : s + m], b), placed[s][1], k, n) for s in range(max(1, len(w) - m + 1)) if w)[:1]
+        hits = sorted(h for h in hits if h[0] <= -licenses.THRESHOLD)
+        want = (hits[0][3], round(-hits[0][0], 6), hits[0][1]) if hits else (None, 0.0, None)
+        assert tuple(r[1:4]) == want, (r, want)
+        assert (r[4], r[5]) == (len({h[1] for h in hits}), ",".join(sorted({h[3] for h in hits})))
+
+
+def test_license_scan_of_wrapped_and_embedded_notices(spark):
+    t = licenses.TEMPLATES
+
+    def wrapped(text, width, mark):
+        lines = [mark]
+        for w in text.split():
+            lines[-1] = f"{lines[-1]} {w}" if len(lines[-1]) + len(w) < width else lines.append(f"{mark} {w}") or lines[-1]
+        return "\n".join(lines)
+
+    names = [n for n in t if n.startswith(("MIT-", "GPL-3.0-n", "BSD", "Apache-2.0-n"))]
+    texts = [wrapped(t[n], width, mark) for n in names for width, mark in ((72, "#"), (40, " *"), (30, "//"))]
+    texts += [prose(300, 11) + "\n" + wrapped(t[n], 60, "//") + "\n" + prose(50, 12) for n in names]
+    found = len(texts)
+    texts += ["Copyright (c) 2020 Jane Doe. All rights reserved.", "This project is released under the MIT License, see below.", "All rights\nreserved"]
+    texts += ["all", "reserved all", "\n\n", t["MIT"].replace(" ", "\n"), prose(20000, 13) + " " + t["CC0-1.0"] + " " + prose(2000, 14), (t["BSD-3-Clause"] + " and ") * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = rows(licenses.scan_licenses(df), "doc_id")
+    check_licenses(texts, got)
+    assert all(names[k // 3 if k < 3 * len(names) else k - 3 * len(names)] in got[k][5].split(",") for k in range(found))
+    assert [r[1] for r in got[found : found + 3]] == ["proprietary", "MIT", "proprietary"]
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
 def test_digest_of_ids():
