@@ -89,10 +89,10 @@ def encoding(path: str, pattern: str):
     return _encodings[path, pattern]
 
 
-SCHEMA = "pack_id bigint, doc_ids array<bigint>, starts array<bigint>, cu_seqlens array<int>, n_tokens int, input_ids binary, position_ids binary"
+SCHEMA = "pack_id bigint, doc_ids array<{}>, starts array<bigint>, cu_seqlens array<int>, n_tokens int, input_ids binary, position_ids binary"
 
 
-def _rows(segments: list[Segment], row: int, pad: int, first: int) -> pa.RecordBatch:
+def _rows(segments: list[Segment], row: int, pad: int, first: int, id_type: pa.DataType) -> pa.RecordBatch:
     packs = best_fit_decreasing([len(s[2]) for s in segments], row)
     ids = np.full((len(packs), row), pad, dtype="<u2")
     positions = np.zeros((len(packs), row), dtype="<u2")
@@ -109,7 +109,7 @@ def _rows(segments: list[Segment], row: int, pad: int, first: int) -> pa.RecordB
         starts.append([segments[i][1] for i in pack])
         cuts.append(cu)
     return pa.RecordBatch.from_arrays(
-        [pa.array(range(first, first + len(packs)), pa.int64()), pa.array(docs, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int32())), pa.array([c[-1] for c in cuts], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in positions], pa.binary())],
+        [pa.array(range(first, first + len(packs)), pa.int64()), pa.array(docs, pa.list_(id_type)), pa.array(starts, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int32())), pa.array([c[-1] for c in cuts], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in positions], pa.binary())],
         names=[f.split()[0] for f in SCHEMA.split(", ")],
     )
 
@@ -133,21 +133,23 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, pad_id: int, row: i
         held: list[Segment] = []
         size = 0
         for whole in batches:
+            id_type = whole.schema.field(0).type
             for b in by_bytes(whole, 1, 2 << 20):
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     ids = e.encode_to_numpy(t, disallowed_special=()).astype("<u2") if t else np.empty(0, dtype="<u2")
                     held.extend(split_long(d, ids, row))
                     size += len(ids)
                     if size >= window:
-                        out = _rows(held, row, pad_id, first)
+                        out = _rows(held, row, pad_id, first, id_type)
                         first += out.num_rows
                         held, size = [], 0
                         yield from (out.slice(k, 512) for k in range(0, out.num_rows, 512))
         if held:
-            out = _rows(held, row, pad_id, first)
+            out = _rows(held, row, pad_id, first, id_type)
             yield from (out.slice(k, 512) for k in range(0, out.num_rows, 512))
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA.format(kind))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

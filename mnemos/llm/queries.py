@@ -105,13 +105,12 @@ _TEMPLATES = ", ".join("('{}', {}, {}, [{}])".format(n, i, len(licenses.normalis
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": rf"""
-WITH RECURSIVE keyed AS (SELECT regexp_extract(url, '^[^#]*') AS key, coalesce(html, '') AS html FROM pages WHERE contains(url, '://')),
+WITH RECURSIVE keyed AS (SELECT regexp_extract(url, '^[^#]*') AS key, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') AS html FROM pages WHERE contains(url, '://')),
 tags AS (SELECT key, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM keyed),
 named AS (
   SELECT key, CASE
-    WHEN regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)
-    WHEN regexp_matches(tag, '(?is)^<meta\b[^>]*\bproperty\s*=\s*["'']?og:url\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?([^"''\s>]+)', 1) END AS t FROM tags),
+    WHEN regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?(?:[a-z]+\s+)*canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END AS t FROM tags),
 aimed AS (SELECT key, regexp_extract({_TARGET}, '^[^#]*') AS dst FROM named WHERE t <> ''),
 edges AS (SELECT DISTINCT key AS a, dst AS b FROM aimed WHERE dst <> '' AND dst <> key),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),

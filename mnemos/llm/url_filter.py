@@ -85,12 +85,12 @@ def _without_dots(path: Column) -> Column:
 
 
 def _targets(html: Column) -> Column:
-    """What the page's canonical links, refresh redirects and og:url name, as written."""
+    """What the page's canonical links and refresh redirects name, as written, outside of comments."""
     head = F.coalesce(html, F.lit(""))
-    canonical = F.regexp_extract_all(head, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
+    head = F.when(head.contains("<!--"), F.regexp_replace(head, r"(?s)<!--.*?-->", "")).otherwise(head)
+    canonical = F.regexp_extract_all(head, F.lit(r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?(?:[a-z]+\s+)*canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""), 1)
     refresh = F.regexp_extract_all(head, F.lit(r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""), 1)
-    og = F.regexp_extract_all(head, F.lit(r"""(?is)<meta\b(?=[^>]*\bproperty\s*=\s*["']?og:url\b)[^>]*\bcontent\s*=\s*["']?([^"'\s>]+)"""), 1)
-    return F.concat(canonical, refresh, og)
+    return F.concat(canonical, refresh)
 
 
 def resolve(target: Column, page: Column) -> Column:

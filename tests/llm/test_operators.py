@@ -71,6 +71,15 @@ def test_url_rules_of_one_length_hold_alike_in_both_forms(spark, monkeypatch):
     assert ("b.org", "/x/aa", "org/x/aa", "allow") in inline and ("b.org", "/xy", "b.org/x", "block") in inline
 
 
+def test_url_links_are_canonical_or_refresh_outside_of_comments(spark):
+    tags = [
+        "<link rel='nofollow canonical' href='http://a.a/1'>", "<!-- <link rel=canonical href='http://a.a/2'> -->", "<meta property='og:url' content='http://a.a/3'>",
+        "<!-- x --><meta http-equiv=refresh content='0; url=http://a.a/4'><!-- y -->", "<link rel='noncanonical' href='http://a.a/5'>",
+    ]
+    df = spark.createDataFrame([(i, f"http://b.b/{i}", t) for i, t in enumerate(tags)], "page_id bigint, url string, html string")
+    assert sorted(map(tuple, url_filter.alias_edges(df).collect())) == [("http://b.b/0", "http://a.a/1"), ("http://b.b/3", "http://a.a/4")]
+
+
 def test_url_aliases_of_relative_targets_and_case(spark):
     base = "HTTP://A.k.org.zz/d/e/p?q=1#f"
     aim = ["page2.html", "../a", "?id=1", "./x/./y/../z", "/r/../s", "//M.nn/b", "..", "#top", "mailto:x@y", "r.php?u=http://q.q/", "HTTPS://Big.Host/Path"]
@@ -154,6 +163,27 @@ def test_packing_is_lossless(clash):
         assert [x for _, p in parts for x in p] == want
 
 
+def test_packed_matrices_come_back_from_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([("a", prose(200, 31)), (None, prose(30, 32)), ("b", None)], "doc_id string, text string")
+    packing.write_packed(packing.pack_documents(df, path, public_tokenizers.PATTERN, 50256, row=64), str(tmp_path / "packed"))
+    back = pq.read_table(tmp_path / "packed")
+    ids, positions = (packing.read_matrix(back, c, 64) for c in ("input_ids", "position_ids"))
+    assert ids.shape == positions.shape == (back.num_rows, 64)
+    whole = collections.defaultdict(dict)
+    for k, r in enumerate(back.select(["doc_ids", "starts", "cu_seqlens"]).to_pylist()):
+        for d, s, x, y in zip(r["doc_ids"], r["starts"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            whole[d][s] = ids[k, x:y].tolist()
+            assert positions[k, x:y].tolist() == list(range(y - x))
+    lib = packing.encoding(path, public_tokenizers.PATTERN)
+    assert {d: [x for s in sorted(p) for x in p[s]] for d, p in whole.items()} == {d: lib.encode_ordinary(t) for d, t in ((r["doc_id"], r["text"]) for r in df.collect()) if t}
+    assert packing.pack_documents(df.limit(0), path, public_tokenizers.PATTERN, 50256, row=64).count() == 0
+
+
 # 4
 def test_forward_backward_by_enumeration():
     import itertools
