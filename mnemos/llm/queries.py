@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with SQL where it can state the result."""
+"""The registered queries of the operators, with SQL where it can state the result."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemos.llm import bpe_trie, decontaminate, licenses, packing, quality_crf, quality_rules, simhash, token_counts, toxicity, url_filter
+from mnemos.llm import bpe_trie, conversation_repair, decontaminate, licenses, packing, quality_crf, quality_rules, simhash, token_counts, toxicity, url_filter, whitening
 from mnemos.llm.common import fold, table
 
 #: Fixed values of the contract.
@@ -72,6 +72,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(conversation_repair.damage(table(spark, sf_dir, "conversations")), copies="copies")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1,
     "op2_quality_rules": op2,
@@ -83,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8,
     "op9_token_counts": op9,
     "op10_license_scan": op10,
+    "op11_conversation_repair": op11,
+    "op13_embedding_whitening": op13,
 }
 
 _TARGET = r"""CASE WHEN contains(t, '://') THEN t
