@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemos.llm import bpe_trie, conversation_repair, decontaminate, licenses, packing, quality_crf, quality_rules, simhash, token_counts, toxicity, url_filter, whitening
+from mnemos.llm import bpe_trie, conversation_repair, decontaminate, licenses, ngram_join, packing, quality_crf, quality_rules, simhash, token_counts, toxicity, url_filter, whitening
 from mnemos.llm.common import fold, table
 
 #: Fixed values of the contract.
@@ -76,6 +76,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_conversations(conversation_repair.damage(table(spark, sf_dir, "conversations")), copies="copies")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9,
     "op10_license_scan": op10,
     "op11_conversation_repair": op11,
+    "op12_ngram_join": op12,
     "op13_embedding_whitening": op13,
 }
 
