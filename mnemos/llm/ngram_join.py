@@ -12,7 +12,7 @@ components are left are joined whole: the texts outside of the group's largest c
 block; pairs within a component change nothing and are passed over. So components are exact, and no pair is left out.
 
 Edge cases: null, empty and blank texts have an empty set and link with nothing, copies included; fewer words than a shingle
-are one shingle; equal texts are one node by 128 bits; repeated rows and ids stay; a null id is never the least of a
+are one shingle; equal texts have one key of 128 bits; repeated rows and ids stay; a null id is never the least of a
 component that has others; texts of any length are taken whole; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -35,6 +35,8 @@ WORDS, OVER, UNDER = 5, 4, 5
 COUNT_BITS = 20
 #: Sets of a block, and hubs of a group.
 BLOCK, HUBS = 256, 4
+#: A sieve takes 2^SIEVE_BITS / 8 bytes (16 MB) at most.
+SIEVE_BITS = 27
 
 
 def text_key(text: Column) -> Column:
@@ -164,19 +166,61 @@ def joined(sets: list[np.ndarray], roots: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def shingle_sets(docs: DataFrame, words: int = WORDS, text: str = "text") -> DataFrame:
-    """node (a number), key, n and tokens (ascending) of each distinct text with a shingle, written once."""
+def sieve(hashes: DataFrame) -> np.ndarray:
+    """Packed bits of the hashes in the only column, 16 or more a hash up to SIEVE_BITS in all, joined by slice.
+
+    What it lets through is met by an exact join later, so its size decides what moves, never what comes out.
+    """
+    bits = 1 << max(16, min(SIEVE_BITS, (16 * hashes.count()).bit_length()))
+    part = min(bits, 1 << 18)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, dtype=bool)
+        for b in batches:
+            seen[b.column(0).to_numpy() & (bits - 1)] = True
+        for k, own in enumerate(seen.reshape(-1, part)):
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()])], names=["part", "bits"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = np.zeros(part // 8, dtype=np.uint8)
+        for x in table["bits"].to_pylist():
+            total |= np.frombuffer(x, np.uint8)
+        return pa.table({"part": table["part"][:1], "bits": pa.array([total.tobytes()])})
+
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in hashes.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect():  # bits / 8 bytes in all
+        out[r["part"] * part // 8 :][: part // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def shingle_sets(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """node (a number), key, n and tokens (ascending) of each distinct text with a shingle, written once.
+
+    Texts don't move: the row of the least id stands for its text, found by a sieve over (key, id). Where ids repeat, or
+    the sieve is full, equal texts are several nodes, which are similar like any others.
+    """
+    keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    name = F.xxhash64("key", F.coalesce(F.col("_id").cast("string"), F.lit("")))
+    firsts = docs.sparkSession.sparkContext.broadcast(sieve(keyed.groupBy("key").agg(F.min("_id").alias("_id")).select(name)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in by_bytes(whole, 1):
+            if not whole.num_rows:
+                continue
+            first = whole.filter(pa.array(passes(firsts.value, whole.column(2).to_numpy())))
+            for b in by_bytes(first, 1):
                 sets = [shingle_set(t, words).view(np.int64) for t in b.column(1).to_pylist()]
                 sizes = np.array([len(s) for s in sets], dtype=np.int32)
                 tokens = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(sets))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), tokens], names=["key", "n", "tokens"])
 
-    keyed = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sets = keyed.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(run, "key binary, n int, tokens array<bigint>")
+    sets = keyed.select("key", "text", name.alias("name")).mapInArrow(run, "key binary, n int, tokens array<bigint>")
     return materialise(sets.where("n > 0").withColumn("node", F.monotonically_increasing_id()), "ngram-sets")
 
 
@@ -208,9 +252,11 @@ def bucket_counts(sets: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
     return out
 
 
-def prefix_records(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, node, short) for each prefix shingle of each set; short: one that also meets partners not smaller."""
+def prefix_records(sets: DataFrame, counts: np.ndarray, met: np.ndarray | None = None) -> DataFrame:
+    """(token, node, short) for each prefix shingle of each set; short: one that also meets partners not smaller. met: a
+    sieve of the shingles to give."""
     order = sets.sparkSession.sparkContext.broadcast(counts)
+    sieved = sets.sparkSession.sparkContext.broadcast(met)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, mask = order.value, len(order.value) - 1
@@ -222,9 +268,11 @@ def prefix_records(sets: DataFrame, counts: np.ndarray) -> DataFrame:
                 all_, few = prefixes(int(e - s))
                 tokens = flat[s:e]
                 rare = tokens[np.argsort(count[tokens & mask], kind="stable")[:all_]]
-                alone = count[rare & mask] == 1  # in one set of all: nobody to meet
-                held.append(rare[~alone])
-                short.append((np.arange(all_) < few)[~alone])
+                there = count[rare & mask] > 1  # else in one set of all: nobody to meet
+                if sieved.value is not None:
+                    there &= passes(sieved.value, rare)
+                held.append(rare[there])
+                short.append((np.arange(all_) < few)[there])
                 of.append(np.full(len(held[-1]), i))
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), b.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(short))], names=["token", "node", "short"])
@@ -257,7 +305,15 @@ def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
                     held.append(flat[offsets[r] - offsets[0] : offsets[r + 1] - offsets[0]].copy())
         yield from links()
 
-    full = groups.join(sets.select("node", "tokens"), "node").select("token", "i", "k", "node", "root", "tokens")
+    groups = materialise(groups, "ngram-groups")
+    wanted = sets.sparkSession.sparkContext.broadcast(sieve(groups.select(F.xxhash64("node")).distinct()))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(passes(wanted.value, b.column(2).to_numpy()))).select([0, 1])
+
+    near = sets.select("node", "tokens", F.xxhash64("node")).mapInArrow(sift, "node bigint, tokens array<bigint>")
+    full = groups.join(near, "node").select("token", "i", "k", "node", "root", "tokens")
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = full.repartition(n, "token", "i", "k").sortWithinPartitions("token", "i", "k", "node")
     return materialise(dealt.mapInArrow(run, "src bigint, dst bigint"), "ngram-links")
@@ -304,9 +360,10 @@ def similar_components(sets: DataFrame, hints: DataFrame | None = None) -> DataF
 
     hints: links (src, dst) already known to be true, which spare comparisons and change nothing else.
     """
-    records = prefix_records(sets, bucket_counts(sets))
-    groups = records.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max("short").alias("meets")).where("size > 1 and meets").select("token", "size")
-    shared = materialise(records.join(groups, "token"), "ngram-shared")
+    counts = bucket_counts(sets)
+    groups = prefix_records(sets, counts).groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max("short").alias("meets")).where("size > 1 and meets")
+    groups = materialise(groups.select("token", "size"), "ngram-tokens")
+    shared = materialise(prefix_records(sets, counts, sieve(groups.select("token"))).join(groups, "token"), "ngram-shared")
     links = _links(_first_meetings(shared), sets)
     links = links if hints is None else links.union(hints)
     components = materialise(connected_components(links), "ngram-components")
@@ -315,9 +372,9 @@ def similar_components(sets: DataFrame, hints: DataFrame | None = None) -> DataF
 
 def link_documents(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles (of its set) and component_id (least doc_id reachable over links, itself included) of each row."""
-    sets = shingle_sets(docs, words, text)
+    sets = shingle_sets(docs, words, doc_id, text)
     found = similar_components(sets)
-    known = sets.join(found, "node", "left").select("key", "n", F.coalesce("component", "node").alias("root"))
+    known = sets.join(found, "node", "left").groupBy("key").agg(F.first("n").alias("n"), F.min(F.coalesce("component", "node")).alias("root"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"))
     least = rows.groupBy("key").agg(F.min("doc_id").alias("least")).join(known, "key")
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
