@@ -31,8 +31,8 @@ from mnemos.llm.simhash import shingle_set
 
 #: Words of a shingle; similarity OVER / UNDER at least, so that whole numbers decide.
 WORDS, OVER, UNDER = 5, 4, 5
-#: The global order's counts are kept for 2^COUNT_BITS buckets of hashes (4 bytes each): they order, they decide nothing.
-COUNT_BITS = 20
+#: The global order's counts are kept for 2^COUNT_BITS buckets of hashes at most (a byte each): they order, they decide nothing.
+COUNT_BITS = 25
 #: Sets of a block, and hubs of a group.
 BLOCK, HUBS = 256, 4
 #: A sieve takes 2^SIEVE_BITS / 8 bytes (16 MB) at most.
@@ -49,9 +49,9 @@ def reaches(both: int, a: int, b: int) -> bool:
     return (OVER + UNDER) * both >= OVER * (a + b)
 
 
-def prefixes(n: int) -> tuple[int, int]:
-    """How many of the rarest shingles a set of n must show to meet any partner, and any that isn't smaller."""
-    return n - (OVER * n + UNDER - 1) // UNDER + 1, n - (2 * OVER * n + OVER + UNDER - 1) // (OVER + UNDER) + 1
+def prefix(n: int) -> int:
+    """How many of its rarest shingles a set of n must show to share one with any partner."""
+    return n - (OVER * n + UNDER - 1) // UNDER + 1
 
 
 class Trie:
@@ -224,37 +224,39 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", te
     return materialise(sets.where("n > 0").withColumn("node", F.monotonically_increasing_id()), "ngram-sets")
 
 
-def bucket_counts(sets: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
-    """How many sets have a shingle of each bucket: 2^bits counts, added by task and then by slice of buckets."""
-    part = 1 << 14
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle of each bucket of hashes, 255 at most: added by task and then by slice of buckets.
+
+    There are 2 to 4 buckets a shingle up to 2^COUNT_BITS; from there on rare and common shingles are told apart less well.
+    """
+    bits = max(16, min(COUNT_BITS, 1 + int(sets.agg(F.sum("n")).first()[0] or 0).bit_length()))
+    part = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int32)
+        total = np.zeros(1 << bits, dtype=np.uint8)
         for b in batches:
-            flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(flat & ((1 << bits) - 1), minlength=1 << bits).astype(np.int32)
-        at = np.flatnonzero(total)
-        cut = np.searchsorted(at, np.arange(0, (1 << bits) + 1, part))
-        for k, (i, j) in enumerate(zip(cut, cut[1:])):
-            if i < j:
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(at[i:j] - k * part).astype(np.int32).tobytes()]), pa.array([total[at[i:j]].tobytes()])], names=["part", "at", "n"])
+            at, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False) & ((1 << bits) - 1), return_counts=True)
+            total[at] = np.minimum(total[at] + n, 255)
+        for k, own in enumerate(total.reshape(-1, part)):
+            if len(at := np.flatnonzero(own)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([own[at].tobytes()])], names=["part", "at", "n"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(part, dtype=np.int64)
         for at, n in zip(table["at"].to_pylist(), table["n"].to_pylist()):
-            total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
-        return pa.table({"part": table["part"][:1].cast(pa.int32()), "n": pa.array([np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()])})
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8)
+        return pa.table({"part": table["part"][:1], "n": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])})
 
     found = sets.select("tokens").mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
-    out = np.zeros(1 << bits, dtype=np.int32)
-    for r in found.collect():  # 2^bits numbers in all
-        out[r["part"] * part :][:part] = np.frombuffer(r["n"], np.int32)
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for r in found.collect():  # 2^bits bytes in all
+        out[r["part"] * part :][:part] = np.frombuffer(r["n"], np.uint8)
     return out
 
 
 def prefix_records(sets: DataFrame, counts: np.ndarray, met: np.ndarray | None = None) -> DataFrame:
-    """(token, node, short) for each prefix shingle of each set; short: one that also meets partners not smaller. met: a
-    sieve of the shingles to give."""
+    """(token, node, n, cap) for each prefix shingle of each set; cap: how large a partner may be that it meets there first,
+    with all that follows in common. met: a sieve of the shingles to give."""
     order = sets.sparkSession.sparkContext.broadcast(counts)
     sieved = sets.sparkSession.sparkContext.broadcast(met)
 
@@ -263,21 +265,36 @@ def prefix_records(sets: DataFrame, counts: np.ndarray, met: np.ndarray | None =
         for b in batches:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(b.column(2).to_numpy())
-            held, of, short = [], [], []
+            held, of, caps = [], [], []
             for i, (s, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
-                all_, few = prefixes(int(e - s))
+                n = int(e - s)
                 tokens = flat[s:e]
-                rare = tokens[np.argsort(count[tokens & mask], kind="stable")[:all_]]
+                rare = tokens[np.argsort(count[tokens & mask], kind="stable")[: prefix(n)]]
                 there = count[rare & mask] > 1  # else in one set of all: nobody to meet
                 if sieved.value is not None:
                     there &= passes(sieved.value, rare)
                 held.append(rare[there])
-                short.append((np.arange(all_) < few)[there])
+                caps.append(((UNDER * n - (OVER + UNDER) * np.arange(len(rare))) // OVER)[there])
                 of.append(np.full(len(held[-1]), i))
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), b.column(0).take(pa.array(np.concatenate(of))), pa.array(np.concatenate(short))], names=["token", "node", "short"])
+                row = pa.array(np.concatenate(of))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), b.column(0).take(row), b.column(2).take(row), pa.array(np.concatenate(caps).astype(np.int32))], names=["token", "node", "n", "cap"])
+
+    return sets.select("node", "tokens", "n").mapInArrow(run, "token bigint, node bigint, n int, cap int")
 
-    return sets.select("node", "tokens", "n").mapInArrow(run, "token bigint, node bigint, short boolean")
+
+def _groups(records: DataFrame) -> DataFrame:
+    """(token, node, size) of groups in which each text has one that it can meet there by sizes and places.
+
+    A group is a shingle and a band of sizes: partners' sizes are within 5/4, and so in one band of 1.26 or in neighbours;
+    each text stands in its own band and the next. Equal tokens stand for equal groups.
+    """
+    band = F.floor(F.log("n") / float(np.log(1.26)))
+    banded = records.select(F.explode(F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1))).alias("token"), "node", "n", "cap")
+    for _ in range(2):
+        known = banded.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("cap").alias("hi")).where("size > 1")
+        banded = materialise(banded.join(known, "token").where("lo <= cap and n <= hi").select("token", "node", "n", "cap"), "ngram-bands")
+    return banded.join(banded.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "token").select("token", "node", "size")
 
 
 def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -321,7 +338,7 @@ def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _first_meetings(shared: DataFrame) -> DataFrame:
     """Each node in a block of the largest of its groups, with that group's hubs: groups (token, i, k, node, root)."""
-    chosen = shared.where("short").groupBy("node").agg(F.max(F.struct("size", "token")).alias("g")).select("node", "g.token")
+    chosen = shared.groupBy("node").agg(F.max(F.struct("size", "token")).alias("g")).select("node", "g.token")
     groups = chosen.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(h)).alias("h"), F.col("node").alias("node")))["node"] for h in range(HUBS))).alias("hubs")).where("c > 1")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     members = chosen.join(groups.select("token", blocks.alias("blocks")), "token").select("token", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("i"), "node")
@@ -361,9 +378,9 @@ def similar_components(sets: DataFrame, hints: DataFrame | None = None) -> DataF
     hints: links (src, dst) already known to be true, which spare comparisons and change nothing else.
     """
     counts = bucket_counts(sets)
-    groups = prefix_records(sets, counts).groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max("short").alias("meets")).where("size > 1 and meets")
-    groups = materialise(groups.select("token", "size"), "ngram-tokens")
-    shared = materialise(prefix_records(sets, counts, sieve(groups.select("token"))).join(groups, "token"), "ngram-shared")
+    groups = prefix_records(sets, counts).groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("cap").alias("hi")).where("size > 1 and lo <= hi")
+    groups = materialise(groups.select("token"), "ngram-tokens")
+    shared = materialise(_groups(prefix_records(sets, counts, sieve(groups)).join(groups, "token")), "ngram-shared")
     links = _links(_first_meetings(shared), sets)
     links = links if hints is None else links.union(hints)
     components = materialise(connected_components(links), "ngram-components")

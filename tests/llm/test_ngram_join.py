@@ -83,9 +83,14 @@ def test_trie_finds_every_partner(seed):
     assert found == {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if sim(np.unique(sets[i]), np.unique(sets[j]))}
 
 
-def test_prefixes_lose_no_pair():
+def test_prefixes_and_caps_lose_no_pair():
     for n in range(1, 60):
         for m in range(n, 75):
             need = next((k for k in range(1, n + 1) if ngram_join.reaches(k, n, m)), None)
-            if need is not None:  # overlap within the last need shingles at most leaves one in either prefix
-                assert ngram_join.prefixes(n)[1] >= n - need + 1 and ngram_join.prefixes(m)[0] >= m - need + 1
+            if need is None:
+                continue
+            # their first common shingle has `need - 1` common ones after it at least, in either set
+            assert ngram_join.prefix(n) >= n - need + 1 and ngram_join.prefix(m) >= m - need + 1
+            cap = lambda size, at: (5 * size - 9 * at) // 4
+            assert all(cap(n, i) >= m for i in range(n - need + 1)) and all(cap(m, j) >= n for j in range(m - need + 1))
+            assert int(np.floor(np.log(m) / np.log(1.26))) - int(np.floor(np.log(n) / np.log(1.26))) <= 1
