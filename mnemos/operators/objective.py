@@ -81,12 +81,12 @@ def posterior_slice(groups: DataFrame, traces: DataFrame, observations: DataFram
 def group_regularization(slices: DataFrame, resp: DataFrame, groups: DataFrame) -> DataFrame:
     """(obs_id, group_kl): sum over groups with two members present of KL(current || slice) + tension.
 
-    The current masses are the members' responsibilities and a null of what is left; both sides are clipped to 1e-8 and
-    renormalised. resp has obs_id, trace_id, resp.
+    The current masses are the present members' responsibilities and a null of what is left; both sides are clipped to
+    1e-8 and renormalised; members that aren't present take no part. resp has obs_id, trace_id, resp.
     """
     own = slices.join(resp.select("obs_id", F.col("trace_id").alias("member_id"), "resp"), ["obs_id", "member_id"], "left")
     w = Window.partitionBy("obs_id", "group_id")
-    own = own.withColumn("_here", F.count("resp").over(w)).where("_here >= 2")
+    own = own.withColumn("_here", F.count("resp").over(w)).where("_here >= 2 and (resp is not null or member_id is null)")
     own = own.withColumn("_p", F.when(F.col("member_id").isNull(), F.greatest(1.0 - F.sum(F.coalesce("resp", F.lit(0.0))).over(w), F.lit(0.0))).otherwise(F.coalesce("resp", F.lit(0.0))))
     clipped = lambda c: F.least(F.greatest(F.col(c), F.lit(EPS)), F.lit(1.0))
     own = own.withColumns({"_p": clipped("_p"), "_q": clipped("prob")})
@@ -113,38 +113,50 @@ def ambiguity_pairs(weighted: DataFrame, margin: float = FIELD.inhibit_margin) -
     return both.where(F.col("gap") <= margin)
 
 
-def merge_columns(x: Column, c: Column) -> dict[str, Column]:
-    """Evidence-weighted moment match of traces `a` and `b` (structs), the log Bayes factor of keeping them apart, and
-    the overlap of their contexts."""
-    from mnemos.functions.vectors import cosine, vadd, vscale
+def patch_responsibilities(candidates: DataFrame, observations: DataFrame) -> DataFrame:
+    """(patch_id, trace_id, resp): responsibilities of a patch's traces, averaged over its observations by weight."""
+    pairs = logits(_weighted(observations).join(candidates, "patch_id"))
+    rows = responsibilities(pairs)
+    return rows.groupBy("patch_id", "trace_id").agg((F.sum(F.col("weight") * F.col("resp")) / F.sum("weight")).alias("resp"))
 
-    a, b = F.col("a"), F.col("b")
-    wa = a["evidence"] / F.greatest(a["evidence"] + b["evidence"], F.lit(EPS))
-    wb = 1.0 - wa
-    mu = lambda f: vadd(vscale(a[f], wa), vscale(b[f], wb))
-    spread = lambda f, m: F.zip_with(a[f], m, lambda p, q: (p - q) * (p - q))
-    other = lambda f, m: F.zip_with(b[f], m, lambda p, q: (p - q) * (p - q))
-    z, ctx = mu("z_mu"), mu("ctx_mu")
-    var = lambda s, f, m: vadd(vscale(vadd(a[s], spread(f, m)), wa), vscale(vadd(b[s], other(f, m)), wb))
-    return {"merged_mu": z, "merged_sigma": var("z_sigma_diag", "z_mu", z), "merged_ctx": ctx, "merged_ctx_sigma": var("ctx_sigma_diag", "ctx_mu", ctx), "overlap": 0.5 * (1.0 + cosine(a["ctx_mu"], b["ctx_mu"]))}
 
+def _weighted(observations: DataFrame) -> DataFrame:
+    weight = F.greatest(F.col("weight"), F.lit(EPS)) if "weight" in observations.columns else F.lit(1.0)
+    return observations.withColumn("weight", weight)
 
-def patch_objective(candidates: DataFrame, observations: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+
+def patch_objective(candidates: DataFrame, observations: DataFrame, edges: DataFrame | None = None, groups: DataFrame | None = None, traces: DataFrame | None = None) -> DataFrame:
     """The local objective of each patch with its terms: candidates (patch_id and a trace's columns), observations
-    (patch_id, obs_id, x, c), edges (src, dst, kind) touching the candidates.
+    (patch_id, obs_id, x, c; target, target_var and weight if there are any), edges (src, dst, kind) that touch the
+    candidates, groups whose members are looked up in traces (all of them).
 
-    Terms over observations are means of per-observation aggregates; terms over traces and edges are sums by patch.
+    Terms over observations are weighted means of per-observation aggregates; terms over traces, edges and groups are sums
+    by patch. Nothing is gathered: every step is a combined aggregate or a window over one observation's candidates.
     """
+    from mnemos.operators.actions import patch_edges
+
+    observations = _weighted(observations)
     pairs = logits(observations.join(candidates, "patch_id")).withColumn("null_logit", costs.null_logprob(F.col("x"), F.col("c")))
     weighted = responsibilities(pairs)
-    per = surprise(pairs).join(weighted_costs(weighted), "obs_id").join(observations.select("obs_id", "patch_id"), "obs_id")
-    mean = per.groupBy("patch_id").agg(F.avg("surprise").alias("surprise"), (0.5 * F.avg("future_alignment")).alias("slow_alignment"), (0.5 * F.avg("future_drift")).alias("drift"))
+    per = surprise(pairs).join(weighted_costs(weighted), "obs_id").join(observations.drop("x", "c"), "obs_id").withColumns({"group_kl": F.lit(0.0), "_loss": F.lit(None).cast("double")})
+    if "target" in observations.columns:
+        var = F.coalesce("target_var", F.transform("target", lambda _: F.lit(1.0))) if "target_var" in observations.columns else F.transform("target", lambda _: F.lit(1.0))
+        per = per.drop("_loss").join(mixture_summary(weighted.where("target is not null")), "obs_id", "left").withColumn("_loss", costs.alignment_nll(F.col("target"), F.col("vector"), var))
     own = candidates.groupBy("patch_id").agg(F.sum(costs.storage_cost()).alias("storage"), F.sum(costs.fidelity_cost()).alias("fidelity"), F.sum(costs.role_cost()).alias("role"))
-    out = own.join(mean, "patch_id", "left").withColumn("complexity", F.lit(0.0))
+    out = own.withColumn("complexity", F.lit(0.0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     if edges is not None:
-        touched = edges.select(F.monotonically_increasing_id().alias("_e"), "kind", F.explode(F.array_distinct(F.array("src", "dst"))).alias("trace_id")).join(candidates.select("patch_id", "trace_id"), "trace_id")
-        degree = touched.groupBy("patch_id", "trace_id").agg(F.count(F.lit(1)).alias("d")).groupBy("patch_id").agg(F.sum(F.log1p("d")).alias("_degrees"))
-        once = touched.groupBy("patch_id", "_e").agg(F.first("kind").alias("kind")).groupBy("patch_id").agg(F.count(F.lit(1)).alias("_edges"), F.sum(costs.edge_storage_cost()).alias("_edge_cost"))
-        out = out.join(degree, "patch_id", "left").join(once, "patch_id", "left")
-        out = out.withColumns({"complexity": F.coalesce("_degrees", F.lit(0.0)) + 0.05 * F.coalesce("_edges", F.lit(0)), "storage": F.col("storage") + F.coalesce("_edge_cost", F.lit(0.0))}).drop("_degrees", "_edges", "_edge_cost")
-    return combine_objective(out)
+        out = out.join(patch_edges(candidates, edges), "patch_id", "left")
+        out = out.withColumns({"complexity": zero("degrees") + 0.05 * zero("edges"), "storage": F.col("storage") + zero("edge_cost")}).drop("degrees", "edges", "edge_cost")
+    if groups is not None:
+        sigma = groups if "ctx_sigma" in groups.columns else groups.withColumn("ctx_sigma", F.col("ctx_sigma_diag")[0][0])
+        touched = groups.select("group_id", F.explode("member_ids").alias("trace_id")).join(candidates.select("patch_id", "trace_id"), "trace_id").select("patch_id", "group_id").distinct()
+        slices = posterior_slice(sigma, candidates if traces is None else traces, observations.join(touched, "patch_id").select("obs_id", "group_id", "x", "c"))
+        per = per.drop("group_kl").join(group_regularization(slices, weighted, groups), "obs_id", "left")
+        charged = touched.join(groups.select("group_id", costs.group_storage_cost().alias("_cost")), "group_id").groupBy("patch_id").agg(F.count(F.lit(1)).alias("_groups"), F.sum("_cost").alias("_cost"))
+        out = out.join(charged, "patch_id", "left").withColumns({"complexity": F.col("complexity") + zero("_groups"), "storage": F.col("storage") + zero("_cost")}).drop("_groups", "_cost")
+    w = F.sum("weight")
+    avg = lambda c: F.sum(F.col("weight") * zero(c)) / w
+    counted = F.greatest(F.sum(F.when(F.col("_loss").isNotNull(), F.col("weight")).otherwise(0.0)), F.lit(1.0))
+    mean = per.groupBy("patch_id").agg(avg("surprise").alias("surprise"), (F.sum(F.col("weight") * zero("_loss")) / counted + 0.5 * avg("future_alignment")).alias("slow_alignment"), (0.5 * avg("future_drift")).alias("drift"), avg("group_kl").alias("group_kl"))
+    return combine_objective(out.join(mean, "patch_id", "left"))

@@ -23,12 +23,6 @@ def _batch(spark, sf_dir):
     return c.select(F.col("cue_id").alias("anchor_id"), "session_id", F.col("z").alias("x"), F.col("z").alias("c"), seq.alias("ts")), near
 
 
-def in1(spark, sf_dir):
-    anchors, near = _batch(spark, sf_dir)
-    out = cycle.score_actions(cycle.nest_candidates(anchors, near, views.traces(spark, sf_dir)))
-    return out.select("anchor_id", "action", "trace_id", r6("objective").alias("objective"), r6("delta").alias("delta"))
-
-
 def mt6(spark, sf_dir):
     anchors, near = _batch(spark, sf_dir)
     frames = anchors.withColumns({"frame_id": F.concat(F.lit("f"), "anchor_id"), "pred_loss": (F.col("ts") % 7) / 10, "group_entropy": (F.col("ts") % 5) / 10})
@@ -57,7 +51,7 @@ def mt11(spark, sf_dir):
     return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
-QUERIES |= {"in1_score_actions": in1, "mt6_replay_mutations": mt6, "mt11_replay_objective": mt11, "mt13_maintenance_cycle": mt13, "rd7_respond_batch": rd7}
+QUERIES |= {"mt6_replay_mutations": mt6, "mt11_replay_objective": mt11, "mt13_maintenance_cycle": mt13, "rd7_respond_batch": rd7}
 
 ORACLES["mt11_replay_objective"] = with_views(f""", a AS (SELECT frame_id, trace_id AS own, len(active_ids) AS n, unnest(active_ids) AS t FROM v_frames), b AS (SELECT frame_id, CASE WHEN t = own THEN 0.6::DOUBLE ELSE 0.4::DOUBLE / (n - 1) END AS p, 1.0::DOUBLE / n AS q FROM a),
 kl AS (SELECT frame_id, sum((p - q) * (ln(p) - ln(q))) / 2 AS kl FROM b GROUP BY ALL), sp AS (SELECT src, dst, least({SUPPORT}, 1) AS s FROM v_edges GROUP BY ALL),

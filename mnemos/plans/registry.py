@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemos.plans import cycle_queries, encode_queries, graph_queries, inject_queries, objective_queries, replay_queries, scalar_queries, state_queries
+from mnemos.plans import action_queries, cycle_queries, encode_queries, graph_queries, inject_queries, objective_queries, replay_queries, scalar_queries, state_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (scalar_queries, graph_queries, objective_queries, replay_queries, encode_queries, state_queries, inject_queries, cycle_queries):
+for _module in (scalar_queries, graph_queries, objective_queries, replay_queries, encode_queries, state_queries, inject_queries, cycle_queries, action_queries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 
