@@ -372,17 +372,17 @@ def _open_meetings(shared: DataFrame, components: DataFrame) -> DataFrame:
     return met.select("token", F.explode(cells).alias("x"), "node", "root").select("token", "x.i", "x.k", "node", "root")
 
 
-def similar_components(sets: DataFrame, hints: DataFrame | None = None) -> DataFrame:
+def similar_components(sets: DataFrame, meetings: DataFrame | None = None) -> DataFrame:
     """(node, component) over the nodes of shingle_sets that link to another; component is the least node reachable.
 
-    hints: links (src, dst) already known to be true, which spare comparisons and change nothing else.
+    meetings: groups (token, node, size) in which texts meet first, instead of those of a shared rare shingle. They spare
+    comparisons; what comes out is the same.
     """
     counts = bucket_counts(sets)
     groups = prefix_records(sets, counts).groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("cap").alias("hi")).where("size > 1 and lo <= hi")
     groups = materialise(groups.select("token"), "ngram-tokens")
     shared = materialise(_groups(prefix_records(sets, counts, sieve(groups)).join(groups, "token")), "ngram-shared")
-    links = _links(_first_meetings(shared), sets)
-    links = links if hints is None else links.union(hints)
+    links = _links(_first_meetings(shared if meetings is None else meetings), sets)
     components = materialise(connected_components(links), "ngram-components")
     return connected_components(links.union(_links(_open_meetings(shared, components), sets)))
 

@@ -1,11 +1,10 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
-near_duplicates links fingerprints within a radius. similar_components uses the same masks at a wider radius to propose
-pairs of texts, and links those whose sets of shingles have a Jaccard similarity of 4/5 at least.
+near_duplicates links fingerprints within a radius. The pipeline's near-dedup (near_texts) takes the same masks to let texts
+meet, and compares their sets of shingles.
 
-Edge cases: null, empty and blank texts have no words and the fingerprint zero, which links like any other in
-near_duplicates; in similar_components they have no shingle and link to nothing but their copies. A text of fewer words
-than a shingle is one shingle; repeated rows share a fingerprint and so a component; a null id is never the least of a
+Edge cases: null, empty and blank texts have no words and the fingerprint zero, which links like any other. A text of fewer
+words than a shingle is one shingle; repeated rows share a fingerprint and so a component; a null id is never the least of a
 component that has others; texts of any length are hashed whole, in blocks; extra columns are ignored; an empty table
 gives an empty result.
 """
@@ -13,8 +12,6 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -98,7 +95,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_B
     to each in memory and only true links leave. In larger ones, of whatever size, nothing is compared: see _flipped.
     """
     if radius != 2:
-        raise ValueError("links without comparisons are exact for a radius of 2; similar_components takes wider ones")
+        raise ValueError("links without comparisons are exact for a radius of 2")
     masks = covering_masks(radius)
     keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")) for m in masks))).alias("t", "key"))
     # a bucket of up to small_bucket travels as one array; collect_list's partial state is cut by the count beforehand
@@ -153,161 +150,6 @@ def label_components(fps: DataFrame, radius: int = RADIUS, links: DataFrame | No
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: similar_components: words of a shingle, the least similarity as a fraction (so that whole numbers decide), the
-#: fingerprints of a text, the bits of each that its masks cover and their radius, and the bits of all fingerprints that
-#: may differ in a proposed pair. Four sets of 31 masks over bits of their own catch more than one set of 127 over the
-#: bits of one fingerprint, whose tables all miss the same pairs.
-SIMILAR_WORDS, OVER, UNDER = 5, 4, 5
-GROUPS, COVERED_BITS, COVERED_RADIUS, FAR = 4, 40, 4, 60
-#: Rounds in which each text meets one proposed partner at most; then all that is still open is compared.
-ROUNDS = 3
-
-
-def text_key(text: Column) -> Column:
-    """Equal texts have equal keys (null counts as empty)."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
-
-
-def shingle_set(text: str | None, n: int = SIMILAR_WORDS) -> np.ndarray:
+def shingle_set(text: str | None, n: int) -> np.ndarray:
     """The distinct shingles' hashes, ascending."""
     return np.unique(shingle_hashes(text, n))
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the sets' Jaccard similarity is OVER / UNDER at least; sets without members are like none."""
-    if not len(a) or not len(b) or min(len(a), len(b)) * UNDER < max(len(a), len(b)) * OVER:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return UNDER * both >= OVER * (len(a) + len(b) - both)
-
-
-def _mixed(h: np.ndarray, g: int) -> np.ndarray:
-    """Other bits of the same hashes for each g; the hashes themselves for 0."""
-    if not g:
-        return h
-    z = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 * (2 * g + 1) % (1 << 64))
-    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return z ^ (z >> np.uint64(32))
-
-
-def _sketches(docs: DataFrame, n: int, text: str) -> DataFrame:
-    """key and fp0, fp1, ... of each distinct text with a shingle: GROUPS fingerprints of its set of shingles."""
-    names = [f"fp{g}" for g in range(GROUPS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in by_bytes(whole, 1):
-                keys, fps = [], []
-                for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    h = shingle_set(t, n)
-                    if len(h):
-                        keys.append(key)
-                        fps.append([majority(_mixed(h, g)) for g in range(GROUPS)])
-                both = np.array(fps, dtype=np.uint64).reshape(-1, GROUPS).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(both[:, g]) for g in range(GROUPS))], names=["key", *names])
-
-    named = docs.select(text_key(F.col(text)).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = ", ".join(f"{c} bigint" for c in ["key", *names])
-    return materialise(named.mapInArrow(run, schema).dropDuplicates(["key"]), "similar-sketches")
-
-
-def _apart(a: str, b: str) -> Column:
-    """Differing bits of all fingerprints."""
-    return reduce(add, (F.bit_count(F.col(f"{a}.fp{g}").bitwiseXOR(F.col(f"{b}.fp{g}"))) for g in range(GROUPS)))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, text: str) -> DataFrame:
-    """The pairs (src, dst) whose whole sets are similar. Texts of the pairs move, and no other sets are kept."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple[int, np.ndarray] | None = None
-        for whole in batches:
-            for b in by_bytes(whole, 3):
-                keep = []
-                for i, (src, x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
-                    if before is None or before[0] != src:
-                        before = (src, shingle_set(x, n))
-                    if similar(before[1], shingle_set(y, n)):
-                        keep.append(i)
-                at = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["src", "dst"])
-
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
-    texts = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    texts = materialise(texts.join(ends, "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
-    x = texts.select(F.col("key").alias("src"), F.col("text").alias("x"))
-    y = texts.select(F.col("key").alias("dst"), F.col("text").alias("y"))
-    both = pairs.join(y, "dst").join(x, "src").select("src", "dst", "x", "y")
-    return materialise(both.mapInArrow(run, "src bigint, dst bigint"), "similar-links")
-
-
-def _resolved(proposed: DataFrame, links: DataFrame | None, docs: DataFrame, n: int, text: str) -> tuple[DataFrame, DataFrame]:
-    """Links and components after the proposed pairs (src, dst, apart) are compared, but for those that are in one
-    component already: these can't change the components.
-
-    In each round every text meets its nearest open partner and its least one, so a crowd of like texts falls together
-    after few comparisons each; what is open after ROUNDS is compared whole.
-    """
-    roots = materialise(connected_components(links), "similar-roots") if links is not None else None
-    for k in range(ROUNDS + 1):
-        if roots is not None:
-            a, b = (roots.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")) for x in ("src", "dst"))
-            apart = F.coalesce("_src", "src") != F.coalesce("_dst", "dst")
-            proposed = materialise(proposed.join(a, "src", "left").join(b, "dst", "left").where(apart).select("src", "dst", "apart"), "similar-open")
-        if proposed.isEmpty():
-            break
-        pairs = proposed.select("src", "dst")
-        if k < ROUNDS:
-            ends = proposed.select("src", "dst", "apart", F.explode(F.array("src", "dst")).alias("end"))
-            pick = ends.groupBy("end").agg(F.min(F.struct("apart", "src", "dst")).alias("a"), F.min(F.struct("src", "dst")).alias("b"))
-            pairs = materialise(pick.select(F.explode(F.array(F.struct("a.src", "a.dst"), F.col("b"))).alias("p")).select("p.src", "p.dst").distinct(), "similar-pairs")
-            proposed = proposed.join(pairs, ["src", "dst"], "left_anti")
-        found = _verified(pairs, docs, n, text)
-        links = found if links is None else links.union(found)
-        roots = materialise(connected_components(links), "similar-roots")
-        if k == ROUNDS:
-            break
-    return links, roots
-
-
-def similar_components(docs: DataFrame, n: int = SIMILAR_WORDS, bits: int = COVERED_BITS, radius: int = COVERED_RADIUS, text: str = "text") -> DataFrame:
-    """(node, component) over the keys of texts that link to another; component is the least key reachable.
-
-    Texts link if some covering mask of `radius` over the first `bits` bits of one of their fingerprints gives them one
-    bucket, they differ in FAR of all bits at most, and their sets of n-word shingles have a Jaccard similarity of 4/5 at
-    least. So every pair within the radius in any fingerprint is compared, most others of that similarity are, and no
-    pair of less is linked.
-
-    Buckets are counted before anything is gathered. Each text of a bucket is proposed to the bucket's least, a hub, so
-    a bucket of any size costs as much as it has texts. Only in buckets where texts of different components are left do
-    these meet the bucket's other texts, in a join whose condition is the fingerprints' distance.
-    """
-    sketches = _sketches(docs, n, text)
-    masks = covering_masks(radius, bits)
-    tables = [(g, m) for g in range(GROUPS) for m in masks]
-    if bits + len(tables).bit_length() > 63:
-        raise ValueError("the covered bits and the table's number share 63 bits of a bucket's number")
-    bucket = F.explode(F.array(*(F.col(f"fp{g}").bitwiseAND(F.lit(m).cast("bigint")).bitwiseOR(F.lit(t << bits).cast("bigint")) for t, (g, m) in enumerate(tables))))
-    keyed = sketches.select("key", bucket.alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1")
-    sizes = materialise(sizes, "similar-buckets")
-    twos = sizes.where("n = 2").select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
-    crowded = materialise(keyed.join(sizes.where("n > 2").select("bucket", "lo"), "bucket"), "similar-crowded")
-    stars = crowded.where("key != lo").select(F.col("lo").alias("src"), F.col("key").alias("dst"))
-    a, b = sketches.alias("a"), sketches.alias("b")
-    near = twos.union(stars).distinct().join(a, F.col("src") == F.col("a.key")).join(b, (F.col("dst") == F.col("b.key")) & (_apart("a", "b") <= FAR))
-    links, roots = _resolved(materialise(near.select("src", "dst", _apart("a", "b").alias("apart")), "similar-near"), None, docs, n, text)
-    if links is None:
-        return sketches.select(F.col("key").alias("node"), F.col("key").alias("component")).where("false")
-    # the rest of the buckets: texts outside of the bucket's largest component meet those of other components
-    named = crowded.join(roots.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("root"))
-    mixed = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("z")).where("x != z").select("bucket")
-    named = materialise(named.join(mixed, "bucket").join(sketches, "key"), "similar-mixed")
-    if named.isEmpty():
-        return roots
-    top = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("top"))
-    few = named.join(top, "bucket").where("root != top").alias("a")
-    others = named.join(top, "bucket").alias("b")
-    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.top")) | (F.col("a.key") < F.col("b.key"))) & (_apart("a", "b") <= FAR)
-    rest = few.join(others, meet).select(F.least("a.key", "b.key").alias("src"), F.greatest("a.key", "b.key").alias("dst"), _apart("a", "b").alias("apart")).distinct()
-    return _resolved(materialise(rest, "similar-rest"), links, docs, n, text)[1]
