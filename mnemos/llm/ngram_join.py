@@ -35,6 +35,8 @@ WORDS, OVER, UNDER = 5, 4, 5
 COUNT_BITS = 25
 #: Sets of a block, and hubs of a group.
 BLOCK, HUBS = 256, 4
+#: Shingles that are sorted at a time in a task.
+SLICE = 1 << 19
 #: A sieve takes 2^SIEVE_BITS / 8 bytes (16 MB) at most.
 SIEVE_BITS = 27
 
@@ -44,6 +46,26 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
 
 
+def pack(tokens: np.ndarray) -> bytes:
+    """Ascending numbers of 48 bits, 6 bytes each."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(flat: np.ndarray) -> np.ndarray:
+    """Bytes of packed numbers as int64."""
+    out = np.zeros((len(flat) // 6, 8), dtype=np.uint8)
+    out[:, :6] = flat.reshape(-1, 6)
+    return out.reshape(-1).view("<i8")
+
+
+def token_slices(column: pa.BinaryArray) -> Iterator[np.ndarray]:
+    """The sets of a column, one after the other."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else [0]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    for s, e in zip(at[:-1], at[1:]):
+        yield unpack(data[s:e])
+
+
 def reaches(both: int, a: int, b: int) -> bool:
     """both / (a + b - both) >= OVER / UNDER."""
     return (OVER + UNDER) * both >= OVER * (a + b)
@@ -200,7 +222,8 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """node (a number), key, n and tokens (ascending) of each distinct text with a shingle, written once.
+    """node (a number), key, n and tokens (packed, ascending) of each distinct text with a shingle, written once. Shingles are
+    told apart by 48 bits of their hash from here on; n is counted at 64.
 
     Texts don't move: the row of the least id stands for its text, found by a sieve over (key, id). Where ids repeat, or
     the sieve is full, equal texts are several nodes, which are similar like any others.
@@ -214,16 +237,28 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", te
             if not whole.num_rows:
                 continue
             first = whole.filter(pa.array(passes(firsts.value, whole.column(2).to_numpy())))
-            for b in by_bytes(first, 1):
-                sets = [shingle_set(t, words).view(np.int64) for t in b.column(1).to_pylist()]
-                sizes = np.array([len(s) for s in sets], dtype=np.int32)
-                tokens = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(sets))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), tokens], names=["key", "n", "tokens"])
+            for b in by_bytes(first, 1, 2 << 20):
+                sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+                tokens = pa.array([pack(np.unique(s & np.uint64((1 << 48) - 1))) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), tokens], names=["key", "n", "tokens"])
 
-    sets = keyed.select("key", "text", name.alias("name")).mapInArrow(run, "key binary, n int, tokens array<bigint>")
+    sets = keyed.select("key", "text", name.alias("name")).mapInArrow(run, "key binary, n int, tokens binary")
     return materialise(sets.where("n > 0").withColumn("node", F.monotonically_increasing_id()), "ngram-sets")
 
 
+def gaps(at: np.ndarray) -> np.ndarray:
+    """Ascending places as bytes: the distance from the place before less one, 255 standing for 255 that are passed over."""
+    step = np.diff(at, prepend=-1) - 1
+    skips = step // 255
+    out = np.full(len(at) + int(skips.sum()), 255, dtype=np.uint8)
+    out[np.arange(len(at)) + np.cumsum(skips)] = step % 255
+    return out
+
+
+def ungap(gap: np.ndarray) -> np.ndarray:
+    return (np.cumsum(np.where(gap < 255, gap.astype(np.int64) + 1, 255)) - 1)[gap < 255]
+
+
 def bucket_counts(sets: DataFrame) -> np.ndarray:
     """How many sets have a shingle of each bucket of hashes, 255 at most: added by task and then by slice of buckets.
 
@@ -233,18 +268,33 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
     part = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.uint8)
-        for b in batches:
-            at, n = np.unique(b.column(0).flatten().to_numpy(zero_copy_only=False) & ((1 << bits) - 1), return_counts=True)
+        total, held, size = np.zeros(1 << bits, dtype=np.uint8), [], 0
+
+        def put() -> None:
+            at, n = np.unique(np.concatenate(held) & ((1 << bits) - 1), return_counts=True)
             total[at] = np.minimum(total[at] + n, 255)
+
+        for b in batches:
+            for tokens in token_slices(b.column(0)):
+                held.append(tokens)
+                size += len(tokens)
+                if size >= SLICE:
+                    put()
+                    held, size = [], 0
+        if held:
+            put()
         for k, own in enumerate(total.reshape(-1, part)):
             if len(at := np.flatnonzero(own)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype(np.uint16).tobytes()]), pa.array([own[at].tobytes()])], names=["part", "at", "n"])
+                gap = gaps(at)
+                n = np.zeros(len(gap), dtype=np.uint8)
+                n[gap < 255] = own[at]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([gap.tobytes()]), pa.array([n.tobytes()])], names=["part", "at", "n"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(part, dtype=np.int64)
-        for at, n in zip(table["at"].to_pylist(), table["n"].to_pylist()):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8)
+        for gap, n in zip(table["at"].to_pylist(), table["n"].to_pylist()):
+            at, n = ungap(np.frombuffer(gap, np.uint8)), np.frombuffer(n, np.uint8)
+            total[at] += n[np.frombuffer(gap, np.uint8) < 255]
         return pa.table({"part": table["part"][:1], "n": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])})
 
     found = sets.select("tokens").mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
@@ -263,12 +313,9 @@ def prefix_records(sets: DataFrame, counts: np.ndarray, met: np.ndarray | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, mask = order.value, len(order.value) - 1
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(b.column(2).to_numpy())
             held, of, caps = [], [], []
-            for i, (s, e) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
-                n = int(e - s)
-                tokens = flat[s:e]
+            for i, tokens in enumerate(token_slices(b.column(1))):
+                n = len(tokens)
                 rare = tokens[np.argsort(count[tokens & mask], kind="stable")[: prefix(n)]]
                 there = count[rare & mask] > 1  # else in one set of all: nobody to meet
                 if sieved.value is not None:
@@ -310,16 +357,14 @@ def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
         for b in batches:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(5))))
-            offsets = b.column(5).offsets.to_numpy()
-            flat = b.column(5).flatten().to_numpy(zero_copy_only=False)
-            for r, (token, i, k, node, root) in enumerate(keys):
+            for (token, i, k, node, root), tokens in zip(keys, token_slices(b.column(5))):
                 if (token, i, k) != at:
                     yield from links()
                     at, nodes, held, roots = (token, i, k), [], [], []
                 if not nodes or nodes[-1] != node:  # a hub may come twice
                     nodes.append(node)
                     roots.append(root)
-                    held.append(flat[offsets[r] - offsets[0] : offsets[r + 1] - offsets[0]].copy())
+                    held.append(tokens)
         yield from links()
 
     groups = materialise(groups, "ngram-groups")
@@ -329,7 +374,7 @@ def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(passes(wanted.value, b.column(2).to_numpy()))).select([0, 1])
 
-    near = sets.select("node", "tokens", F.xxhash64("node")).mapInArrow(sift, "node bigint, tokens array<bigint>")
+    near = sets.select("node", "tokens", F.xxhash64("node")).mapInArrow(sift, "node bigint, tokens binary")
     full = groups.join(near, "node").select("token", "i", "k", "node", "root", "tokens")
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = full.repartition(n, "token", "i", "k").sortWithinPartitions("token", "i", "k", "node")
@@ -379,7 +424,7 @@ def similar_components(sets: DataFrame, meetings: DataFrame | None = None) -> Da
     comparisons; what comes out is the same.
     """
     counts = bucket_counts(sets)
-    groups = prefix_records(sets, counts).groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("cap").alias("hi")).where("size > 1 and lo <= hi")
+    groups = prefix_records(sets, counts).groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = materialise(groups.select("token"), "ngram-tokens")
     shared = materialise(_groups(prefix_records(sets, counts, sieve(groups)).join(groups, "token")), "ngram-shared")
     links = _links(_first_meetings(shared if meetings is None else meetings), sets)

@@ -94,3 +94,12 @@ def test_prefixes_and_caps_lose_no_pair():
             cap = lambda size, at: (5 * size - 9 * at) // 4
             assert all(cap(n, i) >= m for i in range(n - need + 1)) and all(cap(m, j) >= n for j in range(m - need + 1))
             assert int(np.floor(np.log(m) / np.log(1.26))) - int(np.floor(np.log(n) / np.log(1.26))) <= 1
+
+
+def test_packed_numbers_and_gaps():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 3000):
+        t = np.unique(r.integers(0, 1 << 48, n))
+        assert (ngram_join.unpack(np.frombuffer(ngram_join.pack(t), np.uint8)) == t).all()
+        at = np.unique(np.concatenate([r.integers(0, 1 << 16, n // 50), [0, 254, 255, 256, 65535][: n]])).astype(np.int64)
+        assert (ngram_join.ungap(ngram_join.gaps(at)) == at).all()
