@@ -120,6 +120,10 @@ def update_group(g: dict, mu: np.ndarray, var: np.ndarray, x: np.ndarray, c: np.
     g |= {"alpha": 0.995 * np.asarray(g["alpha"]) + p, "ctx_mu": ctx, "ctx_sigma_diag": sig, "pred_success_ema": success, "unresolved_mass": float(mass)}
     if p[n] > 0.25 and known:
         g["ambiguous_buffer"] = [*g["ambiguous_buffer"], anchor_id][-16:]
+        if "ambiguous_ctx_buffer" in g:
+            g["ambiguous_ctx_buffer"] = [*g["ambiguous_ctx_buffer"], c.tolist()][-16:]
+    if "replay_alignment_ema" in g:
+        g["replay_alignment_ema"] = 0.98 * g["replay_alignment_ema"] + 0.02 * max(loss or 0.0, 0.0)
     g["temperature"] = float(np.clip(g["temperature"] + 0.05 * (h - 0.75 * math.log(n + 1)), 0.5, 2.0))
     g["replay_tension_ema"] = 0.98 * g["replay_tension_ema"] + 0.02 * (h + g["unresolved_mass"])
     return g, 1 + 0.03 * p[:n] if p[n] > 0.25 else np.ones(n)

@@ -144,33 +144,57 @@ def fit_transition_model(rows: DataFrame, steps: int = 20, hidden: int = 16, rat
 
 
 GROUP = "group_id string, alpha array<double>, ctx_mu array<array<double>>, pred_success_ema array<double>, temperature double, unresolved_mass double, replay_tension_ema double, ambiguous_buffer array<string>, inflation array<double>"
+#: What a group of the whole form has besides.
+GROUP_MORE = "ctx_sigma_diag array<array<double>>, replay_alignment_ema double, ambiguous_ctx_buffer array<array<double>>"
 
 
 def update_groups(groups: DataFrame, traces: DataFrame, observations: DataFrame) -> DataFrame:
-    """Groups folded over their observations (group_id, x, c, ts, seq, anchor_id) in order, and each member's inflation.
+    """Groups folded over their observations (group_id, x, c, ts, seq, anchor_id; loss if there is one) in order, and each
+    member's inflation.
 
     groups has member_ids, alpha, ctx_mu, ctx_sigma (one variance), pred_success_ema, temperature, unresolved_mass,
-    replay_tension_ema, ambiguous_buffer. Members' means and variances are those at batch start.
+    replay_tension_ema, ambiguous_buffer; or, in the whole form, ctx_sigma_diag, replay_alignment_ema and
+    ambiguous_ctx_buffer, which then come back too. Members' means and variances are those at batch start; a member that
+    is gone keeps its place and has no mass. A group's observations are those of one replay batch.
     """
-    names = ["group_id", "alpha", "ctx_mu", "ctx_sigma", "pred_success_ema", "temperature", "unresolved_mass", "replay_tension_ema", "ambiguous_buffer"]
+    whole = "ctx_sigma_diag" in groups.columns
+    schema = f"{GROUP}, {GROUP_MORE}" if whole else GROUP
+    columns = [c.split()[0] for c in schema.split(", ")]
+    more = [c.split()[0] for c in GROUP_MORE.split(", ")] if whole else ["ctx_sigma"]
+    names = ["group_id", "alpha", "ctx_mu", "pred_success_ema", "temperature", "unresolved_mass", "replay_tension_ema", "ambiguous_buffer", *more]
     member = groups.select("group_id", F.posexplode("member_ids").alias("i", "trace_id")).join(traces.select("trace_id", "z_mu", "z_sigma_diag"), "trace_id")
     held = member.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("i", "z_mu", "z_sigma_diag"))).alias("m"))
-    left = groups.select(*names).join(held.select("group_id", F.col("m.z_mu").alias("mu"), F.col("m.z_sigma_diag").alias("var")), "group_id")
+    left = groups.select(*names).join(held.select("group_id", F.col("m.i").alias("at"), F.col("m.z_mu").alias("mu"), F.col("m.z_sigma_diag").alias("var")), "group_id")
 
     def run(key: tuple, g: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in GROUP.split(", ")]
         if not len(g):
             return pd.DataFrame(columns=columns)
         r = g.iloc[0]
-        mu, var = np.stack(list(r["mu"])), np.stack(list(r["var"]))
-        state = {n: np.asarray(r[n], dtype=np.float64) for n in ("alpha", "pred_success_ema")} | {n: float(r[n]) for n in ("temperature", "unresolved_mass", "replay_tension_ema")}
-        state |= {"ctx_mu": np.stack(list(r["ctx_mu"])).astype(float), "ambiguous_buffer": list(r["ambiguous_buffer"])}
-        state["ctx_sigma_diag"] = np.full_like(state["ctx_mu"], r["ctx_sigma"])
+        at, mu, var = np.asarray(r["at"]), np.stack(list(r["mu"])), np.stack(list(r["var"]))
+        slots = np.append(at, len(r["alpha"]) - 1)  # live members and the null slot
+        take = lambda c: np.stack(list(r[c])).astype(float)[slots]
+        state = {n: np.asarray(r[n], dtype=np.float64)[slots] for n in ("alpha", "pred_success_ema")} | {n: float(r[n]) for n in ("temperature", "unresolved_mass", "replay_tension_ema")}
+        state |= {"ctx_mu": take("ctx_mu"), "ambiguous_buffer": list(r["ambiguous_buffer"])}
+        state["ctx_sigma_diag"] = take("ctx_sigma_diag") if whole else np.full_like(state["ctx_mu"], r["ctx_sigma"])
+        if whole:
+            state |= {"replay_alignment_ema": float(r["replay_alignment_ema"]), "ambiguous_ctx_buffer": [list(v) for v in r["ambiguous_ctx_buffer"]]}
         grown = np.ones(len(mu))
         for s in steps.sort_values(["ts", "seq"], kind="stable").to_dict("records"):
-            state, factor = folds.update_group(state, mu, var, np.asarray(s["x"], float), np.asarray(s["c"], float), s["anchor_id"], True)
+            loss = float(s["loss"]) if s.get("loss") is not None else None
+            state, factor = folds.update_group(state, mu, var, np.asarray(s["x"], float), np.asarray(s["c"], float), s["anchor_id"], True, loss)
             grown = grown * factor
-        row = [r["group_id"], state["alpha"].tolist(), state["ctx_mu"].tolist(), state["pred_success_ema"].tolist(), state["temperature"], state["unresolved_mass"], state["replay_tension_ema"], state["ambiguous_buffer"], grown.tolist()]
-        return pd.DataFrame([row], columns=columns)
 
-    return left.groupBy("group_id").cogroup(observations.groupBy("group_id")).applyInPandas(run, GROUP)
+        def back(c: str, old) -> list:
+            out = [list(v) if np.ndim(v) else float(v) for v in old]
+            for i, v in zip(slots, np.asarray(state[c])):
+                out[i] = v.tolist()
+            return out
+
+        inflation = np.ones(len(r["alpha"]) - 1)
+        inflation[at] = grown
+        row = {"group_id": r["group_id"], "inflation": inflation.tolist(), **{c: state[c] for c in ("temperature", "unresolved_mass", "replay_tension_ema", "ambiguous_buffer")}, **{c: back(c, r[c]) for c in ("alpha", "ctx_mu", "pred_success_ema")}}
+        if whole:
+            row |= {"ctx_sigma_diag": back("ctx_sigma_diag", r["ctx_sigma_diag"]), "replay_alignment_ema": state["replay_alignment_ema"], "ambiguous_ctx_buffer": state["ambiguous_ctx_buffer"]}
+        return pd.DataFrame([[row[c] for c in columns]], columns=columns)
+
+    return left.groupBy("group_id").cogroup(observations.groupBy("group_id")).applyInPandas(run, schema)
