@@ -46,7 +46,8 @@ def reconsolidate(t: dict, steps: list[dict], f: FieldConfig = FIELD) -> dict:
         t["uncertainty"] = uncertainty(t["z_sigma_diag"], t["evidence"], t["pred_loss_ema"], f)
         t["stability"] = stability(t["stability"], t["evidence"], t["uncertainty"], t["pred_loss_ema"], f)
         t["last_access_ts"] = float(s["ts"])
-        t["anchor_reservoir"] = push(list(t["anchor_reservoir"]), s["anchor_id"], f.reservoir_size)
+        if s["anchor_id"] is not None:
+            t["anchor_reservoir"] = push(list(t["anchor_reservoir"]), s["anchor_id"], f.reservoir_size)
     return t
 
 
@@ -67,11 +68,13 @@ def apply_action(t: dict, s: dict, f: FieldConfig = FIELD) -> dict:
     return t
 
 
-def option_edge(weight: float, alpha: float, beta: float, exists: bool, temporal: float, successes: list[float], rate: float = 0.15) -> dict:
+def option_edge(weight: float, alpha: float, beta: float, exists: bool, temporal: float, successes: list[float], rate: float = 0.15, grow: float = 0.0) -> dict:
     """An option edge after successes in order. One is taken if it exceeds 0.7 and lowers the objective: storage 0.05 *
-    0.115, complexity 0.03 * 0.15 and drift 0.08 * (1 - support), where support is the larger of temporal and option."""
+    0.115, complexity 0.03 * 0.15 and drift 0.08 * (1 - support), where support is the larger of temporal and option. grow:
+    what each step adds to the temporal edge before its success is judged."""
     taken = 0
     for s in successes:
+        temporal = 0.95 * temporal + grow if grow else temporal
         if s <= 0.70:
             continue
         support = min(max(temporal, alpha / max(alpha + beta, EPS) if exists else 0.0, 0.0), 1.0)

@@ -1,86 +1,12 @@
-"""Action scoring on a batch, replayed mutations, the maintenance cycle, and answering."""
+"""Answering, and the objective of a replayed batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.config import FIELD, FieldConfig
 from mnemos.functions import costs
-from mnemos.kernels.inject import Session
-from mnemos.operators import folds, graph, maintenance, readout
-
-_TRACE = ("trace_id", "z_mu", "z_sigma_diag", "ctx_mu", "ctx_sigma_diag", "evidence", "stability", "uncertainty", "pred_loss_ema", "access_ema", "last_access_ts", "anchor_reservoir")
-DECISION = "anchor_id string, action string, trace_id string, objective double, delta double"
-
-
-def nest_candidates(anchors: DataFrame, pairs: DataFrame, traces: DataFrame) -> DataFrame:
-    """anchors (anchor_id, session_id, x, c, ts) with candidates, an array of trace structs; pairs: anchor_id, trace_id.
-
-    An anchor has at most 64 candidates, so its array is bounded; actions are never exploded into rows.
-    """
-    held = pairs.join(traces.select("trace_id", F.struct(*_TRACE).alias("t")), "trace_id").groupBy("anchor_id").agg(F.array_sort(F.collect_list("t"), lambda a, b: F.when(a["trace_id"] < b["trace_id"], -1).when(a["trace_id"] > b["trace_id"], 1).otherwise(0)).alias("candidates"))
-    return anchors.select("anchor_id", "session_id", "x", "c", "ts").join(held, "anchor_id", "left")
-
-
-def score_actions(nested: DataFrame) -> DataFrame:
-    """The action of least objective for each anchor, against the state at batch start; delta is its gain over none.
-
-    The observation is the anchor itself and no edges are charged. No candidates: BIRTH. Rows are independent.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            out = []
-            for r in df.itertuples(index=False):
-                x, c = np.asarray(r.x, dtype=np.float64), np.asarray(r.c, dtype=np.float64)
-                s = Session(r.session_id or "", len(x))
-                for t in r.candidates if r.candidates is not None else ():
-                    s.traces[t["trace_id"]] = {k: np.asarray(t[k], dtype=np.float64) if k in ("z_mu", "z_sigma_diag", "ctx_mu", "ctx_sigma_diag") else list(t[k]) if k == "anchor_reservoir" else t[k] for k in _TRACE}
-                action, target, value, base = s.choose(x, c, list(s.traces), float(r.ts), r.anchor_id)
-                out.append((r.anchor_id, action, target, value, value - base))
-            yield pd.DataFrame(out, columns=[k.split()[0] for k in DECISION.split(", ")])
-
-    return nested.mapInPandas(run, DECISION)
-
-
-def replay_mutations(frames: DataFrame, pairs: DataFrame, traces: DataFrame, batch: int, spawned: DataFrame | None = None, least_gain: float = 0.08, ratio: float = 0.35) -> DataFrame:
-    """New traces that replay asks for: decisions BIRTH or SPLIT of at least `least_gain`, in order of pred_loss +
-    group_entropy + membership, max(1, round(ratio * batch)) at most.
-
-    frames: frame_id, anchor_id, session_id, x, c, ts, pred_loss, group_entropy. Anchors in more than one trace, and
-    frames that have spawned before (frame_id in `spawned`), stay out.
-    """
-    membership = traces.select(F.explode("anchor_reservoir").alias("anchor_id")).groupBy("anchor_id").agg(F.count(F.lit(1)).alias("_m"))
-    rows = frames.join(membership, "anchor_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0))).where("_m <= 1")
-    if spawned is not None:
-        rows = rows.join(spawned.select("frame_id"), "frame_id", "left_anti")
-    decided = score_actions(nest_candidates(rows, pairs, traces))
-    good = decided.where(F.col("action").isin("BIRTH", "SPLIT") & (F.col("delta") <= -least_gain))
-    ranked = good.join(rows.select("anchor_id", "frame_id", (F.col("pred_loss") + F.col("group_entropy") + F.col("_m")).alias("priority")), "anchor_id")
-    return ranked.orderBy(F.desc("priority"), "frame_id").limit(max(1, int(round(batch * ratio))))
-
-
-def maintenance_cycle(frames: DataFrame, traces: DataFrame, edges: DataFrame, now: float, batch: int = 10, config: FieldConfig = FIELD) -> dict[str, DataFrame]:
-    """One cycle over the frame log: sample, reconsolidate, edges, continuation, patterns. Tables of the next state.
-
-    frames has x, c, activation, pred_loss; an empty sample leaves the state as it is. Stages are lazy, and each is a
-    table of its own that a caller may write between stages.
-    """
-    ranked = maintenance.replay_priority(frames, traces, edges, now)
-    chosen = frames.join(maintenance.sample_replay(ranked, batch).hint("broadcast"), "frame_id", "left_semi")
-    steps = chosen.select(F.explode("activation").alias("trace_id", "r"), "x", "c", F.col("pred_loss").alias("loss"), "ts", "seq", "anchor_id")
-    next_traces = folds.reconsolidate(traces, steps, config)
-    deltas = graph.temporal_deltas(chosen, 0.15).unionByName(graph.assoc_deltas(chosen, 0.05))
-    return {
-        "batch": chosen, "traces": next_traces, "edges": graph.upsert_edges(deltas, edges), "continuation": maintenance.continuation_stats(chosen, traces, edges, config),
-        "prototypes": maintenance.prototype_patterns(chosen, traces), "procedures": maintenance.procedure_patterns(chosen, traces),
-    }
-
+from mnemos.operators import graph, readout
 
 def respond_batch(cues: DataFrame, workspaces: DataFrame, answers: DataFrame, system: str = "Answer from the memory given.") -> tuple[DataFrame, DataFrame]:
     """Prompts out, answers in: (cue_id, messages), and the cleaned answers as assistant events linked by response_to.

@@ -68,7 +68,7 @@ def apply_actions(traces: DataFrame, decisions: DataFrame, config: FieldConfig =
     return kept.unionByName(born)
 
 
-def option_edges(transitions: DataFrame, edges: DataFrame) -> DataFrame:
+def option_edges(transitions: DataFrame, edges: DataFrame, grow: float = 0.0) -> DataFrame:
     """(src, dst, weight, success_alpha, success_beta, taken) after transitions (src, dst, success, ts, seq) in order.
 
     Whether a success is taken depends on the edge so far, so it is a fold by edge, over two numbers a transition.
@@ -82,7 +82,7 @@ def option_edges(transitions: DataFrame, edges: DataFrame) -> DataFrame:
             out = []
             for r in df.itertuples(index=False):
                 has = not pd.isna(r.w)
-                e = folds.option_edge(r.w if has else 0.0, r.a if has else 1.0, r.b if has else 1.0, has, 0.0 if pd.isna(r.t) else r.t, [x["success"] for x in r.s])
+                e = folds.option_edge(r.w if has else 0.0, r.a if has else 1.0, r.b if has else 1.0, has, 0.0 if pd.isna(r.t) else r.t, [x["success"] for x in r.s], grow=grow)
                 if e["exists"]:
                     out.append((r.src, r.dst, e["weight"], e["success_alpha"], e["success_beta"], e["taken"]))
             yield pd.DataFrame(out, columns=["src", "dst", "weight", "success_alpha", "success_beta", "taken"])

@@ -2,37 +2,66 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mnemos.config import BudgetConfig
 from mnemos.functions import vectors as V
-from mnemos.operators import cycle, retrieve
+from mnemos.operators import cycle, replay, upkeep
 from mnemos.plans import views
 from mnemos.plans.graph_queries import SUPPORT, cues
 from mnemos.plans.scalar_queries import r6
 from mnemos.plans.state_queries import fold_traces, workspaces
 from mnemos.plans.views import with_views
+from mnemos.sources.stages import Stages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def _batch(spark, sf_dir):
-    c = cues(spark, sf_dir)
-    near = retrieve.make_candidates(c, views.traces(spark, sf_dir), 8).select(F.col("cue_id").alias("anchor_id"), "trace_id")
-    seq = F.substring_index("cue_id", "_", -1).cast("double")
-    return c.select(F.col("cue_id").alias("anchor_id"), "session_id", F.col("z").alias("x"), F.col("z").alias("c"), seq.alias("ts")), near
+def _traces(spark, sf_dir):
+    """The event traces in their whole form."""
+    t = fold_traces(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    return t.withColumns({"fidelity": 1.0 - 0.2 * (F.col("evidence") % 4), "compression_stage": (F.col("evidence") % 4).cast("int"), "member_ids": none, "path_signature": none, "parent_trace_id": F.lit(None).cast("string"), "spawned_from_frame": F.lit(None).cast("string")}).drop("user_id")
+
+
+def _log(spark, sf_dir):
+    """The frame log with vectors: what is seen next is the target."""
+    f = views.frames(spark, sf_dir).withColumn("x", V.l2_normalize(F.array(F.col("group_entropy"), F.col("pred_loss"), F.lit(0.5), F.lit(0.1))))
+    w = Window.partitionBy("session_id").orderBy("ts", "seq")
+    return f.withColumns({"c": F.col("x"), "loss": F.col("pred_loss"), "target": F.lead("x").over(w)})
+
+
+def _groups(spark, sf_dir):
+    g = views.groups(spark, sf_dir)
+    same = lambda v: F.transform("ctx_mu", lambda m: F.transform(m, lambda _: v))
+    return g.select("group_id", "member_ids", "alpha", "ctx_mu", same(F.col("ctx_sigma")).alias("ctx_sigma_diag"), "pred_success_ema", "temperature", "unresolved_mass", F.lit(0.0).alias("replay_alignment_ema"), "replay_tension_ema", "ambiguous_buffer", F.array().cast("array<array<double>>").alias("ambiguous_ctx_buffer"))
 
 
 def mt6(spark, sf_dir):
-    anchors, near = _batch(spark, sf_dir)
-    frames = anchors.withColumns({"frame_id": F.concat(F.lit("f"), "anchor_id"), "pred_loss": (F.col("ts") % 7) / 10, "group_entropy": (F.col("ts") % 5) / 10})
-    return cycle.replay_mutations(frames, near, views.traces(spark, sf_dir), batch=32, least_gain=-1e9).select("frame_id", "anchor_id", "action", r6("priority").alias("priority"))
+    """Every 97th event as a replay batch, scored against its session's traces with edges and groups."""
+    f = _log(spark, sf_dir).where("next_trace_id is not null and seq % 97 = 3")
+    made = replay.replay_mutations(f, _traces(spark, sf_dir), views.edges(spark, sf_dir), _groups(spark, sf_dir), Stages(spark, "mt6"))[1]
+    return made.select("frame_id", "action", "trace_id", r6("delta").alias("delta"))
 
 
 def mt13(spark, sf_dir):
-    f = views.frames(spark, sf_dir).withColumn("x", V.l2_normalize(F.array(F.col("group_entropy"), F.col("pred_loss"), F.lit(0.5), F.lit(0.1)))).withColumn("c", F.col("x"))
-    state = cycle.maintenance_cycle(f, fold_traces(spark, sf_dir).drop("session_id"), views.edges(spark, sf_dir), 1706000000.0, 32)
-    return state["traces"].select("trace_id", r6("evidence").alias("evidence"), r6("stability").alias("stability"))
+    """A whole cycle over the log, under a budget that makes it compress and prune."""
+    t, e = _traces(spark, sf_dir), views.edges(spark, sf_dir)
+    log = _log(spark, sf_dir)
+    state = {"traces": t, "edges": e, "groups": _groups(spark, sf_dir), "frames": log, "anchors": log.groupBy("anchor_id").agg(F.max_by("x", "seq").alias("z"))}
+    small = BudgetConfig(max_traces=0.75 * t.count(), max_edges=0.5 * e.count(), max_groups=1e9)
+    done = upkeep.maintenance_cycle(state, 1706000000.0, 32, budget=small)
+    return done.tables["traces"].select("trace_id", r6("evidence").alias("evidence"), r6("stability").alias("stability"), r6("fidelity").alias("fidelity"), r6("future_drift_ema").alias("future_drift_ema"))
+
+
+def mt5_update(spark, sf_dir):
+    """A batch's groups: proposals in their order, then the updates of all its frames."""
+    f = _log(spark, sf_dir).where("next_trace_id is not null and seq % 97 = 3")
+    even = F.map_from_entries(F.transform("active_ids", lambda t: F.struct(t.alias("k"), (1.0 / F.size("active_ids")).alias("v"))))
+    g, _, touched = replay.replay_groups(f.withColumn("activation", even), _traces(spark, sf_dir), _groups(spark, sf_dir).limit(0), Stages(spark, "mt5"))
+    return g.join(touched, "group_id").select("group_id", F.array_join("member_ids", ",").alias("members"), F.transform("alpha", lambda a: F.round(a, 6)).alias("alpha"), r6("unresolved_mass").alias("unresolved_mass"))
 
 
 def rd7(spark, sf_dir):
@@ -51,7 +80,7 @@ def mt11(spark, sf_dir):
     return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
-QUERIES |= {"mt6_replay_mutations": mt6, "mt11_replay_objective": mt11, "mt13_maintenance_cycle": mt13, "rd7_respond_batch": rd7}
+QUERIES |= {"mt5_replay_groups": mt5_update, "mt6_replay_mutations": mt6, "mt11_replay_objective": mt11, "mt13_maintenance_cycle": mt13, "rd7_respond_batch": rd7}
 
 ORACLES["mt11_replay_objective"] = with_views(f""", a AS (SELECT frame_id, trace_id AS own, len(active_ids) AS n, unnest(active_ids) AS t FROM v_frames), b AS (SELECT frame_id, CASE WHEN t = own THEN 0.6::DOUBLE ELSE 0.4::DOUBLE / (n - 1) END AS p, 1.0::DOUBLE / n AS q FROM a),
 kl AS (SELECT frame_id, sum((p - q) * (ln(p) - ln(q))) / 2 AS kl FROM b GROUP BY ALL), sp AS (SELECT src, dst, least({SUPPORT}, 1) AS s FROM v_edges GROUP BY ALL),

@@ -1,30 +1,6 @@
-"""Action scoring, roles, the cycle and answering on small cases."""
+"""Roles, answering and the replay objective on small cases."""
 
-import numpy as np
-
-from mnemos.kernels.inject import Session, new_trace
 from mnemos.operators import cycle, graph, roles
-from mnemos.operators.folds import TRACE
-
-
-def trace(name, mu):
-    t = new_trace(name, np.array(mu), np.array(mu), 0.0, f"a_{name}")
-    return t | {k: v.tolist() for k, v in t.items() if isinstance(v, np.ndarray)}
-
-
-def test_scores_match_the_session_loop(spark):
-    known = [trace("p", [1.0, 0.0]), trace("q", [0.0, 1.0])]
-    names = [c.split()[0] for c in TRACE.split(", ")]
-    traces = spark.createDataFrame([[t[n] for n in names] for t in known], TRACE)
-    anchors = spark.createDataFrame([("x1", "s", [0.9, 0.1], [0.9, 0.1], 1.0), ("x2", "s", [-5.0, 3.0], [-1.0, 1.0], 2.0), ("x3", "s", [0.0, 0.0], [0.0, 0.0], 3.0)], "anchor_id string, session_id string, x array<double>, c array<double>, ts double")
-    pairs = spark.createDataFrame([(a, t) for a in ("x1", "x2") for t in ("p", "q")], "anchor_id string, trace_id string")
-    got = {r["anchor_id"]: r for r in cycle.score_actions(cycle.nest_candidates(anchors, pairs, traces)).collect()}
-    for a, x, c, ts in (("x1", [0.9, 0.1], [0.9, 0.1], 1.0), ("x2", [-5.0, 3.0], [-1.0, 1.0], 2.0)):
-        s = Session("s", 2)
-        s.traces = {t["trace_id"]: t | {k: np.array(t[k]) for k in ("z_mu", "z_sigma_diag", "ctx_mu", "ctx_sigma_diag")} for t in known}
-        action, target, value, base = s.choose(np.array(x), np.array(c), ["p", "q"], ts, a)
-        assert (got[a]["action"], got[a]["trace_id"]) == (action, target) and abs(got[a]["objective"] - value) < 1e-9 and abs(got[a]["delta"] - (value - base)) < 1e-9
-    assert got["x3"]["action"] == "BIRTH" and got["x3"]["trace_id"] is None
 
 
 def test_role_rules(spark):
@@ -55,18 +31,6 @@ def test_dangling_members_leave_with_their_alpha(spark):
     assert got == {"g": (["a", "c"], [1.0, 3.0, 0.5]), "h": ([], [0.5])}
 
 
-def test_mutations_skip_shared_anchors(spark):
-    names = [c.split()[0] for c in TRACE.split(", ")]
-    known = [trace("p", [1.0, 0.0]) | {"anchor_reservoir": ["x1"]}, trace("q", [0.0, 1.0]) | {"anchor_reservoir": ["x1"]}]
-    traces = spark.createDataFrame([[t[n] for n in names] for t in known], TRACE)
-    frames = spark.createDataFrame([(f"f{a}", a, "s", [-9.0, 9.0], [-1.0, 1.0], 1.0, 0.5, 0.1) for a in ("x1", "x2", "x3")], "frame_id string, anchor_id string, session_id string, x array<double>, c array<double>, ts double, pred_loss double, group_entropy double")
-    pairs = spark.createDataFrame([(a, "p") for a in ("x1", "x2", "x3")], "anchor_id string, trace_id string")
-    spawned = spark.createDataFrame([("fx3",)], "frame_id string")
-    got = cycle.replay_mutations(frames, pairs, traces, 10, spawned).select("frame_id", "action").collect()
-    assert [r["frame_id"] for r in got] == ["fx2"] and got[0]["action"] in ("BIRTH", "SPLIT")
-    assert cycle.replay_mutations(frames.limit(0), pairs, traces, 10).count() == 0
-
-
 def test_replay_objective_of_equal_activations_is_zero(spark):
     a = spark.createDataFrame([("f", "t", 0.7), ("f", "u", 0.3)], "frame_id string, trace_id string, a double")
     e = spark.createDataFrame([("t", "u", "temporal", 0.4, 1.0, 1.0)], "src string, dst string, kind string, weight double, success_alpha double, success_beta double")
