@@ -32,11 +32,11 @@ from mnemos.llm.simhash import shingle_set
 #: Words of a shingle; similarity OVER / UNDER at least, so that whole numbers decide.
 WORDS, OVER, UNDER = 5, 4, 5
 #: The global order's counts are kept for 2^COUNT_BITS buckets of hashes at most (a byte each): they order, they decide nothing.
-COUNT_BITS = 25
+COUNT_BITS = 24
 #: Sets of a block, and hubs of a group.
 BLOCK, HUBS = 256, 4
 #: Shingles that are sorted at a time in a task.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: A sieve takes 2^SIEVE_BITS / 8 bytes (16 MB) at most.
 SIEVE_BITS = 27
 
@@ -234,10 +234,8 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            if not whole.num_rows:
-                continue
-            first = whole.filter(pa.array(passes(firsts.value, whole.column(2).to_numpy())))
-            for b in by_bytes(first, 1, 2 << 20):
+            for b in by_bytes(whole, 1, 2 << 20):
+                b = b.filter(pa.array(passes(firsts.value, b.column(2).to_numpy())))
                 sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
                 tokens = pa.array([pack(np.unique(s & np.uint64((1 << 48) - 1))) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), tokens], names=["key", "n", "tokens"])
