@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mnemos.config import FIELD, FieldConfig
 from mnemos.kernels import folds, predictor
+from mnemos.operators import ordered
 
 TRACE = "trace_id string, z_mu array<double>, z_sigma_diag array<double>, ctx_mu array<double>, ctx_sigma_diag array<double>, evidence double, stability double, uncertainty double, pred_loss_ema double, access_ema double, last_access_ts double, anchor_reservoir array<string>"
 _COLUMNS = [c.split()[0] for c in TRACE.split(", ")]
@@ -28,8 +29,8 @@ def _frame(t: dict) -> pd.DataFrame:
 
 
 def _fold(traces: DataFrame, steps: DataFrame, one) -> DataFrame:
-    """Traces folded over their steps in (ts, seq) order. Traces are independent; the order inside one is the semantics,
-    so a trace's steps (bounded by the replay batch) stay together. Traces without steps pass by."""
+    """Traces folded over their steps in (ts, seq) order. Traces are independent; the order inside one is the semantics. A
+    trace of more steps than ordered.CHUNK is folded in chunks that hand on its state. Traces without steps pass by."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -37,7 +38,10 @@ def _fold(traces: DataFrame, steps: DataFrame, one) -> DataFrame:
         ordered = right.sort_values(["ts", "seq"], kind="stable").to_dict("records")
         return _frame(one(_state(left.iloc[0]), [s | {"x": np.asarray(s["x"], dtype=np.float64), "c": np.asarray(s["c"], dtype=np.float64)} for s in ordered]))
 
-    return traces.select(*_COLUMNS).groupBy("trace_id").cogroup(steps.groupBy("trace_id")).applyInPandas(run, TRACE)
+    def fold(state: DataFrame, part: DataFrame) -> DataFrame:
+        return state.groupBy("trace_id").cogroup(part.groupBy("trace_id")).applyInPandas(run, TRACE)
+
+    return ordered.folded(traces.select(*_COLUMNS), steps, ["trace_id"], ["ts", "seq"], fold)
 
 
 def reconsolidate(traces: DataFrame, steps: DataFrame, config: FieldConfig = FIELD) -> DataFrame:
@@ -68,26 +72,37 @@ def apply_actions(traces: DataFrame, decisions: DataFrame, config: FieldConfig =
     return kept.unionByName(born)
 
 
+OPTION = "src string, dst string, t double, weight double, success_alpha double, success_beta double, taken int, has boolean"
+
+
 def option_edges(transitions: DataFrame, edges: DataFrame, grow: float = 0.0) -> DataFrame:
     """(src, dst, weight, success_alpha, success_beta, taken) after transitions (src, dst, success, ts, seq) in order.
 
-    Whether a success is taken depends on the edge so far, so it is a fold by edge, over two numbers a transition.
+    Whether a success is taken depends on the edge so far, so it is a fold by edge over two numbers a transition: a hot
+    edge goes in chunks that hand on six numbers (see ordered). grow: what each step adds to the temporal edge.
     """
     kind = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
     old = edges.groupBy("src", "dst").agg(kind("temporal", "weight").alias("t"), kind("option", "weight").alias("w"), kind("option", "success_alpha").alias("a"), kind("option", "success_beta").alias("b"))
-    steps = transitions.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "success"))).alias("s")).join(old, ["src", "dst"], "left")
+    zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias
+    start = transitions.select("src", "dst").distinct().join(old, ["src", "dst"], "left").select("src", "dst", zero("t", 0.0)("t"), zero("w", 0.0)("weight"), zero("a", 1.0)("success_alpha"), zero("b", 1.0)("success_beta"), F.lit(0).alias("taken"), F.col("w").isNotNull().alias("has"))
+    names = [c.split()[0] for c in OPTION.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
             out = []
             for r in df.itertuples(index=False):
-                has = not pd.isna(r.w)
-                e = folds.option_edge(r.w if has else 0.0, r.a if has else 1.0, r.b if has else 1.0, has, 0.0 if pd.isna(r.t) else r.t, [x["success"] for x in r.s], grow=grow)
-                if e["exists"]:
-                    out.append((r.src, r.dst, e["weight"], e["success_alpha"], e["success_beta"], e["taken"]))
-            yield pd.DataFrame(out, columns=["src", "dst", "weight", "success_alpha", "success_beta", "taken"])
+                e = folds.option_edge(r.weight, r.success_alpha, r.success_beta, r.has, r.t, [x["success"] for x in r.s], grow=grow)
+                n = len(r.s)
+                t = 0.95**n * r.t + grow * (1 - 0.95**n) / 0.05 if grow else r.t
+                out.append((r.src, r.dst, t, e["weight"], e["success_alpha"], e["success_beta"], r.taken + e["taken"], e["exists"]))
+            yield pd.DataFrame(out, columns=names)
 
-    return steps.mapInPandas(run, "src string, dst string, weight double, success_alpha double, success_beta double, taken int")
+    def fold(state: DataFrame, part: DataFrame) -> DataFrame:
+        chunk = part.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "success"))).alias("s"))
+        return state.join(chunk, ["src", "dst"]).select(*names, "s").mapInPandas(run, OPTION)
+
+    done = ordered.folded(start, transitions, ["src", "dst"], ["ts", "seq"], fold)
+    return done.where("has").select("src", "dst", "weight", "success_alpha", "success_beta", "taken")
 
 
 def _xy(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +170,7 @@ def update_groups(groups: DataFrame, traces: DataFrame, observations: DataFrame)
     groups has member_ids, alpha, ctx_mu, ctx_sigma (one variance), pred_success_ema, temperature, unresolved_mass,
     replay_tension_ema, ambiguous_buffer; or, in the whole form, ctx_sigma_diag, replay_alignment_ema and
     ambiguous_ctx_buffer, which then come back too. Members' means and variances are those at batch start; a member that
-    is gone keeps its place and has no mass. A group's observations are those of one replay batch.
+    is gone keeps its place and has no mass. A group of more observations than ordered.CHUNK is folded in chunks.
     """
     whole = "ctx_sigma_diag" in groups.columns
     schema = f"{GROUP}, {GROUP_MORE}" if whole else GROUP
@@ -165,10 +180,12 @@ def update_groups(groups: DataFrame, traces: DataFrame, observations: DataFrame)
     member = groups.select("group_id", F.posexplode("member_ids").alias("i", "trace_id")).join(traces.select("trace_id", "z_mu", "z_sigma_diag"), "trace_id")
     held = member.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("i", "z_mu", "z_sigma_diag"))).alias("m"))
     left = groups.select(*names).join(held.select("group_id", F.col("m.i").alias("at"), F.col("m.z_mu").alias("mu"), F.col("m.z_sigma_diag").alias("var")), "group_id")
+    left = left.withColumn("inflation", F.transform(F.slice("alpha", F.lit(1), F.size("alpha") - 1), lambda _: F.lit(1.0)))
+    held_columns = left.columns
 
     def run(key: tuple, g: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
         if not len(g):
-            return pd.DataFrame(columns=columns)
+            return pd.DataFrame(columns=held_columns)
         r = g.iloc[0]
         at, mu, var = np.asarray(r["at"]), np.stack(list(r["mu"])), np.stack(list(r["var"]))
         slots = np.append(at, len(r["alpha"]) - 1)  # live members and the null slot
@@ -178,7 +195,8 @@ def update_groups(groups: DataFrame, traces: DataFrame, observations: DataFrame)
         state["ctx_sigma_diag"] = take("ctx_sigma_diag") if whole else np.full_like(state["ctx_mu"], r["ctx_sigma"])
         if whole:
             state |= {"replay_alignment_ema": float(r["replay_alignment_ema"]), "ambiguous_ctx_buffer": [list(v) for v in r["ambiguous_ctx_buffer"]]}
-        grown = np.ones(len(mu))
+        inflation = np.asarray(r["inflation"], dtype=np.float64).copy()
+        grown = inflation[at]
         for s in steps.sort_values(["ts", "seq"], kind="stable").to_dict("records"):
             loss = float(s["loss"]) if s.get("loss") is not None else None
             state, factor = folds.update_group(state, mu, var, np.asarray(s["x"], float), np.asarray(s["c"], float), s["anchor_id"], True, loss)
@@ -190,11 +208,13 @@ def update_groups(groups: DataFrame, traces: DataFrame, observations: DataFrame)
                 out[i] = v.tolist()
             return out
 
-        inflation = np.ones(len(r["alpha"]) - 1)
         inflation[at] = grown
-        row = {"group_id": r["group_id"], "inflation": inflation.tolist(), **{c: state[c] for c in ("temperature", "unresolved_mass", "replay_tension_ema", "ambiguous_buffer")}, **{c: back(c, r[c]) for c in ("alpha", "ctx_mu", "pred_success_ema")}}
+        row = {c: r[c] for c in held_columns} | {"inflation": inflation.tolist(), **{c: state[c] for c in ("temperature", "unresolved_mass", "replay_tension_ema", "ambiguous_buffer")}, **{c: back(c, r[c]) for c in ("alpha", "ctx_mu", "pred_success_ema")}}
         if whole:
             row |= {"ctx_sigma_diag": back("ctx_sigma_diag", r["ctx_sigma_diag"]), "replay_alignment_ema": state["replay_alignment_ema"], "ambiguous_ctx_buffer": state["ambiguous_ctx_buffer"]}
-        return pd.DataFrame([[row[c] for c in columns]], columns=columns)
+        return pd.DataFrame([[row[c] for c in held_columns]], columns=held_columns)
+
+    def fold(state: DataFrame, part: DataFrame) -> DataFrame:
+        return state.groupBy("group_id").cogroup(part.groupBy("group_id")).applyInPandas(run, left.schema)
 
-    return left.groupBy("group_id").cogroup(observations.groupBy("group_id")).applyInPandas(run, schema)
+    return ordered.folded(left, observations, ["group_id"], ["ts", "seq"], fold).select(*columns)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemos.config import FIELD
+from mnemos.operators import ordered
 
 
 def link_frames(frames: DataFrame) -> DataFrame:
@@ -38,13 +39,14 @@ def transition_support(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 def upsert_edges(deltas: DataFrame, edges: DataFrame | None = None, decay: float = FIELD.edge_decay) -> DataFrame:
     """Weights after the touches (src, dst, kind, delta, ts, seq) in order: w <- decay * w + delta.
 
-    All deltas are at least 0, so the recurrence has the closed form decay^n w0 + sum of decay^(n-k) delta_k. The touches
-    of a hot edge are ranked by a window, and only that; sums combine before the shuffle.
+    All deltas are at least 0, so the recurrence has the closed form decay^n w0 + sum of decay^(n-k) delta_k. Only the rank
+    needs order: a hot edge's touches are numbered by ranges (see ordered), and sums combine before the shuffle.
     """
-    w = Window.partitionBy("src", "dst", "kind").orderBy(F.desc("ts"), F.desc("seq"))
-    ranked = deltas.withColumn("k", F.row_number().over(w) - 1)
-    part = F.pow(F.lit(decay), F.col("k").cast("double")) * F.greatest("delta", F.lit(0.0))
-    new = ranked.groupBy("src", "dst", "kind").agg(F.sum(part).alias("gain"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("ts"))
+    keys = ["src", "dst", "kind"]
+    rows = deltas.select(*keys, F.greatest("delta", F.lit(0.0)).alias("delta"), "ts", (-F.col("ts")).alias("_t"), (-F.col("seq")).alias("_s"))
+    ranked = ordered.ranked(rows, keys, ["_t", "_s"])
+    part = F.pow(F.lit(decay), F.col("k").cast("double")) * F.col("delta")
+    new = ranked.groupBy(*keys).agg(F.sum(part).alias("gain"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("ts"))
     if edges is None:
         return new.select("src", "dst", "kind", F.col("gain").alias("weight"), F.col("gain").alias("support_ema"), F.col("ts").alias("last_update_ts"))
     old = edges.select("src", "dst", "kind", F.col("weight").alias("w0"), F.col("support_ema").alias("s0"), F.col("last_update_ts").alias("t0"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from mnemos.plans.graph_queries import cues
 from mnemos.plans.scalar_queries import _MASS, r6
 from mnemos.plans.views import with_views
 from mnemos.sources import snapshots
+from mnemos.sources.stages import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -220,7 +223,16 @@ def in2(spark, sf_dir):
     return out.select("trace_id", r6("evidence").alias("evidence"), r6("access_ema").alias("access_ema"), r6(V.vsum(F.col("z_mu"))).alias("mu_sum"), r6(V.vsum(F.col("z_sigma_diag"))).alias("var_sum"))
 
 
-@query("eg4_option_edges")
+_SUP = "least(greatest(t, CASE WHEN has THEN a / (a + b) ELSE 0 END, 0), 1)"
+_TAKE = f"(s > 0.70 AND CASE WHEN has THEN 0 ELSE 0.05::DOUBLE * 0.115::DOUBLE + 0.03::DOUBLE * 0.15::DOUBLE END + 0.08::DOUBLE * (1 - greatest({_SUP}, s)) < 0.08::DOUBLE * (1 - {_SUP}))"
+
+
+@query("eg4_option_edges", with_views(f""", tr AS (SELECT trace_id AS src, next_trace_id AS dst, 1 - least(pred_loss, 1) AS s, row_number() OVER (PARTITION BY trace_id, next_trace_id ORDER BY ts, seq) AS n FROM v_frames WHERE next_trace_id IS NOT NULL),
+f AS (SELECT src, dst, CAST(0 AS BIGINT) AS n, weight / 4 AS t, 0.0::DOUBLE AS w, 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, false AS has, 0 AS taken FROM v_edges WHERE kind = 'temporal'
+UNION ALL SELECT src, dst, n, t, CASE WHEN take THEN 0.075::DOUBLE * s + CASE WHEN has THEN 0.95::DOUBLE * w ELSE 0 END ELSE w END, CASE WHEN take THEN 0.98::DOUBLE * a + s ELSE a END, CASE WHEN take THEN 0.98::DOUBLE * b + 1 - s ELSE b END, has OR take, taken + CAST(take AS INTEGER)
+  FROM (SELECT f.src, f.dst, tr.n, t, w, a, b, has, taken, s, {_TAKE} AS take FROM f JOIN tr ON tr.src = f.src AND tr.dst = f.dst AND tr.n = f.n + 1)),
+last AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY n DESC) AS r FROM f)
+SELECT src, dst, round(w, 6) AS weight, round(a, 6) AS success_alpha, round(b, 6) AS success_beta, taken FROM last WHERE r = 1 AND has""", "v_frames", "v_edges", recursive=True))
 def eg4(spark, sf_dir):
     f = views.frames(spark, sf_dir).where("next_trace_id is not null")
     t = f.select(F.col("trace_id").alias("src"), F.col("next_trace_id").alias("dst"), (1 - F.least("pred_loss", F.lit(1.0))).alias("success"), "ts", "seq")
@@ -263,8 +275,4 @@ def io3(spark, sf_dir):
 
 
 def scratch(spark) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="snapshots-")
-    return f"{base.rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
