@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemos.llm.common import by_bytes, materialise
+from mnemos.llm.common import by_bytes, materialise, small_batches
 from mnemos.llm.components import connected_components
 from mnemos.llm.simhash import shingle_set
 
@@ -241,7 +241,8 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), tokens], names=["key", "n", "tokens"])
 
     sets = keyed.select("key", "text", name.alias("name")).mapInArrow(run, "key binary, n int, tokens binary")
-    return materialise(sets.where("n > 0").withColumn("node", F.monotonically_increasing_id()), "ngram-sets")
+    with small_batches(docs.sparkSession):
+        return materialise(sets.where("n > 0").withColumn("node", F.monotonically_increasing_id()), "ngram-sets")
 
 
 def gaps(at: np.ndarray) -> np.ndarray:
@@ -421,13 +422,14 @@ def similar_components(sets: DataFrame, meetings: DataFrame | None = None) -> Da
     meetings: groups (token, node, size) in which texts meet first, instead of those of a shared rare shingle. They spare
     comparisons; what comes out is the same.
     """
-    counts = bucket_counts(sets)
-    groups = prefix_records(sets, counts).groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    groups = materialise(groups.select("token"), "ngram-tokens")
-    shared = materialise(_groups(prefix_records(sets, counts, sieve(groups)).join(groups, "token")), "ngram-shared")
-    links = _links(_first_meetings(shared if meetings is None else meetings), sets)
-    components = materialise(connected_components(links), "ngram-components")
-    return connected_components(links.union(_links(_open_meetings(shared, components), sets)))
+    with small_batches(sets.sparkSession):
+        counts = bucket_counts(sets)
+        groups = prefix_records(sets, counts).groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        groups = materialise(groups.select("token"), "ngram-tokens")
+        shared = materialise(_groups(prefix_records(sets, counts, sieve(groups)).join(groups, "token")), "ngram-shared")
+        links = _links(_first_meetings(shared if meetings is None else meetings), sets)
+        components = materialise(connected_components(links), "ngram-components")
+        return connected_components(links.union(_links(_open_meetings(shared, components), sets)))
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
