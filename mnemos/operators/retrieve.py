@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,61 +14,76 @@ from mnemos.functions import costs
 from mnemos.functions.vectors import norm, vdot
 from mnemos.kernels.nearest import Nearest, by_width
 
-#: Cues that are dealt to every partition of the traces at a time; more are worked off in blocks of this size.
-CUE_BLOCK_BYTES = 64 << 20
+#: Bytes of vectors in a block of cues, and of traces: a cell of the grid holds one of each at a time.
+BLOCK_BYTES = 32 << 20
+
+
+def _blocks(rows: DataFrame, vector: str) -> int:
+    """Into how many hash blocks of bounded bytes the rows fall."""
+    size = rows.agg(F.sum(F.coalesce(F.size(vector), F.lit(0)) * 8 + 64)).first()[0] or 0
+    return 1 + int(size) // BLOCK_BYTES
 
 
 def session_scope(cues: DataFrame, traces: DataFrame) -> DataFrame:
     """Pairs (cue, trace) a cue may see: its own session's traces, or all where its session is empty.
 
     The cues with a session meet traces in an equi-join on the session. Those without are a stated query set against all
-    traces, broadcast behind a check of its size.
+    traces: each meets every block of traces in an equi-join on the block.
     """
     named = cues.where("session_id != ''").join(traces.withColumnRenamed("session_id", "trace_session"), F.col("session_id") == F.col("trace_session"))
-    free = cues.where("session_id = ''")
-    everything = _against_all(free, traces.withColumnRenamed("session_id", "trace_session"))
-    return named.unionByName(everything)
-
-
-def _against_all(cues: DataFrame, traces: DataFrame) -> DataFrame:
-    """Each cue with each trace. The cues are broadcast if they take under CUE_BLOCK_BYTES, else in hash blocks."""
-    size = cues.agg(F.sum(F.size("z") * 8 + 64)).first()[0] or 0
-    blocks = 1 + int(size) // CUE_BLOCK_BYTES
-    out = None
-    for b in range(blocks):
-        part = cues if blocks == 1 else cues.where(F.pmod(F.xxhash64("cue_id"), F.lit(blocks)) == b)
-        pairs = F.broadcast(part).crossJoin(traces)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    every = traces.withColumnRenamed("session_id", "trace_session")
+    n = max(_blocks(traces, "z_mu"), int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    free = cues.where("session_id = ''").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return named.unionByName(free.join(every.withColumn("_block", F.pmod(F.xxhash64("trace_id"), F.lit(n)).cast("int")), "_block").drop("_block"))
 
 
 def topk_similar(cues: DataFrame, traces: DataFrame, k: int = FIELD.candidate_size) -> DataFrame:
     """(cue_id, trace_id, score, rank): exact cosine top-k among all traces, ties by trace_id ascending.
 
-    Cues are a stated query set, dealt to the tasks in blocks of CUE_BLOCK_BYTES: each task multiplies its traces with the
-    block as matrices and keeps k rows a cue, so k rows a cue and partition are shuffled. A null vector, and one whose
-    score is no number, is like nothing; vectors meet those of their own width.
+    Both sides are dealt to a grid of blocks by key, nothing passes the driver: cell (i, j) gets block i of the cues and
+    block j of the traces, multiplies them as matrices, and keeps k rows a cue, which a window merges. Blocks are of bounded
+    bytes; the side of fewer bytes is copied the more. A null vector, and one whose score is no number, is like nothing;
+    vectors meet those of their own width.
     """
     cues, traces = cues.select("cue_id", "z"), traces.select("trace_id", "z_mu")
     cue_type, trace_type = cues.schema["cue_id"].dataType.simpleString(), traces.schema["trace_id"].dataType.simpleString()
-    size = cues.agg(F.sum(F.size("z") * 8 + 64)).first()[0] or 0
-    blocks, out = 1 + int(size) // CUE_BLOCK_BYTES, None
-    for b in range(blocks):
-        part = cues if blocks == 1 else cues.where(F.pmod(F.xxhash64("cue_id"), F.lit(blocks)) == b)
-        block = part.toArrow()
-        ids, known = block.column(0).combine_chunks(), by_width(block.column(1))
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, known=known) -> Iterator[pa.RecordBatch]:
-            best = Nearest(known, k)
-            for x in batches:
-                best.add(x.column(0), x.column(1))
-            for at, found, score in best.rows():
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), found, pa.array(score)], names=["cue_id", "trace_id", "score"])
-
-        found = traces.mapInArrow(run, f"cue_id {cue_type}, trace_id {trace_type}, score double")
-        out = found if out is None else out.unionByName(found)
+    wide = int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, columns = _blocks(cues, "z"), _blocks(traces, "z_mu")
+    rows = max(rows, wide // columns)  # cells enough to keep the tasks busy
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = cues.select(block("cue_id", rows).alias("i"), every(columns).alias("j"), F.lit(0).alias("side"), "cue_id", F.lit(None).cast(trace_type).alias("trace_id"), F.col("z").cast("array<double>").alias("v"))
+    right = traces.select(every(rows).alias("i"), block("trace_id", columns).alias("j"), F.lit(1), F.lit(None).cast(cue_type), "trace_id", F.col("z_mu").cast("array<double>"))
+    dealt = left.union(right).repartition(rows * columns, "i", "j").sortWithinPartitions("i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, best, ids = None, [], None, None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for at, traces_, score in best.rows() if best else ():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), traces_, pa.array(score)], names=["cue_id", "trace_id", "score"])
+
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for s, e in zip(cuts, cuts[1:]):
+                i, j, side = keys[s].tolist()
+                part = b.slice(s, e - s)
+                if (i, j) != cell:
+                    yield from found()
+                    cell, held, best = (i, j), [], None
+                if side == 0:
+                    held.append(part.select([3, 5]))
+                elif held:
+                    if best is None:  # the cell's cues are all there
+                        known = pa.Table.from_batches(held)
+                        ids, best = known.column(0).combine_chunks(), Nearest(by_width(known.column(1)), k)
+                    best.add(part.column(4), part.column(5))
+        yield from found()
+
+    scored = dealt.mapInArrow(run, f"cue_id {cue_type}, trace_id {trace_type}, score double")
     w = Window.partitionBy("cue_id").orderBy(F.desc("score"), "trace_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def expand_groups(candidates: DataFrame, groups: DataFrame, traces: DataFrame) -> DataFrame:

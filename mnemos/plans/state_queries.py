@@ -232,12 +232,13 @@ f AS (SELECT src, dst, CAST(0 AS BIGINT) AS n, weight / 4 AS t, 0.0::DOUBLE AS w
 UNION ALL SELECT src, dst, n, t, CASE WHEN take THEN 0.075::DOUBLE * s + CASE WHEN has THEN 0.95::DOUBLE * w ELSE 0 END ELSE w END, CASE WHEN take THEN 0.98::DOUBLE * a + s ELSE a END, CASE WHEN take THEN 0.98::DOUBLE * b + 1 - s ELSE b END, has OR take, taken + CAST(take AS INTEGER)
   FROM (SELECT f.src, f.dst, tr.n, t, w, a, b, has, taken, s, {_TAKE} AS take FROM f JOIN tr ON tr.src = f.src AND tr.dst = f.dst AND tr.n = f.n + 1)),
 last AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY n DESC) AS r FROM f)
-SELECT src, dst, round(w, 4) AS weight, round(a, 6) AS success_alpha, round(b, 6) AS success_beta, taken FROM last WHERE r = 1 AND has""", "v_frames", "v_edges", recursive=True))
+SELECT src, dst, round(w + 1e-9, 6) AS weight, round(a + 1e-9, 6) AS success_alpha, round(b + 1e-9, 6) AS success_beta, taken FROM last WHERE r = 1 AND has""", "v_frames", "v_edges", recursive=True))
 def eg4(spark, sf_dir):
     f = views.frames(spark, sf_dir).where("next_trace_id is not null")
     t = f.select(F.col("trace_id").alias("src"), F.col("next_trace_id").alias("dst"), (1 - F.least("pred_loss", F.lit(1.0))).alias("success"), "ts", "seq")
     out = folds.option_edges(t, views.edges(spark, sf_dir).where("kind = 'temporal'").withColumn("weight", F.col("weight") / 4))
-    return out.select("src", "dst", F.round("weight", 4).alias("weight"), r6("success_alpha").alias("success_alpha"), r6("success_beta").alias("success_beta"), "taken")
+    off_the_edge = lambda c: F.round(F.col(c) + 1e-9, 6).alias(c)
+    return out.select("src", "dst", *map(off_the_edge, ("weight", "success_alpha", "success_beta")), "taken")
 
 
 def transitions(spark, sf_dir):
