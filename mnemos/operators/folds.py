@@ -7,12 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.config import FIELD, FieldConfig
 from mnemos.kernels import folds, predictor
 from mnemos.operators import ordered
+from mnemos.sources.stages import Stages
 
 TRACE = "trace_id string, z_mu array<double>, z_sigma_diag array<double>, ctx_mu array<double>, ctx_sigma_diag array<double>, evidence double, stability double, uncertainty double, pred_loss_ema double, access_ema double, last_access_ts double, anchor_reservoir array<string>"
 _COLUMNS = [c.split()[0] for c in TRACE.split(", ")]
@@ -121,40 +123,62 @@ def score_transitions(rows: DataFrame, model: dict[str, np.ndarray], x: str = "x
     return rows.withColumn("nll", score(F.col(x), F.col(y)))
 
 
-def fit_transition_model(rows: DataFrame, steps: int = 20, hidden: int = 16, rate: float = 3e-3, decay: float = 1e-5, x: str = "x", y: str = "y", seed: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
-    """The model and the loss before each step: gradients are summed by partition, added up, clipped to norm 1, and Adam
-    takes the step. Only sums of the size of the model reach the driver."""
-    first = rows.select(F.size(x).alias("i"), F.size(y).alias("o")).first()
-    if first is None:
-        return {}, []
-    m = predictor.init(first["i"], hidden, first["o"], seed)
-    names, losses = list(m), []
-    one, two = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}
-    pairs = rows.select(x, y)
-    for t in range(1, steps + 1):
-        shared = rows.sparkSession.sparkContext.broadcast(m)
+def _summed(rows: DataFrame, model: dict[str, np.ndarray], parts: int) -> tuple[np.ndarray, float, int]:
+    """Gradients, loss and rows of all rows: summed by task, then by `parts` groups of tasks, which reach the driver."""
+    names, shared = list(model), rows.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total, loss, n = None, 0.0, 0
-            for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loss, n = None, 0.0, 0
+        for b in batches:
+            if b.num_rows:
                 g, s = predictor.gradient(shared.value, *_xy(b))
                 total = g if total is None else {k: total[k] + g[k] for k in names}
                 loss, n = loss + s, n + b.num_rows
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([total[k].ravel() for k in names]).tolist()], pa.list_(pa.float64())), pa.array([loss]), pa.array([n], pa.int64())], names=["g", "loss", "n"])
-
-        parts = pairs.mapInArrow(run, "g array<double>, loss double, n bigint").collect()
-        n = sum(p["n"] for p in parts)
-        flat = np.sum([p["g"] for p in parts], axis=0) / n
-        losses.append(sum(p["loss"] for p in parts) / n)
-        flat = flat / max(1.0, float(np.linalg.norm(flat)))
-        at, new = 0, {}
-        for k in names:
-            g = flat[at : at + m[k].size].reshape(m[k].shape) + decay * m[k]
+        if total is not None:
+            flat = np.concatenate([total[k].ravel() for k in names])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([flat.tolist()], pa.list_(pa.float64())), pa.array([loss]), pa.array([n], pa.int64())], names=["part", "g", "loss", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        g = np.sum(np.array(table["g"].to_pylist()), axis=0)
+        return pa.table({"g": pa.array([g.tolist()], pa.list_(pa.float64())), "loss": [sum(table["loss"].to_pylist())], "n": pa.array([sum(table["n"].to_pylist())], pa.int64())})
+
+    found = rows.mapInArrow(run, "part int, g array<double>, loss double, n bigint").groupBy("part").applyInArrow(add, "g array<double>, loss double, n bigint").collect()
+    shared.unpersist()
+    return np.sum([p["g"] for p in found], axis=0), sum(p["loss"] for p in found), sum(p["n"] for p in found)
+
+
+def fit_transition_model(rows: DataFrame, steps: int = 20, hidden: int = 16, rate: float = 3e-3, decay: float = 1e-5, x: str = "x", y: str = "y", seed: int = 0, target_ema: float = 0.995, weight_decay: float = 1e-5, start: dict[str, np.ndarray] | None = None, target: dict[str, np.ndarray] | None = None, parts: int = 16) -> tuple[dict[str, np.ndarray], list[float]]:
+    """The model and the loss before each step (negative log likelihood and `decay` times the drift from the target).
+
+    The source is read once and written; each step sums gradients over it in two levels, so the driver sees `parts` vectors
+    of the model's size. The drift is the mean squared distance of each weight table from the target copy, which follows
+    the model by target_ema; the gradient is clipped to norm 1, and Adam with weight decay takes the step. target is changed in place.
+    """
+    first = rows.select(F.size(x).alias("i"), F.size(y).alias("o")).first()
+    if first is None:
+        return {}, []
+    pairs = Stages(rows.sparkSession, "fit").keep(rows.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")), "pairs")
+    m = predictor.init(first["i"], hidden, first["o"], seed) if start is None else dict(start)
+    follow = {} if target is None else target
+    for k in m:
+        follow.setdefault(k, m[k].copy())
+    one, two, losses = {k: np.zeros_like(v) for k, v in m.items()}, {k: np.zeros_like(v) for k, v in m.items()}, []
+    for t in range(1, steps + 1):
+        flat, loss, n = _summed(pairs, m, parts)
+        losses.append(loss / n + decay * sum(float(((m[k] - follow[k]) ** 2).mean()) for k in m))
+        at, grads = 0, {}
+        for k in m:
+            grads[k] = flat[at : at + m[k].size].reshape(m[k].shape) / n + decay * 2 * (m[k] - follow[k]) / m[k].size
             at += m[k].size
+        norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
+        new = {}
+        for k, g in grads.items():
+            g = g / max(1.0, norm) + weight_decay * m[k]
             one[k], two[k] = 0.9 * one[k] + 0.1 * g, 0.999 * two[k] + 0.001 * g * g
             new[k] = m[k] - rate * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.999**t)) + 1e-8)
         m = new
+        for k in m:
+            follow[k] = target_ema * follow[k] + (1 - target_ema) * m[k]
     return m, losses
 
 

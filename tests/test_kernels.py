@@ -137,6 +137,43 @@ def test_training_lowers_the_loss(spark):
     assert folds.score_transitions(df, model).agg(F.avg("nll")).first()[0] < losses[0]
 
 
+def test_training_equals_a_loop(spark):
+    """Against plain steps over all rows at once, by finite differences of the whole loss with its drift."""
+    from mnemos.kernels import predictor
+
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(60, 3)), r.normal(size=(60, 2))
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "x array<double>, y array<double>").repartition(5)
+    target: dict = {}
+    model, losses = folds.fit_transition_model(df, steps=4, hidden=3, rate=0.1, decay=0.5, weight_decay=0.2, target=target, target_ema=0.9)
+    m = predictor.init(3, 3, 2, 0)
+    t, one, two, seen = {k: v.copy() for k, v in m.items()}, {}, {}, []
+
+    def loss(m):
+        return predictor.nll(m, x, y).mean() + 0.5 * sum(((m[k] - t[k]) ** 2).mean() for k in m)
+
+    for step in range(1, 5):
+        seen.append(loss(m))
+        grads = {}
+        for k in m:
+            g = np.zeros_like(m[k])
+            for i in np.ndindex(*g.shape):
+                up, down = {**m, k: m[k].copy()}, {**m, k: m[k].copy()}
+                up[k][i] += 1e-6
+                down[k][i] -= 1e-6
+                g[i] = (loss(up) - loss(down)) / 2e-6
+            grads[k] = g
+        norm = np.sqrt(sum((g**2).sum() for g in grads.values()))
+        for k, g in grads.items():
+            g = g / max(1.0, norm) + 0.2 * m[k]
+            one[k], two[k] = 0.9 * one.get(k, 0) + 0.1 * g, 0.999 * two.get(k, 0) + 0.001 * g * g
+            m[k] = m[k] - 0.1 * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+        t = {k: 0.9 * t[k] + 0.1 * m[k] for k in m}
+    assert np.allclose(losses, seen, atol=1e-6)
+    for k in m:
+        assert np.allclose(model[k], m[k], atol=1e-4) and np.allclose(target[k], t[k], atol=1e-4)
+
+
 def test_snapshots(spark, tmp_path):
     path, t = str(tmp_path / "s"), spark.createDataFrame([("a", [1.0, 2.0])], "trace_id string, z_mu array<double>")
     for step in (1, 2, 3):
