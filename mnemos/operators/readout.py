@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemos.config import EPS
+from mnemos.config import EPS, FIELD, FieldConfig
 from mnemos.functions import costs
 from mnemos.functions.vectors import cosine, gaussian_logpdf
 from mnemos.kernels.settle import SettleConfig, settle
+from mnemos.operators.objective import posterior_slice
+from mnemos.operators.retrieve import weighted_mean
 
 
 def cue_bias() -> Column:
@@ -68,16 +70,54 @@ def settle_workspaces(nested: DataFrame, config: SettleConfig = SettleConfig())
     return nested.select("cue_id", "candidates", "edges", "groups").mapInPandas(run, "cue_id string, active_ids array<string>, weights array<double>, iterations int, energy double, group_kl double")
 
 
-def nest_cues(scored: DataFrame, edges: DataFrame) -> DataFrame:
-    """The nested rows of settle_workspaces from scored (cue_id, trace_id, rank, bias) and the edge table.
+def cue_groups(cues: DataFrame, scored: DataFrame, groups: DataFrame, traces: DataFrame) -> DataFrame:
+    """(cue_id, groups): the groups with two members or more among a cue's candidates, each with those members and their
+    probabilities at the cue (array of struct<ids, probs>), by the best rank of a member.
 
-    A cue has at most 64 candidates, so its rows and the edges among them are bounded.
+    cues has cue_id, z, context. Members outside of the candidates take their share of the slice and are left out then.
+    """
+    held = relevant_groups(scored, groups)
+    sigma = groups if "ctx_sigma" in groups.columns else groups.withColumn("ctx_sigma", F.col("ctx_sigma_diag")[0][0])
+    seen = held.select("cue_id", "group_id").join(cues.select("cue_id", F.col("z").alias("x"), F.col("context").alias("c")), "cue_id")
+    slices = posterior_slice(sigma, traces, seen.select(F.col("cue_id").alias("obs_id"), "group_id", "x", "c"))
+    rows = slices.select(F.col("obs_id").alias("cue_id"), "group_id", "slot", F.col("member_id").alias("trace_id"), "prob").join(scored.select("cue_id", "trace_id", "rank"), ["cue_id", "trace_id"])
+    one = rows.groupBy("cue_id", "group_id").agg(F.array_sort(F.collect_list(F.struct("slot", "trace_id", "prob"))).alias("m"), F.min("rank").alias("rank"))
+    pick = lambda f: F.transform("m", lambda s: s[f])
+    every = one.groupBy("cue_id").agg(F.array_sort(F.collect_list(F.struct("rank", "group_id", pick("trace_id").alias("ids"), pick("prob").alias("probs")))).alias("g"))
+    return every.select("cue_id", F.transform("g", lambda s: F.struct(s["ids"].alias("ids"), s["probs"].alias("probs"))).alias("groups"))
+
+
+def nest_cues(scored: DataFrame, edges: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """The nested rows of settle_workspaces from scored (cue_id, trace_id, rank, bias), the edge table and cue_groups.
+
+    A cue has at most 64 candidates, so its rows, the edges among them and their groups are bounded.
     """
     best = scored.groupBy("cue_id").agg(F.array_sort(F.collect_list(F.struct("rank", "trace_id", "bias"))).alias("c"))
     inside = edges.join(scored.select("cue_id", F.col("trace_id").alias("src")), "src").join(scored.select("cue_id", F.col("trace_id").alias("dst")), ["cue_id", "dst"])
     links = inside.groupBy("cue_id").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "kind", "weight"))).alias("edges"))
-    none = F.array().cast("array<struct<ids:array<string>,probs:array<double>>>")
-    return best.join(links, "cue_id", "left").select("cue_id", F.transform("c", lambda s: F.struct(s["trace_id"].alias("trace_id"), s["bias"].alias("bias"))).alias("candidates"), "edges", none.alias("groups"))
+    out = best.join(links, "cue_id", "left").select("cue_id", F.transform("c", lambda s: F.struct(s["trace_id"].alias("trace_id"), s["bias"].alias("bias"))).alias("candidates"), "edges")
+    if groups is not None:
+        return out.join(groups, "cue_id", "left")
+    return out.withColumn("groups", F.array().cast("array<struct<ids:array<string>,probs:array<double>>>"))
+
+
+def describe_workspaces(settled: DataFrame, traces: DataFrame, config: FieldConfig = FIELD) -> DataFrame:
+    """settled with procedures (active traces of that role), anchor_refs (their reservoirs, in order) and summary (their mean
+    by weight); a workspace of nothing has empty ones."""
+    each = settled.select("cue_id", F.posexplode(F.arrays_zip("active_ids", "weights")).alias("i", "a")).select("cue_id", "i", F.col("a.active_ids").alias("trace_id"), F.col("a.weights").alias("w"))
+    known = each.join(traces.select("trace_id", "z_mu", "anchor_reservoir", (costs.role("role_logits", costs.PROCEDURE) >= config.active_role_threshold).alias("_p")), "trace_id")
+    one = known.groupBy("cue_id").agg(F.array_sort(F.collect_list(F.struct("i", "trace_id", "_p", "anchor_reservoir"))).alias("a"))
+    mean = weighted_mean(known, ["cue_id"], "z_mu", "w").withColumnRenamed("vector", "summary")
+    named = F.transform(F.filter("a", lambda s: s["_p"]), lambda s: s["trace_id"])
+    refs = F.flatten(F.transform("a", lambda s: F.slice(s["anchor_reservoir"], F.greatest(F.size(s["anchor_reservoir"]) - config.reservoir_size + 1, F.lit(1)), config.reservoir_size)))
+    none = F.array().cast("array<string>")
+    found = one.select("cue_id", named.alias("procedures"), refs.alias("anchor_refs")).join(mean, "cue_id", "left")
+    return settled.join(found, "cue_id", "left").withColumns({"procedures": F.coalesce("procedures", none), "anchor_refs": F.coalesce("anchor_refs", none), "summary": F.coalesce("summary", F.array().cast("array<double>"))})
+
+
+def to_payload(columns: tuple[str, ...] = ("active_ids", "weights", "procedures", "anchor_refs", "summary", "iterations", "energy", "group_kl")) -> Column:
+    """A described workspace as JSON text, arrays kept nested."""
+    return F.to_json(F.struct(*columns))
 
 
 def _section(title: str, entries: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mnemos.operators import actions, objective
+from mnemos.operators import actions, objective, readout
 from mnemos.plans import views
 from mnemos.plans.scalar_queries import _STORAGE, r6
 from mnemos.plans.views import with_views
@@ -55,6 +55,20 @@ def ag8(spark, sf_dir):
     return out.select("patch_id", *(r6(c).alias(c) for c in ("surprise", "complexity", "slow_alignment", "drift", "group_kl", "fidelity", "role", "total")))
 
 
+def rd4(spark, sf_dir):
+    """Workspaces of the arena's anchors settled with edges and groups, and whether the groups changed what is active."""
+    a, pairs, t, _, edges, groups = arena(spark, sf_dir)
+    cues = a.select(F.col("anchor_id").alias("cue_id"), "session_id", F.col("x").alias("z"), F.col("c").alias("context"))
+    rows = pairs.withColumnRenamed("anchor_id", "cue_id").join(cues, "cue_id").join(t.withColumnRenamed("session_id", "trace_session"), "trace_id").withColumns({"cue": F.col("z"), "frontier": F.col("z"), "predicted": F.col("z")})
+    scored = rows.select("cue_id", "trace_id", "rank", readout.cue_bias().alias("bias"))
+    links = edges.withColumn("weight", F.lit(0.4))
+    settled = readout.settle_workspaces(readout.nest_cues(scored, links, readout.cue_groups(cues, scored, groups, t)))
+    plain = readout.settle_workspaces(readout.nest_cues(scored, links)).select("cue_id", F.col("active_ids").alias("_ids"))
+    out = readout.describe_workspaces(settled, t).join(plain, "cue_id")
+    rounded = lambda c: F.transform(c, lambda v: F.round(v, 6))
+    return out.select("cue_id", F.array_join("active_ids", ",").alias("active"), rounded("weights").alias("weights"), r6("group_kl").alias("group_kl"), F.size("anchor_refs").alias("refs"), rounded("summary").alias("summary"), (F.col("active_ids") != F.col("_ids")).alias("changed"))
+
+
 def _g(x: str, mu: str, var: str) -> str:
     return f"(-0.5::DOUBLE * (list_sum(list_transform(list_zip({x}, {mu}, {var}), lambda q: (q[1] - q[2]) * (q[1] - q[2]) / q[3] + ln(q[3]))) + len({x}) * ln(2 * pi())))"
 
@@ -129,7 +143,7 @@ inh AS (SELECT anchor_id, pos, s1, s2, -0.3::DOUBLE * greatest(bf, 0) + 0.008::D
 best AS (SELECT anchor_id, act, t, total + coalesce(delta, 0) AS total, s1, s2, row_number() OVER (PARTITION BY anchor_id ORDER BY total + coalesce(delta, 0), pos) AS n FROM tot LEFT JOIN inh USING (anchor_id, pos) WHERE pos >= 0)
 SELECT b.anchor_id, b.act AS action, b.t AS trace_id, round(b.total, 6) AS objective, round(coalesce(z.total, 0), 6) AS base, s1 AS inhibit_a, s2 AS inhibit_b FROM best b LEFT JOIN tot z ON z.anchor_id = b.anchor_id AND z.pos = -1 WHERE n = 1"""
 
-QUERIES |= {"in1_score_actions": in1, "ag8_patch_objective_groups": ag8}
+QUERIES |= {"rd4_project_groups": rd4, "in1_score_actions": in1, "ag8_patch_objective_groups": ag8}
 ORACLES |= {
     "in1_score_actions": with_views(_ARENA + _SCORED + _CHOSEN, "v_anchors", "v_traces"),
     "ag8_patch_objective_groups": with_views(_ARENA + _SCORED + " SELECT anchor_id AS patch_id, round(surprise, 6) AS surprise, round(complexity, 6) AS complexity, round(align, 6) AS slow_alignment, round(drift, 6) AS drift, round(group_kl, 6) AS group_kl, round(fidelity, 6) AS fidelity, round(role, 6) AS role, round(total, 6) AS total FROM tot WHERE pos = -1", "v_anchors", "v_traces"),
