@@ -117,6 +117,12 @@ def replay_mutations(batch: DataFrame, traces: DataFrame, edges: DataFrame | Non
         born = stages.keep(new_traces(decided.where("makes"), traces, config), "born")
         traces = stages.keep(traces.unionByName(born), "traces")
         taken = decided if taken is None else taken.unionByName(decided)
+        # what comes after the frame that reaches the limit does nothing, so it isn't asked
+        last = taken.where("makes").orderBy("place").limit(limit).agg(F.max("place"), F.count(F.lit(1))).first()
+        if last[1] == limit:
+            ranked = ranked.where(F.col("place") <= last[0])
+            if ranked.where(F.col("turn") > k).isEmpty():
+                break
     none = batch.limit(0)
     if taken is None:
         return before, none.select("frame_id", F.lit("").alias("action"), "trace_id", F.lit("").alias("child"), F.lit(0.0).alias("delta")), none.select("seq", F.lit("").alias("first"), F.lit("").alias("second"), "x", "c", "ts", "anchor_id", "loss")

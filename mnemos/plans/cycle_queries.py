@@ -52,7 +52,7 @@ def mt13(spark, sf_dir):
     log = _log(spark, sf_dir)
     state = {"traces": t, "edges": e, "groups": _groups(spark, sf_dir), "frames": log, "anchors": log.groupBy("anchor_id").agg(F.max_by("x", "seq").alias("z"))}
     small = BudgetConfig(max_traces=0.75 * t.count(), max_edges=0.5 * e.count(), max_groups=1e9)
-    done = upkeep.maintenance_cycle(state, 1706000000.0, 32, budget=small)
+    done = upkeep.maintenance_cycle(state, 1706000000.0, 10, budget=small)
     return done.tables["traces"].select("trace_id", r6("evidence").alias("evidence"), r6("stability").alias("stability"), r6("fidelity").alias("fidelity"), r6("future_drift_ema").alias("future_drift_ema"))
 
 
