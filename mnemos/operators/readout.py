@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,9 @@ def relevant_groups(candidates: DataFrame, groups: DataFrame) -> DataFrame:
 def settle_workspaces(nested: DataFrame, config: SettleConfig = SettleConfig()) -> DataFrame:
     """nested: a row for each cue with candidates (array of struct<trace_id, bias>, ranked), edges (array of struct<src,
     dst, kind, weight>) and groups (array of struct<ids, probs>). Gives active_ids, weights, iterations, energy and
-    group_kl. Cues are independent, so nothing is shuffled."""
+    group_kl. A column `size` (int) is the number of traces that a cue's workspace holds at most. Cues are independent, so
+    nothing is shuffled."""
+    sized = "size" in nested.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in parts:
@@ -62,12 +65,12 @@ def settle_workspaces(nested: DataFrame, config: SettleConfig = SettleConfig())
                 at = {t: i for i, t in enumerate(ids)}
                 edges = [(at[e["src"]], at[e["dst"]], e["kind"], e["weight"]) for e in (r.edges if r.edges is not None else []) if e["src"] in at and e["dst"] in at]
                 groups = [([at[t] for t in g["ids"]], np.asarray(g["probs"], dtype=np.float64)) for g in (r.groups if r.groups is not None else [])]
-                s = settle(np.array([c["bias"] for c in r.candidates]), edges, groups, config)
+                s = settle(np.array([c["bias"] for c in r.candidates]), edges, groups, replace(config, active=int(r.size)) if sized else config)
                 active = np.flatnonzero(s.activation > 0)
                 out.append((r.cue_id, [ids[i] for i in active], s.activation[active].tolist(), s.iterations, s.energy, s.group_kl))
             yield pd.DataFrame(out, columns=["cue_id", "active_ids", "weights", "iterations", "energy", "group_kl"])
 
-    return nested.select("cue_id", "candidates", "edges", "groups").mapInPandas(run, "cue_id string, active_ids array<string>, weights array<double>, iterations int, energy double, group_kl double")
+    return nested.select("cue_id", "candidates", "edges", "groups", *(["size"] if sized else [])).mapInPandas(run, "cue_id string, active_ids array<string>, weights array<double>, iterations int, energy double, group_kl double")
 
 
 def cue_groups(cues: DataFrame, scored: DataFrame, groups: DataFrame, traces: DataFrame) -> DataFrame:

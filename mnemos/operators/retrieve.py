@@ -128,11 +128,32 @@ def make_candidates(cues: DataFrame, traces: DataFrame, size: int = FIELD.candid
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size).select("cue_id", "trace_id", F.col("_final").alias("score"), "rank")
 
 
-def frontier_summary(frontier: DataFrame, traces: DataFrame, now: float) -> DataFrame:
-    """(session_id, vector): traces of a frontier by weight * exp(-age / 10) * (1 + uncertainty)."""
-    age = F.greatest(F.lit(now) - F.col("last_access_ts"), F.lit(0.0))
-    rows = frontier.join(traces.select("trace_id", "z_mu", "last_access_ts", "uncertainty"), "trace_id").withColumn("w", F.col("weight") * F.exp(-age / 10.0) * (1.0 + F.col("uncertainty")))
-    return weighted_mean(rows, ["session_id"], "z_mu", "w")
+def frontier_summary(frontier: DataFrame, traces: DataFrame, now: float, sessions: DataFrame | None = None, latest: DataFrame | None = None, dim: int = FIELD.latent_dim) -> DataFrame:
+    """(session_id, vector): traces of a frontier by weight * exp(-age / 10) * (1 + uncertainty).
+
+    With sessions (session_id) a row for each of them: one without a frontier, and the empty one, takes the summary of
+    `latest` (trace_id, weight: the frontier of the last workspace of all), or zeros where that has no live trace either. A
+    frontier whose traces are all gone gives zeros.
+    """
+
+    def summed(rows: DataFrame) -> DataFrame:
+        age = F.greatest(F.lit(now) - F.col("last_access_ts"), F.lit(0.0))
+        live = rows.join(traces.select("trace_id", "z_mu", "last_access_ts", "uncertainty"), "trace_id").withColumn("w", F.col("weight") * F.exp(-age / 10.0) * (1.0 + F.col("uncertainty")))
+        return weighted_mean(live, ["session_id"], "z_mu", "w")
+
+    own = summed(frontier)
+    if sessions is None:
+        return own
+    asked = sessions.select("session_id").distinct()
+    known = frontier.where("session_id != ''").select("session_id", F.lit(True).alias("_known")).distinct()
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    out = asked.join(known, "session_id", "left").join(own.where("session_id != ''").withColumnRenamed("vector", "_own"), "session_id", "left")
+    if latest is None:
+        return out.select("session_id", F.coalesce("_own", zeros).alias("vector"))
+    # one row: the mean of at most frontier_size traces
+    last = summed(latest.select(F.lit("").alias("session_id"), "trace_id", "weight")).agg(F.first("vector").alias("_last"))
+    out = out.join(F.broadcast(last), F.lit(True), "left")
+    return out.select("session_id", F.coalesce(F.when(F.col("_known"), F.coalesce("_own", zeros)).otherwise(F.col("_last")), zeros).alias("vector"))
 
 
 def weighted_mean(rows: DataFrame, keys: list[str], vector: str, weight: str) -> DataFrame:

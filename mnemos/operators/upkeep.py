@@ -285,7 +285,8 @@ def without_members(groups_: DataFrame, gone: DataFrame) -> DataFrame:
 def objective_step(batch: DataFrame, state: dict[str, DataFrame], touched_groups: DataFrame | None, changed: DataFrame, settled: DataFrame | None, stages: Stages, config: FieldConfig = FIELD) -> DataFrame:
     """One row: the objective of the traces that the batch touched, over its frames, with the drift of replay.
 
-    settled: (frame_id, trace_id, a), the frames settled anew by the state as it is now; without it no divergence is charged.
+    settled: (frame_id, trace_id, a), the frames settled anew by the state as it is now (see turn.settled_frames); without it
+    no divergence is charged. Its column group_kl, if it has one, is charged as the frames' mean.
     """
     traces = state["traces"]
     ids = batch.select(F.explode(F.array_distinct(F.filter(F.concat(F.array("trace_id", "next_trace_id"), "active_ids"), lambda t: t.isNotNull()))).alias("trace_id")).distinct().join(traces.select("trace_id"), "trace_id", "left_semi")
@@ -300,9 +301,14 @@ def objective_step(batch: DataFrame, state: dict[str, DataFrame], touched_groups
     plain = objective.patch_objective(local, seen, state["edges"], state["groups"], traces)
     plastic = traces.join(ids, "trace_id", "left_semi").agg(F.coalesce(F.avg(F.greatest("pred_loss_ema", F.lit(0.0))), F.lit(0.0)).alias("plasticity"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    tense = F.lit(0.0)
+    if settled is not None and "group_kl" in settled.columns:
+        each = settled.groupBy("frame_id").agg(F.max("group_kl").alias("k"))
+        drift = drift.join(batch.select("frame_id").join(each, "frame_id", "left").agg(F.coalesce(F.avg(F.coalesce("k", F.lit(0.0))), F.lit(0.0)).alias("_w")), F.lit(True), "left")
+        tense = F.col("_w")
     terms = ("surprise", "storage", "complexity", "slow_alignment", "fidelity", "role")
     base = drift.withColumnRenamed("drift", "_drift").crossJoin(plastic).join(plain.select(*terms, F.col("drift").alias("_d"), F.col("group_kl").alias("_k")), F.lit(True), "left")
-    row = base.select("activation_kl", "transition_gap", "group_heat", "churn", "plasticity", *(zero(c).alias(c) for c in terms), (zero("_d") + F.col("_drift")).alias("drift"), (zero("_k") + F.col("group_heat")).alias("group_kl"))
+    row = base.select("activation_kl", "transition_gap", "group_heat", "churn", "plasticity", *(zero(c).alias(c) for c in terms), (zero("_d") + F.col("_drift")).alias("drift"), (zero("_k") + F.col("group_heat") + tense).alias("group_kl"))
     return stages.keep(objective.combine_objective(row), "objective")
 
 

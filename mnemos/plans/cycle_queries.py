@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemos.config import BudgetConfig
 from mnemos.functions import vectors as V
-from mnemos.operators import cycle, replay, upkeep
+from mnemos.operators import cycle, replay, turn, upkeep
 from mnemos.plans import views
 from mnemos.plans.graph_queries import SUPPORT, cues
 from mnemos.plans.scalar_queries import r6
@@ -80,7 +80,18 @@ def mt11(spark, sf_dir):
     return out.select(*(r6(c).alias(c) for c in out.columns))
 
 
-QUERIES |= {"mt5_replay_groups": mt5_update, "mt6_replay_mutations": mt6, "mt11_replay_objective": mt11, "mt13_maintenance_cycle": mt13, "rd7_respond_batch": rd7}
+def mt11_settled(spark, sf_dir):
+    """The divergence of every frame of the log from itself settled anew, with edges and groups, by the traces as they are."""
+    f = _log(spark, sf_dir)
+    state = {"traces": _traces(spark, sf_dir), "edges": views.edges(spark, sf_dir), "groups": _groups(spark, sf_dir)}
+    settled = Stages(spark, "mt11").keep(turn.settled_frames(f, state), "settled")
+    steps = f.where("next_trace_id is not null").select(F.col("trace_id").alias("src"), F.col("next_trace_id").alias("dst"))
+    t = state["traces"]
+    out = cycle.replay_objective(f.select("frame_id", F.explode("activation").alias("trace_id", "a")), settled, steps, state["edges"], state["groups"], t.where("evidence < 10"), t)
+    return out.select(*(r6(c).alias(c) for c in out.columns))
+
+
+QUERIES |= {"mt11_settled_objective": mt11_settled, "mt5_replay_groups": mt5_update, "mt6_replay_mutations": mt6, "mt11_replay_objective": mt11, "mt13_maintenance_cycle": mt13, "rd7_respond_batch": rd7}
 
 ORACLES["mt11_replay_objective"] = with_views(f""", a AS (SELECT frame_id, trace_id AS own, len(active_ids) AS n, unnest(active_ids) AS t FROM v_frames), b AS (SELECT frame_id, CASE WHEN t = own THEN 0.6::DOUBLE ELSE 0.4::DOUBLE / (n - 1) END AS p, 1.0::DOUBLE / n AS q FROM a),
 kl AS (SELECT frame_id, sum((p - q) * (ln(p) - ln(q))) / 2 AS kl FROM b GROUP BY ALL), sp AS (SELECT src, dst, least({SUPPORT}, 1) AS s FROM v_edges GROUP BY ALL),
