@@ -106,11 +106,19 @@ def resolve(target: Column, page: Column) -> Column:
     )
 
 
+def _computed(df: DataFrame, *columns: Column) -> DataFrame:
+    """select, whose columns are computed there once: a projection above isn't merged with it, so what it names several times
+    isn't written out, and nested, as often."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst): a page and the address that it redirects to or calls canonical, relative ones resolved against the page."""
     found = pages.where(F.col(url).rlike(r"^[^:/?#]+://")).select(F.col(url).alias("_page"), F.explode(_targets(F.col(html))).alias("_target"))
-    named = found.select(url_key(F.col("_page")).alias("src"), url_key(resolve(F.col("_target"), url_key(F.col("_page")))).alias("dst"))
-    return named.where("dst is not null and dst != '' and src != dst").distinct()
+    named = _computed(found, url_key(F.col("_page")).alias("src"), F.col("_target").alias("_target"))
+    aimed = _computed(named, F.col("src").alias("src"), resolve(F.col("_target"), F.col("src")).alias("_to"))
+    keyed = _computed(aimed, F.col("src").alias("src"), url_key(F.col("_to")).alias("dst"))
+    return keyed.where("dst is not null and dst != '' and src != dst").distinct()
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, edges: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html", default: str = "allow") -> DataFrame:
