@@ -9,6 +9,7 @@ from mnemos.config import FIELD, REPLAY, FieldConfig, ReplayConfig
 from mnemos.functions import costs
 from mnemos.functions.vectors import safe_variance, vscale, vsum
 from mnemos.operators.graph import degree, transition_support
+from mnemos.sources.stages import Stages
 
 
 def hot_traces(traces: DataFrame, n: int = FIELD.frontier_size) -> DataFrame:
@@ -158,7 +159,8 @@ def degrade_fidelity(traces: DataFrame, now: float, cap: float, active: DataFram
     cost = costs.storage_cost(config)
     after = costs.storage_cost(config) / (0.35 + 0.65 * costs.clip(F.col("fidelity"), 0.0, 1.0)) * (0.35 + 0.65 * F.greatest(F.lit(config.fidelity_min), F.col("fidelity") - config.fidelity_compress_step))
     ranked = able.withColumns({"_order": costs.fidelity_utility(now) / F.greatest(cost, F.lit(1e-8)), "_freed": cost - after})
-    ranked = ranked.repartitionByRange("_order", "trace_id").withColumn("_part", F.spark_partition_id())
+    # written once: both readers below must see the same ranges
+    ranked = Stages(traces.sparkSession, "fidelity").keep(ranked.repartitionByRange("_order", "trace_id").withColumn("_part", F.spark_partition_id()), "ranked")
     offsets = ranked.groupBy("_part").agg(F.sum("_freed").alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_offset"))
