@@ -173,7 +173,7 @@ def degrade_fidelity(traces: DataFrame, now: float, cap: float, active: DataFram
 def prune(rows: DataFrame, score: str, key: str, removable: str, cap: int, pressure: float, prune_fraction: float = 0.10) -> DataFrame:
     """The rows to drop: the least by score, of the removable ones. None unless pressure is over 1 and rows exceed the cap."""
     n = rows.count()
-    fraction = min(max(pressure - 1.0, 0.0) + prune_fraction, 0.5)
+    fraction = round(min(max(pressure - 1.0, 0.0) + prune_fraction, 0.5), 12)  # 1.2 - 1.0 + 0.1 is just under 0.3
     if pressure <= 1.0 or n <= cap:
         return rows.limit(0)
     able = rows.where(removable)

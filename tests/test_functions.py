@@ -85,6 +85,13 @@ def test_sample_is_whole_and_distinct(spark):
     assert maintenance.sample_replay(df.limit(0), 12).count() == 0
 
 
+def test_prune_takes_whole_shares(spark):
+    """3 of 10 and one more: 1.2 - 1.0 + 0.1 is under 0.3 in doubles."""
+    rows = spark.range(10).select(F.col("id").cast("double").alias("s"), F.col("id").cast("string").alias("k"))
+    gone = maintenance.prune(rows, "s", "k", "true", 0, 1.2)
+    assert sorted(r.k for r in gone.collect()) == ["0", "1", "2", "3"]
+
+
 def test_guard_without_the_extra_subpackage():
     import __spark_entry__ as entry
 
