@@ -20,6 +20,13 @@ def session_anchors(spark, sf_dir, dim: int = 32):
     return p.select("session_id", F.concat(F.lit("anc_"), F.substring_index("packet_id", "_", -1)).alias("anchor_id"), "ts", F.lit(0).cast("bigint").alias("seq"), "chunk_index", encode_text(F.col("payload"), dim).alias("z"))
 
 
+def _as_stream(spark, rows, path: str):
+    """The rows as files of a stream of two micro-batches or more, a session in one file; a task writes a small share."""
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(n, "session_id").write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", n // 2).parquet(path)
+
+
 def in6(spark, sf_dir):
     out = inject_sessions(session_anchors(spark, sf_dir))
     return out.select("session_id", "anchor_id", "seq", "action", "trace_id", F.round("objective", 6).alias("objective"), F.size("active_ids").alias("active"), F.round(F.aggregate("weights", F.lit(0.0), lambda s, x: s + x), 6).alias("mass"))
@@ -28,9 +35,7 @@ def in6(spark, sf_dir):
 def in7(spark, sf_dir):
     """The turns as files of a stream, two micro-batches or more, folded with state."""
     path = scratch(spark)
-    rows = session_anchors(spark, sf_dir)
-    rows.repartition(2, "session_id").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream = _as_stream(spark, session_anchors(spark, sf_dir), f"{path}/in")
     q = inject_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("session_id", "anchor_id", "seq", "action", "trace_id", F.round("objective", 6).alias("objective"))
@@ -39,9 +44,7 @@ def in7(spark, sf_dir):
 def in8(spark, sf_dir):
     """Maintenance of a stream of frames: each batch's edge touches are added to a table, summed up at the end."""
     path = scratch(spark)
-    f = views.frames(spark, sf_dir)
-    f.repartition(2, "session_id").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream = _as_stream(spark, views.frames(spark, sf_dir), f"{path}/in")
     q = maintenance_trigger(stream, lambda df, i: graph.temporal_deltas(df).write.mode("overwrite").parquet(f"{path}/deltas/batch={i}"), checkpoint=f"{path}/state", once=True)
     q.awaitTermination()
     out = graph.upsert_edges(spark.read.parquet(f"{path}/deltas").drop("batch"))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemos.kernels.inject import Session
+from mnemos.sources.stages import spread
 
 FRAME = "session_id string, anchor_id string, seq bigint, ts double, action string, trace_id string, objective double, active_ids array<string>, weights array<double>"
 _COLUMNS = [c.split()[0] for c in FRAME.split(", ")]
@@ -34,7 +35,7 @@ def inject_sessions(anchors: DataFrame) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _run(Session(str(key[0]), len(rows["z"].iloc[0])), rows)
 
-    return anchors.select(*NEEDS).groupBy("session_id").applyInPandas(run, FRAME)
+    return spread(anchors.select(*NEEDS), "session_id").groupBy("session_id").applyInPandas(run, FRAME)
 
 
 def inject_stream(anchors: DataFrame) -> DataFrame:
