@@ -212,3 +212,24 @@ def test_nearest_by_brute_force():
     for c, x in enumerate(cues):
         want = sorted((-cosine(x, v), i) for b in batches for i, v in b if x and v and len(v) == len(x) and v == v and not np.isnan(v).any())[:5]
         assert got.get(c, []) == want
+
+
+def test_small_folds_are_dealt_to_all_tasks(spark):
+    """Adaptive execution would put keys of few bytes into one task."""
+    rows = spark.createDataFrame([[v.tolist() if isinstance(v, np.ndarray) else v for v in trace(trace_id=f"t{i}").values()] for i in range(40)], folds.TRACE)
+    steps = spark.createDataFrame([(f"t{i}", 0.5, [0.0, 1.0], [0.2, 0.1], 0.3, 1.0, i, "a") for i in range(40)], "trace_id string, r double, x array<double>, c array<double>, loss double, ts double, seq int, anchor_id string")
+    tasks = folds.reconsolidate(rows, steps).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_entmax_equals_plain_bisection():
+    r = np.random.default_rng(3)
+    for k in range(200):
+        z = np.round(r.normal(size=r.integers(1, 40)) * [0.3, 2.0, 50.0][k % 3], 1 + 8 * (k % 2))
+        z0 = z - z.max()
+        low, high = z0.min() - 2.0, 0.0
+        for _ in range(50):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (np.maximum(0.5 * (z0 - mid), 0.0) ** 2.0).sum() > 1.0 else (low, mid)
+        p = np.maximum(0.5 * (z0 - low), 0.0) ** 2.0
+        assert (entmax(z) == p / p.sum()).all()
