@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mnemos.config import FIELD, FieldConfig
 from mnemos.functions import costs
 from mnemos.kernels import actions as kernel
+from mnemos.sources.stages import spread
 
 DECISION = "anchor_id string, action string, trace_id string, objective double, base double, delta double, inhibit_first string, inhibit_second string, candidates int, slow_alignment double"
 _VECTORS = ("z_mu", "z_sigma_diag", "ctx_mu", "ctx_sigma_diag")
@@ -141,4 +142,4 @@ def score_actions(nested: DataFrame, config: FieldConfig = FIELD) -> DataFrame:
         kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
         return pa.schema([(k.split()[0], kinds[k.split()[1]]) for k in DECISION.split(", ")])
 
-    return nested.withColumn("anchor_id", F.col("anchor_id").cast("string")).mapInArrow(run, DECISION)
+    return spread(nested.withColumn("anchor_id", F.col("anchor_id").cast("string")), "anchor_id").mapInArrow(run, DECISION)

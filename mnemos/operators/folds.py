@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mnemos.config import FIELD, FieldConfig
 from mnemos.kernels import folds, predictor
 from mnemos.operators import ordered
-from mnemos.sources.stages import Stages
+from mnemos.sources.stages import Stages, spread
 
 TRACE = "trace_id string, z_mu array<double>, z_sigma_diag array<double>, ctx_mu array<double>, ctx_sigma_diag array<double>, evidence double, stability double, uncertainty double, pred_loss_ema double, access_ema double, last_access_ts double, anchor_reservoir array<string>"
 _COLUMNS = [c.split()[0] for c in TRACE.split(", ")]
@@ -41,7 +41,7 @@ def _fold(traces: DataFrame, steps: DataFrame, one) -> DataFrame:
         return _frame(one(_state(left.iloc[0]), [s | {"x": np.asarray(s["x"], dtype=np.float64), "c": np.asarray(s["c"], dtype=np.float64)} for s in ordered]))
 
     def fold(state: DataFrame, part: DataFrame) -> DataFrame:
-        return state.groupBy("trace_id").cogroup(part.groupBy("trace_id")).applyInPandas(run, TRACE)
+        return spread(state, "trace_id").groupBy("trace_id").cogroup(spread(part, "trace_id").groupBy("trace_id")).applyInPandas(run, TRACE)
 
     return ordered.folded(traces.select(*_COLUMNS), steps, ["trace_id"], ["ts", "seq"], fold)
 
@@ -101,7 +101,7 @@ def option_edges(transitions: DataFrame, edges: DataFrame, grow: float = 0.0) ->
 
     def fold(state: DataFrame, part: DataFrame) -> DataFrame:
         chunk = part.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "success"))).alias("s"))
-        return state.join(chunk, ["src", "dst"]).select(*names, "s").mapInPandas(run, OPTION)
+        return spread(state.join(chunk, ["src", "dst"]).select(*names, "s"), "src", "dst").mapInPandas(run, OPTION)
 
     done = ordered.folded(start, transitions, ["src", "dst"], ["ts", "seq"], fold)
     return done.where("has").select("src", "dst", "weight", "success_alpha", "success_beta", "taken")
@@ -239,6 +239,6 @@ def update_groups(groups: DataFrame, traces: DataFrame, observations: DataFrame)
         return pd.DataFrame([[row[c] for c in held_columns]], columns=held_columns)
 
     def fold(state: DataFrame, part: DataFrame) -> DataFrame:
-        return state.groupBy("group_id").cogroup(part.groupBy("group_id")).applyInPandas(run, left.schema)
+        return spread(state, "group_id").groupBy("group_id").cogroup(spread(part, "group_id").groupBy("group_id")).applyInPandas(run, left.schema)
 
     return ordered.folded(left, observations, ["group_id"], ["ts", "seq"], fold).select(*columns)
