@@ -14,6 +14,7 @@ from mnemos.operators import actions, objective, readout
 from mnemos.plans import views
 from mnemos.plans.scalar_queries import _STORAGE, r6
 from mnemos.plans.views import with_views
+from mnemos.sources.stages import Stages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +61,7 @@ def rd4(spark, sf_dir):
     a, pairs, t, _, edges, groups = arena(spark, sf_dir)
     cues = a.select(F.col("anchor_id").alias("cue_id"), "session_id", F.col("x").alias("z"), F.col("c").alias("context"))
     rows = pairs.withColumnRenamed("anchor_id", "cue_id").join(cues, "cue_id").join(t.withColumnRenamed("session_id", "trace_session"), "trace_id").withColumns({"cue": F.col("z"), "frontier": F.col("z"), "predicted": F.col("z")})
-    scored = rows.select("cue_id", "trace_id", "rank", readout.cue_bias().alias("bias"))
+    scored = Stages(spark, "read").keep(rows.select("cue_id", "trace_id", "rank", readout.cue_bias().alias("bias")), "scored")
     links = edges.withColumn("weight", F.lit(0.4))
     settled = readout.settle_workspaces(readout.nest_cues(scored, links, readout.cue_groups(cues, scored, groups, t)))
     plain = readout.settle_workspaces(readout.nest_cues(scored, links)).select("cue_id", F.col("active_ids").alias("_ids"))
