@@ -1,7 +1,7 @@
 """Similarity self-join of texts by the Jaccard coefficient of their word n-grams, with prefix trees.
 
-Each distinct text becomes the set of its shingles' hashes. Shingles have one global order: by a bucketed count over all
-texts (rare first), then by hash. Two sets of the similarity share a shingle among their rarest (the prefix), so texts that
+Each distinct text becomes the set of its shingles' hashes. Shingles have one global order: by the number of texts that have
+them (rare first, in bounded tables), then by hash. Two sets of the similarity share a shingle among their rarest (the prefix), so texts that
 share one form a group; texts that share none with any other text leave here. Inside a group the sets stand in a trie whose
 order is common shingles first: a query walks down once for all sets below a node, carrying the overlap so far, and leaves
 a subtree when even all that is left of it and of the query would not reach the similarity.
@@ -18,7 +18,8 @@ component that has others; texts of any length are taken whole; extra columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,12 @@ from mnemos.llm.simhash import shingle_set
 
 #: Words of a shingle; similarity OVER / UNDER at least, so that whole numbers decide.
 WORDS, OVER, UNDER = 5, 4, 5
-#: The global order's counts are kept for 2^COUNT_BITS buckets of hashes at most (a byte each): they order, they decide nothing.
-COUNT_BITS = 24
+#: Bits of a shingle's hash in a set, and buckets of levels (a byte each) at most: levels order, they decide nothing.
+TOKEN_BITS, LEVEL_BITS = 48, 24
 #: Sets of a block, and hubs of a group.
 BLOCK, HUBS = 256, 4
 #: Shingles that are sorted at a time in a task.
-SLICE = 1 << 18
+SLICE = 1 << 21
 #: A sieve takes 2^SIEVE_BITS / 8 bytes (16 MB) at most.
 SIEVE_BITS = 27
 
@@ -237,7 +238,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", te
             for b in by_bytes(whole, 1, 2 << 20):
                 b = b.filter(pa.array(passes(firsts.value, b.column(2).to_numpy())))
                 sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
-                tokens = pa.array([pack(np.unique(s & np.uint64((1 << 48) - 1))) for s in sets], pa.binary())
+                tokens = pa.array([pack(np.unique(s & np.uint64((1 << TOKEN_BITS) - 1))) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), tokens], names=["key", "n", "tokens"])
 
     sets = keyed.select("key", "text", name.alias("name")).mapInArrow(run, "key binary, n int, tokens binary")
@@ -258,69 +259,106 @@ def ungap(gap: np.ndarray) -> np.ndarray:
     return (np.cumsum(np.where(gap < 255, gap.astype(np.int64) + 1, 255)) - 1)[gap < 255]
 
 
-def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets have a shingle of each bucket of hashes, 255 at most: added by task and then by slice of buckets.
+@dataclass(frozen=True)
+class Order:
+    """What is known of the shingles that several sets have: a bit for each bucket of the leading bits that holds one, and
+    the highest level there (eight steps for each doubling of the number of sets), in buckets of their own."""
 
-    There are 2 to 4 buckets a shingle up to 2^COUNT_BITS; from there on rare and common shingles are told apart less well.
-    """
-    bits = max(16, min(COUNT_BITS, 1 + int(sets.agg(F.sum("n")).first()[0] or 0).bit_length()))
-    part = 1 << 16
+    bits: np.ndarray
+    level: np.ndarray
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(1 << bits, dtype=np.uint8), [], 0
+    def levels(self, tokens: np.ndarray) -> np.ndarray:
+        """Level of each shingle, 0: it is in one set of all."""
+        at = tokens >> (TOKEN_BITS - (len(self.bits) * 8).bit_length() + 1)
+        there = self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
+        return np.where(there, self.level[tokens >> (TOKEN_BITS - len(self.level).bit_length() + 1)], 0)
 
-        def put() -> None:
-            at, n = np.unique(np.concatenate(held) & ((1 << bits) - 1), return_counts=True)
-            total[at] = np.minimum(total[at] + n, 255)
 
-        for b in batches:
-            for tokens in token_slices(b.column(0)):
-                held.append(tokens)
-                size += len(tokens)
-                if size >= SLICE:
-                    put()
-                    held, size = [], 0
-        if held:
-            put()
-        for k, own in enumerate(total.reshape(-1, part)):
-            if len(at := np.flatnonzero(own)):
-                gap = gaps(at)
-                n = np.zeros(len(gap), dtype=np.uint8)
-                n[gap < 255] = own[at]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([gap.tobytes()]), pa.array([n.tobytes()])], names=["part", "at", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(part, dtype=np.int64)
-        for gap, n in zip(table["at"].to_pylist(), table["n"].to_pylist()):
-            at, n = ungap(np.frombuffer(gap, np.uint8)), np.frombuffer(n, np.uint8)
-            total[at] += n[np.frombuffer(gap, np.uint8) < 255]
-        return pa.table({"part": table["part"][:1], "n": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])})
-
-    found = sets.select("tokens").mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, n binary")
-    out = np.zeros(1 << bits, dtype=np.uint8)
-    for r in found.collect():  # 2^bits bytes in all
-        out[r["part"] * part :][:part] = np.frombuffer(r["n"], np.uint8)
+def dealt(sets: Iterable[np.ndarray], width: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, low) for each slice of shingles and part by their leading bits: the next bits up to `width`, ascending, as
+    distances of four bytes, all first bytes first."""
+
+    def put(held: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.sort(np.concatenate(held) >> (TOKEN_BITS - width))
+        cuts = np.searchsorted(tokens, np.arange(parts + 1) << (width - parts.bit_length() + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        low = [np.diff(tokens[cuts[k] : cuts[k + 1]], prepend=int(k) << (width - parts.bit_length() + 1)).astype("<u4") for k in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([x.view(np.uint8).reshape(-1, 4).T.tobytes() for x in low], pa.binary())], names=["part", "low"])
+
+    held, size = [], 0
+    for tokens in sets:
+        held.append(tokens)
+        size += len(tokens)
+        if size >= SLICE:
+            yield put(held)
+            held, size = [], 0
+    if size:
+        yield put(held)
+
+
+def undealt(low: bytes) -> np.ndarray:
+    """A part's bits of dealt shingles."""
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(low, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1), dtype=np.int64)
+
+
+def shared_shingles(sets: DataFrame, total: int, order: Order | None = None) -> Order:
+    """The order of `total` shingles at most: of all of each set, or, with an order, of its prefix.
+
+    Each shingle moves once, as 3 bytes or so, to the part of its leading bits, where equal ones are counted; parts grow in
+    number with the input. Shingles are told apart by 8 bits more than their number takes, so some of a single set count
+    as shared: that and the bounded tables decide what moves later, never what comes out.
+    """
+    size = max(total, 1).bit_length()
+    width, parts = min(TOKEN_BITS, max(32, size + 8)), 1 << max(6, size - 20)
+    bits, levels = 1 << max(20, min(SIEVE_BITS, size + 3)), parts if order else 1 << max(20, min(LEVEL_BITS, size))
+    known = None if order is None else sets.sparkSession.sparkContext.broadcast(order)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (tokens for b in batches for tokens in token_slices(b.column(0)))
+        yield from dealt(each if known is None else (rarest(tokens, known.value)[0] for tokens in each), width, parts)
+
+    def count(table: pa.Table) -> pa.Table:
+        part, low = table["part"][0].as_py(), width - parts.bit_length() + 1
+        token, n = np.unique(np.concatenate([undealt(x) for x in table["low"].to_pylist()]), return_counts=True)
+        token, n = token[n > 1], n[n > 1]
+        own, level = np.zeros(bits // parts, dtype=bool), np.zeros(levels // parts, dtype=np.uint8)
+        at = lambda slots: token * slots >> low
+        own[at(len(own))] = True
+        np.maximum.at(level, at(len(level)), np.minimum(8 * np.log2(n), 255).astype(np.uint8))
+        return pa.table({"part": pa.array([part], pa.int32()), "bits": [np.packbits(own, bitorder="little").tobytes()], "level": [level.tobytes()]})
+
+    out = Order(np.zeros(bits // 8, dtype=np.uint8), np.zeros(levels, dtype=np.uint8))
+    counted = sets.select("tokens").mapInArrow(deal, "part int, low binary").groupBy("part").applyInArrow(count, "part int, bits binary, level binary")
+    for r in counted.collect():  # bits / 8 + levels bytes in all
+        for table, name in ((out.bits, "bits"), (out.level, "level")):
+            piece = len(table) // parts
+            table[r["part"] * piece :][:piece] = np.frombuffer(r[name], np.uint8)
     return out
 
 
-def prefix_records(sets: DataFrame, counts: np.ndarray, met: np.ndarray | None = None) -> DataFrame:
-    """(token, node, n, cap) for each prefix shingle of each set; cap: how large a partner may be that it meets there first,
-    with all that follows in common. met: a sieve of the shingles to give."""
-    order = sets.sparkSession.sparkContext.broadcast(counts)
-    sieved = sets.sparkSession.sparkContext.broadcast(met)
+def rarest(tokens: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a set's prefix that other sets have too, rare first, and their places in the set's order."""
+    levels = order.levels(tokens)
+    first = np.argsort(levels, kind="stable")[: prefix(len(tokens))]
+    there = np.flatnonzero(levels[first] > 0)
+    return tokens[first[there]], there
+
+
+def prefix_records(sets: DataFrame, order: Order, met: Order) -> DataFrame:
+    """(token, node, n, cap) for each prefix shingle of each set that several prefixes have (met); cap: how large a partner
+    may be that it meets there first, with all that follows in common."""
+    known = sets.sparkSession.sparkContext.broadcast((order, met.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, mask = order.value, len(order.value) - 1
+        order, bits = known.value
+        found = Order(bits, np.ones(2, dtype=np.uint8))
         for b in batches:
             held, of, caps = [], [], []
             for i, tokens in enumerate(token_slices(b.column(1))):
-                n = len(tokens)
-                rare = tokens[np.argsort(count[tokens & mask], kind="stable")[: prefix(n)]]
-                there = count[rare & mask] > 1  # else in one set of all: nobody to meet
-                if sieved.value is not None:
-                    there &= passes(sieved.value, rare)
+                rare, place = rarest(tokens, order)
+                there = found.levels(rare) > 0
                 held.append(rare[there])
-                caps.append(((UNDER * n - (OVER + UNDER) * np.arange(len(rare))) // OVER)[there])
+                caps.append((UNDER * len(tokens) - (OVER + UNDER) * place[there]) // OVER)
                 of.append(np.full(len(held[-1]), i))
             if held:
                 row = pa.array(np.concatenate(of))
@@ -333,14 +371,15 @@ def _groups(records: DataFrame) -> DataFrame:
     """(token, node, size) of groups in which each text has one that it can meet there by sizes and places.
 
     A group is a shingle and a band of sizes: partners' sizes are within 5/4, and so in one band of 1.26 or in neighbours;
-    each text stands in its own band and the next. Equal tokens stand for equal groups.
+    each text stands in its own band and the next. Equal tokens stand for equal groups. Joins are merges at every size, so
+    that what moves doesn't jump where a broadcast no longer fits.
     """
     band = F.floor(F.log("n") / float(np.log(1.26)))
     banded = records.select(F.explode(F.array(F.xxhash64("token", band), F.xxhash64("token", band + 1))).alias("token"), "node", "n", "cap")
     for _ in range(2):
         known = banded.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("lo"), F.max("cap").alias("hi")).where("size > 1")
-        banded = materialise(banded.join(known, "token").where("lo <= cap and n <= hi").select("token", "node", "n", "cap"), "ngram-bands")
-    return banded.join(banded.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "token").select("token", "node", "size")
+        banded = materialise(banded.join(known.hint("merge"), "token").where("lo <= cap and n <= hi").select("token", "node", "n", "cap"), "ngram-bands")
+    return banded.join(banded.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").hint("merge"), "token").select("token", "node", "size")
 
 
 def _links(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -423,10 +462,10 @@ def similar_components(sets: DataFrame, meetings: DataFrame | None = None) -> Da
     comparisons; what comes out is the same.
     """
     with small_batches(sets.sparkSession):
-        counts = bucket_counts(sets)
-        groups = prefix_records(sets, counts).groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        groups = materialise(groups.select("token"), "ngram-tokens")
-        shared = materialise(_groups(prefix_records(sets, counts, sieve(groups)).join(groups, "token")), "ngram-shared")
+        total = int(sets.agg(F.sum("n")).first()[0] or 0)
+        order = shared_shingles(sets, total)
+        met = shared_shingles(sets, total, order)
+        shared = materialise(_groups(materialise(prefix_records(sets, order, met), "ngram-records")), "ngram-shared")
         links = _links(_first_meetings(shared if meetings is None else meetings), sets)
         components = materialise(connected_components(links), "ngram-components")
         return connected_components(links.union(_links(_open_meetings(shared, components), sets)))

@@ -103,3 +103,29 @@ def test_packed_numbers_and_gaps():
         assert (ngram_join.unpack(np.frombuffer(ngram_join.pack(t), np.uint8)) == t).all()
         at = np.unique(np.concatenate([r.integers(0, 1 << 16, n // 50), [0, 254, 255, 256, 65535][: n]])).astype(np.int64)
         assert (ngram_join.ungap(ngram_join.gaps(at)) == at).all()
+
+
+@pytest.mark.parametrize("bits", [20, 27])
+def test_shared_shingles_are_those_of_several_sets(spark, monkeypatch, bits):
+    """A shingle of one set isn't shared, however many sets there are; a table of counts by bucket told them as common."""
+    monkeypatch.setattr(ngram_join, "SIEVE_BITS", bits)
+    monkeypatch.setattr(ngram_join, "SLICE", 3000)
+    r = np.random.default_rng(bits)
+    common, few = r.integers(0, 1 << 48, 40), r.integers(0, 1 << 48, 200)
+    sets = [np.unique(np.concatenate([common, few[i % 100 * 2 :][:2], r.integers(0, 1 << 48, 300)])) for i in range(300)]
+    df = spark.createDataFrame([(i, len(s), bytearray(ngram_join.pack(s))) for i, s in enumerate(sets)], "node bigint, n int, tokens binary").repartition(3)
+    order = ngram_join.shared_shingles(df, sum(map(len, sets)))
+    level = order.levels(common)
+    assert (level == int(8 * np.log2(300))).all() and (order.levels(few) > 0).all() and (order.levels(few) < level[0]).all()
+    single = np.concatenate([np.setdiff1d(s, np.concatenate([common, few])) for s in sets])
+    assert (order.levels(single) > 0).mean() < 0.01
+    # the second meeting is of prefixes: what is common everywhere stands last and meets nobody
+    records = ngram_join.prefix_records(df, order, ngram_join.shared_shingles(df, sum(map(len, sets)), order))
+    assert records.count() < 0.01 * len(single)
+
+
+def test_dealt_shingles_come_back():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 48, n)) for n in (0, 1, 700, 40)] + [np.array([0, (1 << 48) - 1])]
+    back = [(p.as_py() << 26) + ngram_join.undealt(x.as_py()) for b in ngram_join.dealt(iter(sets), 32, 64) for p, x in zip(b.column(0), b.column(1))]
+    assert (np.concatenate(back) == np.sort(np.concatenate(sets) >> 16)).all()
