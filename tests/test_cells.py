@@ -87,3 +87,17 @@ def test_candidates_of_all_sources(spark, size):
         kept = sorted((x for x in picked if x in own), key=lambda x: (first(own[x][1]), x), reverse=True)[:size]
         want += [(q, x, own[x][1], n + 1) for n, x in enumerate(kept)]
     assert rows(got, "cue_id", "trace_id", "score", "rank") == sorted(want, key=str)
+
+
+def test_session_scope_deals_a_hot_session_to_many_tasks(spark):
+    """Pairs of one session and of cues without one, against a loop; a join on the session alone left them to a task or two."""
+    cues = [(f"c{i}", "a" if i % 5 else "") for i in range(900)] + [("n", None), ("x", "none")]
+    traces = [(f"t{i}", "a" if i % 3 else "") for i in range(2500)] + [("tn", None)]
+    c, t = spark.createDataFrame(cues, "cue_id string, session_id string"), spark.createDataFrame(traces, "trace_id string, session_id string")
+    got = retrieve.session_scope(c, t)
+    assert {"session_id", "trace_session"} <= set(got.columns) and not any(x.startswith("_") for x in got.columns)
+    tasks = got.select("cue_id", "trace_id", F.spark_partition_id().alias("p"))
+    sizes = [r["count"] for r in tasks.groupBy("p").count().collect()]
+    want = {(a, b) for a, s in cues for b, u in traces if s == "" or s is not None and s == u}
+    assert sum(sizes) == len(want) and max(sizes) < 0.5 * len(want)
+    assert {(r[0], r[1]) for r in tasks.collect()} == want
