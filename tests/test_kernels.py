@@ -233,3 +233,25 @@ def test_entmax_equals_plain_bisection():
             low, high = (mid, high) if (np.maximum(0.5 * (z0 - mid), 0.0) ** 2.0).sum() > 1.0 else (low, mid)
         p = np.maximum(0.5 * (z0 - low), 0.0) ** 2.0
         assert (entmax(z) == p / p.sum()).all()
+
+
+def test_nearest_holds_a_bounded_matrix():
+    """However long a batch is, similarities are made a block of vectors at a time, with the same rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from mnemos.kernels.nearest import Nearest
+
+    r = np.random.default_rng(4)
+    cues, ids, vectors = r.normal(size=(256, 4)), np.arange(60_000), r.normal(size=(60_000, 4))
+    column = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), 4).cast(pa.list_(pa.float64()))
+    best = Nearest({4: (np.arange(256), cues)}, 3)
+    tracemalloc.start()
+    best.add(pa.array(ids), column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # a matrix of all would have 123 MB
+    (at, found, score), = best.rows()
+    full = cues @ vectors.T / np.outer(np.linalg.norm(cues, axis=1), np.linalg.norm(vectors, axis=1))
+    assert (found.to_numpy().reshape(256, 3) == np.argsort(-full, axis=1)[:, :3]).all()
