@@ -68,6 +68,14 @@ def assoc_deltas(frames: DataFrame, rate: float = 0.10) -> DataFrame:
     return two.select("src", "dst", F.lit("assoc").alias("kind"), (rate * F.sqrt(F.greatest(F.col("activation")[F.col("src")] * F.col("activation")[F.col("dst")], F.lit(0.0)))).alias("delta"), "ts", "seq")
 
 
+def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with an end among ids (trace_id)."""
+    end = lambda c: ids.select(F.col("trace_id").alias(c)).distinct()
+    from_ = edges.join(end("src"), "src", "left_semi").select(*edges.columns)
+    to = edges.join(end("src"), "src", "left_anti").join(end("dst"), "dst", "left_semi").select(*edges.columns)
+    return from_.unionByName(to)
+
+
 def drop_dangling_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
     gone = removed.select("trace_id").distinct()
     return edges.join(gone.withColumnRenamed("trace_id", "src"), "src", "left_anti").join(gone.withColumnRenamed("trace_id", "dst"), "dst", "left_anti")

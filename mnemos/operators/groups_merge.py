@@ -41,7 +41,11 @@ def merge_pairs(pairs: DataFrame, groups: DataFrame, stages: Stages, judged: boo
     """
     names = [c for c in ("guard", "ambiguity", "bf", "overlap") if c in pairs.columns]
     waiting = stages.keep(pairs.where("first != second").select(F.col("seq").cast("bigint").alias("seq"), "first", "second", *names), "pairs")
-    members = stages.keep(explode_members(groups), "members")
+    # a group that holds no trace of a pair is met by none: it stays outside of the rounds
+    asked = waiting.select(F.explode(F.array("first", "second", *(["guard"] if "guard" in names else []))).alias("trace_id")).distinct()
+    every = explode_members(groups)
+    near = stages.keep(every.join(asked, "trace_id", "left_semi").select("group_id").distinct(), "near")
+    members, others = stages.keep(every.join(near, "group_id", "left_semi"), "members"), every.join(near, "group_id", "left_anti")
     outcomes = stages.keep(members.select(F.col("since").alias("seq"), "group_id").where("false"), "outcomes")
     while not waiting.isEmpty():
         traces = F.array(F.col("first"), F.col("second"), *([F.col("guard")] if "guard" in names else []))
@@ -72,7 +76,7 @@ def merge_pairs(pairs: DataFrame, groups: DataFrame, stages: Stages, judged: boo
         members = stages.keep(members.unionByName(added), "members")
         outcomes = stages.keep(outcomes.unionByName(out.select("seq", "group_id")), "outcomes")
         waiting = stages.keep(waiting.join(ready.select("seq"), "seq", "left_anti"), "waiting")
-    return members, outcomes
+    return members.unionByName(others), outcomes
 
 
 def rebuild_groups(groups: DataFrame, members: DataFrame, traces: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemos.config import FIELD, REPLAY, FieldConfig, ReplayConfig
 from mnemos.functions import costs
 from mnemos.functions.vectors import safe_variance, vscale, vsum
+from mnemos.operators import ordered
 from mnemos.operators.graph import degree, transition_support
 from mnemos.sources.stages import Stages
 
@@ -52,7 +55,7 @@ def replay_priority(frames: DataFrame, traces: DataFrame, edges: DataFrame, now:
     return rows.withColumn("priority", F.coalesce(score, F.lit(0.0))).drop("pred_loss_ema", "uncertainty", "evidence", "last_access_ts", "degree")
 
 
-def sample_replay(frames: DataFrame, batch: int = 10, seed: int = 7, trace_mix: float = 0.6, conflict_mix: float = 0.2) -> DataFrame:
+def sample_replay(frames: DataFrame, batch: int = 10, seed: int = 7, trace_mix: float = 0.6, conflict_mix: float = 0.2, stages: Stages | None = None) -> DataFrame:
     """A weighted sample without replacement from frames with priority: shares from all, conflicting and linked frames.
 
     The frames of least -log(u) / priority are such a sample, with u drawn from a hash of (seed, frame), so each pool is
@@ -61,7 +64,9 @@ def sample_replay(frames: DataFrame, batch: int = 10, seed: int = 7, trace_mix:
     whole = frames.where("next_trace_id is not null")
     hexed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "frame_id")), 1, 12), 16, 10).cast("double")
     key = -F.log((hexed + 1.0) / (2.0**48 + 1.0)) / F.greatest("priority", F.lit(1e-300))
-    keyed = whole.withColumn("_key", key)
+    # written once: each share reads it
+    stages = stages or Stages(frames.sparkSession, "sample")
+    keyed = stages.keep(whole.select("frame_id", "group_entropy", key.alias("_key")), "keyed")
     n_trace, n_conflict = max(int(round(batch * trace_mix)), 1), max(int(round(batch * conflict_mix)), 0)
     top = lambda df, n: df.orderBy("_key", "frame_id").limit(n)
     first = top(keyed, n_trace).union(top(keyed.where("group_entropy > 0.05"), n_conflict)).union(top(keyed, max(batch - n_trace - n_conflict, 0))).dropDuplicates(["frame_id"])
@@ -177,7 +182,7 @@ def prune(rows: DataFrame, score: str, key: str, removable: str, cap: int, press
     if pressure <= 1.0 or n <= cap:
         return rows.limit(0)
     able = rows.where(removable)
-    return able.orderBy(score, key).limit(max(min(int(able.count() * fraction) + 1, n - cap), 0))
+    return ordered.first(able, [score, key], max(min(int(able.count() * fraction) + 1, math.floor(n - cap)), 0))
 
 
 def rehydrate(traces: DataFrame, anchors: DataFrame, config: FieldConfig = FIELD) -> DataFrame:

@@ -44,6 +44,13 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str = "k",
     return _windowed(rows.join(hot, keys, "left_anti"), keys, order, name).unionByName(numbered(rows.join(hot, keys, "left_semi"), keys, order, name).select(*rows.columns, name))
 
 
+def first(rows: DataFrame, order: list[str], n: int, chunk: int | None = None) -> DataFrame:
+    """The first n rows by `order` (ascending, without ties). Up to a chunk they are one task's top; more are numbered by ranges."""
+    if n <= (chunk or CHUNK):
+        return rows.orderBy(*order).limit(n)
+    return numbered(rows, [], order, "_n").where(F.col("_n") < n).select(*rows.columns)
+
+
 def _windowed(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     return rows.select(*rows.columns, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint").alias(name))
 

@@ -150,7 +150,7 @@ def inject_batch(state: dict[str, DataFrame], anchors: DataFrame, stages: Stages
     tail = last.select("session_id", "frame_id", "trace_id", "anchor_id", "ts", "seq").join(made.select("session_id").distinct(), "session_id", "left_semi")
     chain = graph.link_frames(tail.unionByName(made.select(*tail.columns)))
     steps = graph.temporal_deltas(chain).unionByName(graph.assoc_deltas(made.where("size(active_ids) > 1")))
-    s["edges"] = stages.keep(upkeep.touch(s["edges"], stages.keep(steps, "touches")), "edges")
+    s["edges"] = stages.keep(upkeep.touch(s["edges"], stages.keep(steps, "touches"), stages), "edges")
     s["frames"] = stages.keep(relinked(s["frames"], made, chain), "log")
     s["anchors"] = stages.keep(s["anchors"].unionByName(a.select("anchor_id", F.col("x").alias("z")).join(s["anchors"], "anchor_id", "left_anti")), "all-anchors")
     return s, made

@@ -36,68 +36,87 @@ class Cycle:
     objective: DataFrame | None = None
 
 
-def sample(frames: DataFrame, traces: DataFrame, edges: DataFrame, members: DataFrame, now: float, batch: int, seed: int) -> DataFrame:
+def sample(frames: DataFrame, traces: DataFrame, edges: DataFrame, members: DataFrame, now: float, batch: int, seed: int, stages: Stages | None = None) -> DataFrame:
     """The replay batch, in the order of the log: complete frames of live traces. A frame conflicts by its entropy, or where
     its trace is in a group."""
     live = frames.where("next_trace_id is not null").join(traces.select("trace_id"), "trace_id", "left_semi")
     ranked = maintenance.replay_priority(live, traces, edges, now)
     grouped = ranked.join(members.select("trace_id", F.lit(1).alias("_g")).distinct(), "trace_id", "left")
     ranked = grouped.withColumn("group_entropy", F.when(F.col("_g").isNotNull(), F.greatest("group_entropy", F.lit(1.0))).otherwise(F.col("group_entropy"))).drop("_g")
-    return frames.join(maintenance.sample_replay(ranked, batch, seed), "frame_id", "left_semi")
+    stages = stages or Stages(frames.sparkSession, "sample")
+    return frames.join(stages.keep(maintenance.sample_replay(ranked, batch, seed, stages=stages), "sampled"), "frame_id", "left_semi")
 
 
-def reconsolidated(batch: DataFrame, traces: DataFrame, config: FieldConfig = FIELD) -> DataFrame:
+def reconsolidated(batch: DataFrame, traces: DataFrame, config: FieldConfig = FIELD, stages: Stages | None = None) -> DataFrame:
     """Traces after the batch: each frame's activations of live traces, its own trace added with 1 if it has none there,
     normalised; the anchor goes to the trace of most (the frame's own among equals)."""
+    stages = stages or Stages(traces.sparkSession, "reconsolidated")
+    near = replay.batch_traces(batch, traces, stages)
     each = batch.select("frame_id", "trace_id", F.explode("activation").alias("t", "r")).where("r > 0").select("frame_id", F.col("t").alias("trace_id"), "r")
     own = batch.select("frame_id", "trace_id").join(each.select("frame_id", "trace_id"), ["frame_id", "trace_id"], "left_anti").withColumn("r", F.lit(1.0))
-    parts = each.unionByName(own).join(traces.select("trace_id"), "trace_id", "left_semi")
+    parts = each.unionByName(own).join(near.select("trace_id"), "trace_id", "left_semi")
     total = parts.groupBy("frame_id").agg(F.sum("r").alias("_t")).where("_t > 1e-8")
     rows = parts.join(total, "frame_id").withColumn("r", F.col("r") / F.col("_t")).drop("_t")
     info = batch.select("frame_id", F.col("trace_id").alias("_own"), "x", "c", "loss", "ts", "seq", "anchor_id")
     rows = rows.join(info, "frame_id")
     top = rows.groupBy("frame_id").agg(F.max_by("trace_id", F.struct("r", F.col("trace_id") == F.col("_own"), F.col("trace_id"))).alias("_top"))
     steps = rows.join(top, "frame_id").withColumn("anchor_id", F.when(F.col("trace_id") == F.col("_top"), F.col("anchor_id"))).select("trace_id", "r", "x", "c", "loss", "ts", "seq", "anchor_id")
-    touched = traces.join(steps.select("trace_id").distinct(), "trace_id", "left_semi")
-    folded = folds.reconsolidate(touched, steps, config)
-    return replaced(traces, folded)
+    steps = stages.keep(steps, "steps")
+    touched = near.join(steps.select("trace_id").distinct(), "trace_id", "left_semi")
+    return replaced(traces, stages.keep(folds.reconsolidate(touched, steps, config), "folded"))
 
 
 def replaced(traces: DataFrame, rows: DataFrame) -> DataFrame:
-    """traces with the columns that rows (by trace_id) bring."""
+    """traces with the columns that rows (by trace_id) bring. Rows that are written and few meet all traces without a shuffle."""
     new = [c for c in rows.columns if c != "trace_id"]
     both = traces.join(rows.select("trace_id", F.struct(*new).alias("_new")), "trace_id", "left")
     return both.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in traces.columns))
 
 
-def merged_edges(edges: DataFrame, rows: DataFrame) -> DataFrame:
-    """edges with rows (src, dst, kind and some columns) put over them; a new edge starts from what a new edge has."""
+def merged_edges(edges: DataFrame, rows: DataFrame, stages: Stages) -> DataFrame:
+    """edges with rows (src, dst, kind and some columns) put over them; a new edge starts from what a new edge has. A null of
+    rows leaves what the edge has."""
+    keys = ["src", "dst", "kind"]
     new = [c for c in rows.columns if c not in ("src", "dst", "kind")]
     start = {"bf_sep_ema": 0.0, "success_alpha": 1.0, "success_beta": 1.0, "weight": 0.0, "support_ema": 0.0, "last_update_ts": 0.0}
-    both = edges.withColumn("_old", F.lit(True)).join(rows.select("src", "dst", "kind", F.struct(*new).alias("_new")), ["src", "dst", "kind"], "full_outer")
+    # rows are few where a batch is: written, they meet all edges without a shuffle of these
+    rows = stages.keep(rows.select(*keys, F.struct(*new).alias("_new")), "edge-rows")
+    known = edges.join(rows.select(*keys), keys, "left_semi").select(*keys)
+    fresh = rows.join(known, keys, "left_anti").select(*keys, "_new")
+    both = edges.join(rows, keys, "left").unionByName(fresh, allowMissingColumns=True)
     value = lambda c: F.coalesce(*([F.col(f"_new.{c}")] if c in new else []), F.col(c), F.lit(start[c]))
-    return both.select(*(F.col(c) if c in ("src", "dst", "kind") else value(c).alias(c) for c in edges.columns))
+    return both.select(*(F.col(c) if c in keys else value(c).alias(c) for c in edges.columns))
 
 
-def touch(edges: DataFrame, deltas: DataFrame) -> DataFrame:
-    """edges after touches (src, dst, kind, delta, ts, seq) of any kind but option."""
+def touched_edges(edges: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The rows of edges that touches (src, dst, kind, delta, ts, seq) change or make, of any kind but option."""
     near = edges.join(deltas.select("src", "dst", "kind").distinct(), ["src", "dst", "kind"], "left_semi")
-    return merged_edges(edges, graph.upsert_edges(deltas, near))
+    return graph.upsert_edges(deltas, near)
+
+
+def touch(edges: DataFrame, deltas: DataFrame, stages: Stages) -> DataFrame:
+    """edges after touches."""
+    return merged_edges(edges, touched_edges(edges, deltas), stages)
 
 
 def replay_edges(batch: DataFrame, traces: DataFrame, edges: DataFrame, stages: Stages) -> DataFrame:
     """Edges after the batch's steps between live traces: temporal +0.15, option where a success pays, and +0.05 from a
     frame's trace to each other live active one. An option is judged against its temporal edge as that step leaves it."""
-    live = traces.select("trace_id")
+    live = replay.batch_traces(batch, traces, stages).select("trace_id")
     steps = batch.where("next_trace_id is not null").join(live, "trace_id", "left_semi").join(live.select(F.col("trace_id").alias("next_trace_id")), "next_trace_id", "left_semi")
+    steps = stages.keep(steps, "steps")
     at = F.coalesce("next_ts", "ts")
     ends = (F.col("trace_id").alias("src"), F.col("next_trace_id").alias("dst"))
     temporal = steps.select(*ends, F.lit("temporal").alias("kind"), F.lit(EDGE_RATE).alias("delta"), at.alias("ts"), "seq")
     active = steps.select(F.col("trace_id").alias("src"), F.explode("active_ids").alias("trace_id"), "ts", "seq").where("src != trace_id").join(live, "trace_id", "left_semi")
     assoc = active.select("src", F.col("trace_id").alias("dst"), F.lit("assoc").alias("kind"), F.lit(ASSOC_DELTA).alias("delta"), "ts", "seq")
-    options = take_options(steps.select(*ends, (1.0 - F.least("loss", F.lit(1.0))).alias("success"), at.alias("ts"), "seq"), edges)
-    options = stages.keep(options, "options")
-    return stages.keep(merged_edges(touch(edges, temporal.unionByName(assoc)), options), "edges")
+    deltas = stages.keep(temporal.unionByName(assoc), "touches")
+    near = edges.join(deltas.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select(*edges.columns)
+    near = stages.keep(near, "near-edges")
+    options = take_options(steps.select(*ends, (1.0 - F.least("loss", F.lit(1.0))).alias("success"), at.alias("ts"), "seq"), near)
+    # touches are of other kinds than options, so both are put over the edges at once
+    rows = touched_edges(near, deltas).unionByName(stages.keep(options, "options"), allowMissingColumns=True)
+    return stages.keep(merged_edges(edges, rows, stages), "edges")
 
 
 def take_options(transitions: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,26 +133,34 @@ def take_options(transitions: DataFrame, edges: DataFrame) -> DataFrame:
 def set_apart(pairs: DataFrame, traces: DataFrame, edges: DataFrame, groups_: DataFrame, stages: Stages, config: FieldConfig = FIELD) -> tuple[DataFrame, DataFrame]:
     """edges and groups after pairs (seq, first, second, x, c, ts): inhibiting edges both ways by 0.25 of the Bayes factor
     where that lowers the objective, its running mean, and a group where that mean and the overlap are high."""
-    judged = stages.keep(replay.separated(pairs, traces).where(-0.30 * F.greatest("bf", F.lit(0.0)) + 0.008 < 0), "apart")
+    ends = pairs.select(F.explode(F.array("first", "second")).alias("trace_id")).distinct()
+    near_traces = stages.keep(traces.join(ends, "trace_id", "left_semi").select(*traces.columns), "near")
+    judged = stages.keep(replay.separated(pairs, near_traces).where(-0.30 * F.greatest("bf", F.lit(0.0)) + 0.008 < 0), "apart")
     both = judged.select("seq", "ts", "bf", F.explode(F.array(F.struct(F.col("first").alias("src"), F.col("second").alias("dst")), F.struct(F.col("second").alias("src"), F.col("first").alias("dst")))).alias("e")).select("seq", "ts", "bf", "e.src", "e.dst", F.lit("inhib").alias("kind"))
-    out = touch(edges, both.withColumn("delta", 0.25 * F.greatest("bf", F.lit(0.0))))
+    near = stages.keep(edges.join(both.select("src", "dst", "kind").distinct(), ["src", "dst", "kind"], "left_semi").select(*edges.columns), "near-edges")
+    moved = touched_edges(near, both.withColumn("delta", 0.25 * F.greatest("bf", F.lit(0.0))))
     # the running mean is the same recurrence: .95 of itself and .05 of each factor
-    ema = graph.upsert_edges(both.withColumn("delta", 0.05 * F.col("bf")), edges.where("kind = 'inhib'").select("src", "dst", "kind", F.col("bf_sep_ema").alias("weight"), F.lit(0.0).alias("support_ema"), "last_update_ts").join(both.select("src", "dst", "kind").distinct(), ["src", "dst", "kind"], "left_semi"))
-    out = stages.keep(merged_edges(out, ema.select("src", "dst", "kind", F.col("weight").alias("bf_sep_ema"))), "edges")
+    ema = graph.upsert_edges(both.withColumn("delta", 0.05 * F.col("bf")), near.select("src", "dst", "kind", F.col("bf_sep_ema").alias("weight"), F.lit(0.0).alias("support_ema"), "last_update_ts"))
+    ema = stages.keep(ema, "separation")
+    rows = moved.join(ema.select("src", "dst", "kind", F.col("weight").alias("bf_sep_ema")), ["src", "dst", "kind"])
+    out = stages.keep(merged_edges(edges, rows, stages), "edges")
     mean = ema.select(F.col("src").alias("first"), F.col("dst").alias("second"), F.col("weight").alias("_ema"))
     asked = judged.join(mean, ["first", "second"]).select("seq", "first", "second", F.lit(1.0).alias("ambiguity"), F.col("_ema").alias("bf"), "overlap")
     members, _ = groups_merge.merge_pairs(asked, groups_, stages, config=config)
-    return out, stages.keep(groups_merge.rebuild_groups(groups_, members, traces), "groups")
+    return out, stages.keep(groups_merge.rebuild_groups(groups_, members, near_traces), "groups")
 
 
 def continued(batch: DataFrame, traces: DataFrame, edges: DataFrame, groups_: DataFrame, stages: Stages, config: FieldConfig = FIELD) -> tuple[DataFrame, DataFrame]:
     """MT4 for traces and groups: a frame counts for the groups of its trace and of the next one, once each."""
-    stats = maintenance.continuation_stats(batch.withColumn("pred_loss", F.col("loss")), traces, edges, config)
+    near = replay.batch_traces(batch, traces, stages)
+    between = stages.keep(edges.join(batch.select(F.col("trace_id").alias("src"), F.col("next_trace_id").alias("dst")).distinct(), ["src", "dst"], "left_semi").select(*edges.columns), "near-edges")
+    # traces that the batch doesn't name keep what they have
+    stats = stages.keep(maintenance.continuation_stats(batch.withColumn("pred_loss", F.col("loss")), near, between, config), "stats")
     out = stages.keep(replaced(traces, stats), "traces")
-    member = groups_.select("group_id", F.explode("member_ids").alias("trace_id")).join(traces.select("trace_id"), "trace_id", "left_semi")
+    member = groups_.select("group_id", F.explode("member_ids").alias("trace_id")).join(near.select("trace_id"), "trace_id", "left_semi")
     ends = batch.select("frame_id", "loss", "next_trace_id", F.explode(F.array_distinct(F.filter(F.array("trace_id", "next_trace_id"), lambda t: t.isNotNull()))).alias("trace_id"))
     mine = ends.join(member, "trace_id").select("frame_id", "group_id", F.when(F.col("next_trace_id").isNotNull(), F.greatest("loss", F.lit(0.0))).otherwise(0.0).alias("v")).distinct()
-    align = mine.groupBy("group_id").agg(F.avg("v").alias("_align"))
+    align = stages.keep(mine.groupBy("group_id").agg(F.avg("v").alias("_align")), "align")
     d, g = config.continuation_decay, config.continuation_group_decay
     tension = g * F.col("replay_tension_ema") + (1 - d) * (F.col("unresolved_mass") + F.abs(F.col("temperature") - 1.0))
     new = groups_.join(align, "group_id", "left").withColumns({"replay_alignment_ema": F.when(F.col("_align").isNull(), F.col("replay_alignment_ema")).otherwise(g * F.col("replay_alignment_ema") + (1 - d) * F.col("_align")), "replay_tension_ema": tension})
@@ -149,7 +176,7 @@ def _put(m: str, key: str, value: Column) -> Column:
     return F.map_concat(F.map_filter(own, lambda k, _: k != key), F.create_map(F.lit(key), value))
 
 
-def promote(rows: DataFrame, traces: DataFrame, role: str, config: FieldConfig = FIELD) -> tuple[DataFrame, DataFrame]:
+def promote(rows: DataFrame, traces: DataFrame, role: str, stages: Stages, config: FieldConfig = FIELD) -> tuple[DataFrame, DataFrame]:
     """Traces after patterns (trace_id, support, gain, promoted, ids): support and gain by decay, all patterns of a trace in
     the order of their ids; a promoted one raises the role's logit where the objective falls. Also the ids promoted.
 
@@ -171,48 +198,53 @@ def promote(rows: DataFrame, traces: DataFrame, role: str, config: FieldConfig =
     logits = F.map_concat(F.map_filter(F.coalesce("role_logits", _empty()), lambda k, _: ~k.isin(role, "episodic")), F.create_map(F.lit(role), F.least(costs.role("role_logits", role) + roles.STEP, F.lit(roles.TOP)), F.lit("episodic"), F.greatest(F.coalesce(F.col("role_logits")["episodic"], F.lit(1.0)) - 0.05, F.lit(0.0))))
     place = "path_signature" if path else "member_ids"
     out = judged.withColumns({"_yes": F.coalesce(yes, F.lit(False))}).withColumns({"role_logits": F.when(F.col("_yes"), logits).otherwise(F.col("role_logits")), place: F.when(F.col("_yes"), F.col("_ids")).otherwise(F.col(place))})
-    return replaced(traces, out.select("trace_id", "role_support", "role_gain_ema", "role_logits", place)), out.where("_yes").select("trace_id", "_ids")
+    out = stages.keep(out.select("trace_id", "role_support", "role_gain_ema", "role_logits", place, "_yes", "_ids"), "judged")
+    return replaced(traces, out.drop("_yes", "_ids")), out.where("_yes").select("trace_id", "_ids")
 
 
 def promote_prototypes(batch: DataFrame, traces: DataFrame, stages: Stages, config: FieldConfig = FIELD, limits: ReplayConfig = REPLAY) -> tuple[DataFrame, DataFrame]:
-    found = maintenance.prototype_patterns(batch, traces, limits, config)
+    found = stages.keep(maintenance.prototype_patterns(batch, replay.batch_traces(batch, traces, stages), limits, config), "patterns")
     rows = found.select(F.col("medoid").alias("trace_id"), "support", "gain", "promoted", F.split("members", ",").alias("ids"))
-    out, ids = promote(rows, traces, costs.PROTOTYPE, config)
+    out, ids = promote(rows, traces, costs.PROTOTYPE, stages, config)
     return stages.keep(out, "traces"), stages.keep(ids.select("trace_id"), "prototypes")
 
 
 def promote_procedures(batch: DataFrame, traces: DataFrame, edges: DataFrame, now: float, stages: Stages, config: FieldConfig = FIELD, limits: ReplayConfig = REPLAY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Also edges: a promoted pair's option edge is touched by 0.10 of its success where that pays."""
-    found = stages.keep(maintenance.procedure_patterns(batch.withColumn("pred_loss", F.col("loss")), traces, limits), "patterns")
+    found = stages.keep(maintenance.procedure_patterns(batch.withColumn("pred_loss", F.col("loss")), replay.batch_traces(batch, traces, stages), limits), "patterns")
     rows = found.select(F.col("src").alias("trace_id"), "support", "gain", "promoted", F.array("src", "dst").alias("ids"))
-    out, ids = promote(rows, traces, costs.PROCEDURE, config)
+    out, ids = promote(rows, traces, costs.PROCEDURE, stages, config)
     out, ids = stages.keep(out, "traces"), stages.keep(ids, "procedures")
     pairs = ids.select(F.col("_ids")[0].alias("src"), F.col("_ids")[1].alias("dst")).join(found.select("src", "dst", "success"), ["src", "dst"])
-    support = graph.transition_support(pairs.select("src", "dst"), edges)
-    old = edges.where("kind = 'option'").select("src", "dst", "weight", "support_ema", "success_alpha", "success_beta", F.lit(True).alias("_is"))
+    pairs = stages.keep(pairs, "pairs")
+    near = stages.keep(edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_semi").select(*edges.columns), "near-edges")
+    support = graph.transition_support(pairs.select("src", "dst"), near)
+    old = near.where("kind = 'option'").select("src", "dst", "weight", "support_ema", "success_alpha", "success_beta", F.lit(True).alias("_is"))
     judged = pairs.join(support, ["src", "dst"]).join(old, ["src", "dst"], "left")
     pays = F.when(F.col("_is"), F.col("success") > F.col("support")).otherwise(0.05 * 0.115 + 0.03 * 0.15 + 0.08 * (1 - F.greatest("support", "success")) < 0.08 * (1 - F.col("support")))
     grown = lambda c: F.when(F.col("_is"), 0.95 * F.col(c) + 0.10 * F.col("success")).otherwise(0.10 * F.col("success"))
     beta = lambda c, v: 0.98 * F.coalesce(F.col(c), F.lit(1.0)) + v
     taken = judged.where(pays).select("src", "dst", F.lit("option").alias("kind"), grown("weight").alias("weight"), grown("support_ema").alias("support_ema"), F.lit(now).alias("last_update_ts"), beta("success_alpha", F.col("success")).alias("success_alpha"), beta("success_beta", 1 - F.col("success")).alias("success_beta"))
-    return out, stages.keep(merged_edges(edges, taken), "edges"), ids.select("trace_id")
+    return out, stages.keep(merged_edges(edges, taken, stages), "edges"), ids.select("trace_id")
 
 
-def rehydrated(traces: DataFrame, anchors: DataFrame, contexts: DataFrame, chosen: DataFrame, config: FieldConfig = FIELD) -> tuple[DataFrame, DataFrame]:
+def rehydrated(traces: DataFrame, anchors: DataFrame, frames: DataFrame, chosen: DataFrame, stages: Stages, config: FieldConfig = FIELD) -> tuple[DataFrame, DataFrame]:
     """Traces of `chosen` that aren't whole, with mean and variance of their reservoir's vectors and of its contexts
-    (anchor_id, c: each anchor's last frame), and the uncertainty after it; and their ids."""
-    low = traces.join(chosen.select("trace_id").distinct(), "trace_id", "left_semi").where("fidelity < 0.999")
+    (each anchor's last of frames: anchor_id, c, ts, seq), and the uncertainty after it; and their ids."""
+    low = stages.keep(traces.join(chosen.select("trace_id").distinct(), "trace_id", "left_semi").where("fidelity < 0.999").select(*traces.columns), "low")
     out = maintenance.rehydrate(low, anchors, config)
     held = low.select("trace_id", F.explode("anchor_reservoir").alias("anchor_id"))
     has = held.join(anchors.select("anchor_id"), "anchor_id", "left_semi").select("trace_id").distinct().withColumn("_has", F.lit(True))
-    parts = held.join(contexts.select("anchor_id", "c"), "anchor_id").select("trace_id", F.posexplode("c").alias("i", "v"))
+    contexts = frames.join(held.select("anchor_id").distinct(), "anchor_id", "left_semi").groupBy("anchor_id").agg(F.max_by("c", F.struct("ts", "seq")).alias("c"))
+    parts = held.join(contexts, "anchor_id").select("trace_id", F.posexplode("c").alias("i", "v"))
     stats = parts.groupBy("trace_id", "i").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s")).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("_c"))
     both = out.join(has, "trace_id", "left").join(stats, "trace_id", "left")
     known = F.col("_has").isNotNull() & F.col("_c").isNotNull()
     var = safe_variance(F.transform("_c", lambda p: p["s"] + config.sigma_floor), config.sigma_floor, config.sigma_ceiling)
     both = both.withColumns({"ctx_mu": F.when(known, F.transform("_c", lambda p: p["m"])).otherwise(F.col("ctx_mu")), "ctx_sigma_diag": F.when(known, var).otherwise(F.col("ctx_sigma_diag"))})
     both = both.withColumn("uncertainty", F.when(F.col("_has").isNotNull(), costs.uncertainty(config)).otherwise(F.col("uncertainty")))
-    return replaced(traces, both.select("trace_id", "z_mu", "z_sigma_diag", "ctx_mu", "ctx_sigma_diag", "fidelity", "compression_stage", "uncertainty")), low.select("trace_id")
+    both = stages.keep(both.select("trace_id", "z_mu", "z_sigma_diag", "ctx_mu", "ctx_sigma_diag", "fidelity", "compression_stage", "uncertainty"), "restored")
+    return replaced(traces, both), low.select("trace_id")
 
 
 def pressure_of(traces: DataFrame, edges: DataFrame, groups_: DataFrame, budget: BudgetConfig) -> float:
@@ -223,9 +255,10 @@ def fidelity_step(state: dict[str, DataFrame], now: float, stages: Stages, budge
     """traces, and the ids compressed and rehydrated: active and hot ones first come back, then, above a pressure of 1, others
     are compressed until the traces' mass is within its cap."""
     traces, awake = state["traces"], state["active"].select("trace_id", "activation").unionByName(state["hot"].select("trace_id", F.lit(0.0).alias("activation"))).groupBy("trace_id").agg(F.max("activation").alias("activation"))
+    awake = stages.keep(awake, "awake")
     chosen = awake.join(traces.select("trace_id", "access_ema"), "trace_id").where((F.col("activation") >= RESTORE) | (F.col("access_ema") >= RESTORE))
-    newest = state["frames"].groupBy("anchor_id").agg(F.max_by("c", F.struct("ts", "seq")).alias("c"))
-    out, back = rehydrated(traces, state["anchors"], newest, chosen, config)
+    chosen = stages.keep(chosen.select("trace_id"), "chosen")
+    out, back = rehydrated(traces, state["anchors"], state["frames"], chosen, stages, config)
     out, back = stages.keep(out, "traces"), stages.keep(back, "rehydrated")
     pressure = pressure_of(out, state["edges"], state["groups"], budget)
     others = objective.budget_masses(out.limit(0), state["edges"], state["groups"], budget).first()["pressure"]
@@ -255,18 +288,19 @@ def role_step(traces: DataFrame, pressure: float, stages: Stages, config: FieldC
 def budget_step(state: dict[str, DataFrame], now: float, stages: Stages, budget: BudgetConfig = BUDGET, config: FieldConfig = FIELD) -> tuple[dict[str, DataFrame], DataFrame]:
     """traces, edges and groups without what the pressure prunes, and the ids of the traces that went; what pointed at them
     goes with them. The pressure is that of the start of the step."""
-    traces, edges, groups_, active = state["traces"], state["edges"], state["groups"], state["active"].select("trace_id")
+    traces, edges, groups_, active = state["traces"], state["edges"], state["groups"], state["active"].select("trace_id").distinct()
     pressure = pressure_of(traces, edges, groups_, budget)
-    free = edges.join(active.withColumnRenamed("trace_id", "src"), "src", "left_anti").join(active.withColumnRenamed("trace_id", "dst"), "dst", "left_anti").select("src", "dst", "kind", F.lit(True).alias("_free"))
-    scored = edges.join(free, ["src", "dst", "kind"], "left").withColumns({"_score": (0.60 * F.col("support_ema") + 0.30 * F.col("weight") + 0.10 * F.col("bf_sep_ema")) / costs.edge_storage_cost(config=config), "_key": F.concat_ws("\x1f", "src", "dst", "kind"), "_ok": F.coalesce("_free", F.lit(False))})
+    end = lambda c: active.select(F.col("trace_id").alias(c), F.lit(True).alias(f"_{c}"))
+    scored = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left").withColumns({"_score": (0.60 * F.col("support_ema") + 0.30 * F.col("weight") + 0.10 * F.col("bf_sep_ema")) / costs.edge_storage_cost(config=config), "_key": F.concat_ws("\x1f", "src", "dst", "kind"), "_ok": F.col("_src").isNull() & F.col("_dst").isNull()})
+    scored = scored.select("src", "dst", "kind", "_score", "_key", "_ok")
     gone = stages.keep(maintenance.prune(scored, "_score", "_key", "_ok", budget.max_edges, pressure, budget.prune_fraction).select("src", "dst", "kind"), "edges-gone")
     edges = edges.join(gone, ["src", "dst", "kind"], "left_anti").select(*edges.columns)
     score = 0.55 * F.col("unresolved_mass") + 0.25 * F.size("member_ids") + 0.20 * F.greatest("temperature", F.lit(0.0))
-    ranked = groups_.withColumns({"_score": score / costs.group_storage_cost(config), "_ok": F.lit(True)})
+    ranked = groups_.withColumns({"_score": score / costs.group_storage_cost(config), "_ok": F.lit(True)}).select("group_id", "_score", "_ok")
     gone = stages.keep(maintenance.prune(ranked, "_score", "group_id", "_ok", budget.max_groups, pressure, budget.prune_fraction).select("group_id"), "groups-gone")
     groups_ = groups_.join(gone, "group_id", "left_anti").select(*groups_.columns)
     able = (costs.structural_role_mass() < config.active_role_threshold) & (F.col("fidelity") <= config.fidelity_prune_floor)
-    judged = traces.join(active.withColumn("_a", F.lit(True)), "trace_id", "left").withColumns({"_ok": able & F.col("_a").isNull(), "_score": costs.budget_utility(now) / costs.storage_cost(config)})
+    judged = traces.join(active.withColumn("_a", F.lit(True)), "trace_id", "left").withColumns({"_ok": able & F.col("_a").isNull(), "_score": costs.budget_utility(now) / costs.storage_cost(config)}).select("trace_id", "_score", "_ok")
     gone = stages.keep(maintenance.prune(judged, "_score", "trace_id", "_ok", budget.max_traces, pressure, budget.prune_fraction).select("trace_id"), "traces-gone")
     traces = traces.join(gone, "trace_id", "left_anti").select(*traces.columns)
     edges = graph.drop_dangling_edges(edges, gone).select(*edges.columns)
@@ -289,17 +323,20 @@ def objective_step(batch: DataFrame, state: dict[str, DataFrame], touched_groups
     no divergence is charged. Its column group_kl, if it has one, is charged as the frames' mean.
     """
     traces = state["traces"]
-    ids = batch.select(F.explode(F.array_distinct(F.filter(F.concat(F.array("trace_id", "next_trace_id"), "active_ids"), lambda t: t.isNotNull()))).alias("trace_id")).distinct().join(traces.select("trace_id"), "trace_id", "left_semi")
-    ids = stages.keep(ids, "touched")
+    named = batch.select(F.explode(F.array_distinct(F.filter(F.concat(F.array("trace_id", "next_trace_id"), "active_ids"), lambda t: t.isNotNull()))).alias("trace_id")).distinct()
+    ids = stages.keep(traces.select("trace_id").join(named, "trace_id", "left_semi"), "touched")
+    # what is near the touched traces: their edges, their groups, and the members of those
+    edges, groups_ = stages.keep(graph.touching(state["edges"], ids), "near-edges"), stages.keep(replay.groups_of(state["groups"], ids), "near-groups")
+    near = stages.keep(traces.join(ids.union(groups_.select(F.explode("member_ids"))).distinct(), "trace_id", "left_semi").select(*traces.columns), "near")
     past = batch.select("frame_id", F.explode("activation").alias("trace_id", "a"))
-    live = batch.where("next_trace_id is not null").join(traces.select("trace_id"), "trace_id", "left_semi").join(traces.select(F.col("trace_id").alias("next_trace_id")), "next_trace_id", "left_semi")
+    live = batch.where("next_trace_id is not null").join(ids, "trace_id", "left_semi").join(ids.select(F.col("trace_id").alias("next_trace_id")), "next_trace_id", "left_semi")
     heat = state["groups"].limit(0) if touched_groups is None else state["groups"].join(touched_groups, "group_id", "left_semi")
-    drift = cycle.replay_objective(past if settled is not None else past.limit(0), past.limit(0) if settled is None else settled, live.select(F.col("trace_id").alias("src"), F.col("next_trace_id").alias("dst")), state["edges"], heat, changed, ids)
+    drift = cycle.replay_objective(past if settled is not None else past.limit(0), past.limit(0) if settled is None else settled, live.select(F.col("trace_id").alias("src"), F.col("next_trace_id").alias("dst")), edges, heat, changed, ids)
     one = lambda df: df.withColumn("patch_id", F.lit("batch"))
     seen = one(batch.select(F.col("frame_id").alias("obs_id"), "x", "c", *(["target"] if "target" in batch.columns else [])))
-    local = one(traces.join(ids, "trace_id", "left_semi"))
-    plain = objective.patch_objective(local, seen, state["edges"], state["groups"], traces)
-    plastic = traces.join(ids, "trace_id", "left_semi").agg(F.coalesce(F.avg(F.greatest("pred_loss_ema", F.lit(0.0))), F.lit(0.0)).alias("plasticity"))
+    local = one(near.join(ids, "trace_id", "left_semi"))
+    plain = objective.patch_objective(local, seen, edges, groups_, near)
+    plastic = near.join(ids, "trace_id", "left_semi").agg(F.coalesce(F.avg(F.greatest("pred_loss_ema", F.lit(0.0))), F.lit(0.0)).alias("plasticity"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     tense = F.lit(0.0)
     if settled is not None and "group_kl" in settled.columns:
@@ -321,17 +358,18 @@ def maintenance_cycle(state: dict[str, DataFrame], now: float, batch: int = 10,
     spark = state["traces"].sparkSession
     stages = stages or Stages(spark, "maintenance")
     s = dict(state)
-    s.setdefault("hot", maintenance.hot_traces(s["traces"], config.frontier_size).select("trace_id"))
+    if "hot" not in s:
+        s["hot"] = stages.keep(maintenance.hot_traces(s["traces"], config.frontier_size).select("trace_id"), "hot")
     s.setdefault("active", s["traces"].select("trace_id", F.lit(0.0).alias("activation")).limit(0))
     members = groups_merge.explode_members(s["groups"])
-    frames = stages.keep(sample(s["frames"], s["traces"], s["edges"], members, now, batch, seed), "batch")
+    frames = stages.keep(sample(s["frames"], s["traces"], s["edges"], members, now, batch, seed, stages), "batch")
     changed: dict[str, DataFrame] = {}
     if frames.isEmpty():
         s["traces"], changed["compressed"], changed["rehydrated"] = fidelity_step(s, now, stages, budget, config)
         return Cycle(s, changed, objective_step(frames, s, None, changed["compressed"], None, stages, config))
     if score is not None:
         frames = stages.keep(score(frames), "scored")
-    s["traces"] = stages.keep(reconsolidated(frames, s["traces"], config), "traces")
+    s["traces"] = stages.keep(reconsolidated(frames, s["traces"], config, stages), "traces")
     s["groups"], s["traces"], touched = replay.replay_groups(frames, s["traces"], s["groups"], stages, config)
     before = s["traces"]
     s["traces"], made, apart = replay.replay_mutations(frames, s["traces"], s["edges"], s["groups"], stages, config=config)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemos.config import BudgetConfig
 from mnemos.functions import vectors as V
 from mnemos.operators import cycle, replay, turn, upkeep
+from mnemos.operators.graph import link_frames
 from mnemos.plans import views
 from mnemos.plans.graph_queries import SUPPORT, cues
 from mnemos.plans.scalar_queries import r6
@@ -23,44 +24,57 @@ def _traces(spark, sf_dir):
     """The event traces in their whole form."""
     t = fold_traces(spark, sf_dir)
     none = F.array().cast("array<string>")
-    return t.withColumns({"fidelity": 1.0 - 0.2 * (F.col("evidence") % 4), "compression_stage": (F.col("evidence") % 4).cast("int"), "member_ids": none, "path_signature": none, "parent_trace_id": F.lit(None).cast("string"), "spawned_from_frame": F.lit(None).cast("string")}).drop("user_id")
+    return t.withColumns({"fidelity": 1.0 - 0.2 * (F.col("evidence") % 4), "compression_stage": (F.col("evidence") % 4).cast("int"), "member_ids": none, "path_signature": none, "parent_trace_id": F.lit(None).cast("string"), "spawned_from_frame": F.lit(None).cast("string")})
 
 
-def _log(spark, sf_dir):
-    """The frame log with vectors: what is seen next is the target."""
-    f = views.frames(spark, sf_dir).withColumn("x", V.l2_normalize(F.array(F.col("group_entropy"), F.col("pred_loss"), F.lit(0.5), F.lit(0.1))))
+def _log(spark, sf_dir, stages=None):
+    """The frame log with vectors: what is seen next is the target. With stages the linked frames are written; what a frame's
+    own numbers give is made where it is read."""
     w = Window.partitionBy("session_id").orderBy("ts", "seq")
-    return f.withColumns({"c": F.col("x"), "loss": F.col("pred_loss"), "target": F.lead("x").over(w)})
+    f = link_frames(views.bare_frames(spark, sf_dir)).withColumn("_next", F.lead(F.struct("group_entropy", "pred_loss")).over(w))
+    f = views.with_active(f if stages is None else stages.keep(f, "log"))
+    vector = lambda of: V.l2_normalize(F.array(F.col(f"{of}group_entropy"), F.col(f"{of}pred_loss"), F.lit(0.5), F.lit(0.1)))
+    return f.withColumns({"x": vector(""), "c": vector(""), "loss": F.col("pred_loss"), "target": F.when(F.col("_next").isNotNull(), vector("_next."))}).drop("_next")
 
 
-def _groups(spark, sf_dir):
-    g = views.groups(spark, sf_dir)
+def _groups(traces):
+    g = views.groups_of(traces)
     same = lambda v: F.transform("ctx_mu", lambda m: F.transform(m, lambda _: v))
     return g.select("group_id", "member_ids", "alpha", "ctx_mu", same(F.col("ctx_sigma")).alias("ctx_sigma_diag"), "pred_success_ema", "temperature", "unresolved_mass", F.lit(0.0).alias("replay_alignment_ema"), "replay_tension_ema", "ambiguous_buffer", F.array().cast("array<array<double>>").alias("ambiguous_ctx_buffer"))
 
 
+def _state(spark, sf_dir, stages):
+    """Traces, groups, edges and the log, each written once: many stages read them, and would make them anew each time."""
+    t, log = stages.keep(_traces(spark, sf_dir), "event-traces"), _log(spark, sf_dir, stages)
+    return {"traces": t.drop("user_id"), "groups": stages.keep(_groups(t), "event-groups"), "edges": stages.keep(views.edges_of(log), "event-edges"), "frames": log}
+
+
 def mt6(spark, sf_dir):
     """Every 97th event as a replay batch, scored against its session's traces with edges and groups."""
-    f = _log(spark, sf_dir).where("next_trace_id is not null and seq % 97 = 3")
-    made = replay.replay_mutations(f, _traces(spark, sf_dir), views.edges(spark, sf_dir), _groups(spark, sf_dir), Stages(spark, "mt6"))[1]
+    stages = Stages(spark, "mt6")
+    s = _state(spark, sf_dir, stages)
+    f = stages.keep(s["frames"].where("next_trace_id is not null and seq % 97 = 3"), "batch")
+    made = replay.replay_mutations(f, s["traces"], s["edges"], s["groups"], stages)[1]
     return made.select("frame_id", "action", "trace_id", r6("delta").alias("delta"))
 
 
 def mt13(spark, sf_dir):
     """A whole cycle over the log, under a budget that makes it compress and prune."""
-    t, e = _traces(spark, sf_dir), views.edges(spark, sf_dir)
-    log = _log(spark, sf_dir)
-    state = {"traces": t, "edges": e, "groups": _groups(spark, sf_dir), "frames": log, "anchors": log.groupBy("anchor_id").agg(F.max_by("x", "seq").alias("z"))}
-    small = BudgetConfig(max_traces=0.75 * t.count(), max_edges=0.5 * e.count(), max_groups=1e9)
-    done = upkeep.maintenance_cycle(state, 1706000000.0, 10, budget=small)
+    stages = Stages(spark, "mt13")
+    state = _state(spark, sf_dir, stages)
+    state["anchors"] = stages.keep(state["frames"].groupBy("anchor_id").agg(F.max_by("x", "seq").alias("z")), "anchors")
+    small = BudgetConfig(max_traces=0.75 * state["traces"].count(), max_edges=0.5 * state["edges"].count(), max_groups=1e9)
+    done = upkeep.maintenance_cycle(state, 1706000000.0, 10, budget=small, stages=stages)
     return done.tables["traces"].select("trace_id", r6("evidence").alias("evidence"), r6("stability").alias("stability"), r6("fidelity").alias("fidelity"), r6("future_drift_ema").alias("future_drift_ema"))
 
 
 def mt5_update(spark, sf_dir):
     """A batch's groups: proposals in their order, then the updates of all its frames."""
-    f = _log(spark, sf_dir).where("next_trace_id is not null and seq % 97 = 3")
+    stages = Stages(spark, "mt5")
+    t = stages.keep(_traces(spark, sf_dir), "event-traces")
+    f = stages.keep(_log(spark, sf_dir).where("next_trace_id is not null and seq % 97 = 3"), "batch")
     even = F.map_from_entries(F.transform("active_ids", lambda t: F.struct(t.alias("k"), (1.0 / F.size("active_ids")).alias("v"))))
-    g, _, touched = replay.replay_groups(f.withColumn("activation", even), _traces(spark, sf_dir), _groups(spark, sf_dir).limit(0), Stages(spark, "mt5"))
+    g, _, touched = replay.replay_groups(f.withColumn("activation", even), t.drop("user_id"), _groups(t).limit(0), stages)
     return g.join(touched, "group_id").select("group_id", F.array_join("member_ids", ",").alias("members"), F.transform("alpha", lambda a: F.round(a, 6)).alias("alpha"), r6("unresolved_mass").alias("unresolved_mass"))
 
 
@@ -83,7 +97,8 @@ def mt11(spark, sf_dir):
 def mt11_settled(spark, sf_dir):
     """The divergence of every frame of the log from itself settled anew, with edges and groups, by the traces as they are."""
     f = _log(spark, sf_dir)
-    state = {"traces": _traces(spark, sf_dir), "edges": views.edges(spark, sf_dir), "groups": _groups(spark, sf_dir)}
+    t = _traces(spark, sf_dir)
+    state = {"traces": t.drop("user_id"), "edges": views.edges(spark, sf_dir), "groups": _groups(t)}
     settled = Stages(spark, "mt11").keep(turn.settled_frames(f, state), "settled")
     steps = f.where("next_trace_id is not null").select(F.col("trace_id").alias("src"), F.col("next_trace_id").alias("dst"))
     t = state["traces"]

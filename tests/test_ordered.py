@@ -73,3 +73,12 @@ def test_groups_of_hot_keys(spark, monkeypatch):
     flat = lambda df: df.withColumns({"ctx_mu": F.flatten("ctx_mu"), "ctx_sigma_diag": F.flatten("ctx_sigma_diag")})
     whole, parts = both(lambda: rounded(flat(folds.update_groups(groups, traces, seen)).drop("ambiguous_ctx_buffer"), "alpha", "ctx_mu", "ctx_sigma_diag", "pred_success_ema", "temperature", "unresolved_mass", "replay_tension_ema", "replay_alignment_ema", "inflation"), monkeypatch)
     assert whole == parts and len(whole) == 2
+
+
+def test_the_first_of_many_are_numbered_by_ranges(spark):
+    """More first rows than a chunk aren't one task's top, and are the same rows."""
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("key"), (F.col("id") * 37 % 11).cast("double").alias("score"))
+    few = ordered.first(rows, ["score", "key"], 400)
+    many = ordered.first(rows, ["score", "key"], 400, chunk=50)
+    assert "TakeOrdered" in few._jdf.queryExecution().toString() and "TakeOrdered" not in many._jdf.queryExecution().toString()
+    assert many.columns == rows.columns and sorted(map(str, many.collect())) == sorted(map(str, few.collect()))

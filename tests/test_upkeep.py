@@ -277,3 +277,29 @@ def test_a_failed_stage_leaves_the_old_state(spark, tmp_path, monkeypatch):
         snapshots.write_snapshot({k: done.tables[k] for k in kept}, str(tmp_path / "s"), 2)
     back = snapshots.read_latest_snapshot(spark, str(tmp_path / "s"))
     assert sorted(map(str, back["traces"].collect())) == sorted(map(str, state["traces"].collect()))
+
+
+def test_a_batch_works_on_what_is_near_it(spark, monkeypatch):
+    """Traces and groups that no frame names take no part in rounds and folds, change nothing and stay."""
+    state, *_ = world(spark, near=True)
+    idle = [a_trace(f"i{k}", "idle", [5.0 + k, 1.0], 3.0, [f"b{k}"]) for k in range(12)]
+    pairs = [(f"i{k}", f"i{k + 1}") for k in range(11)]
+    crowd = state | {
+        "traces": state["traces"].unionByName(spark.createDataFrame(list(map(tuple, idle)), TRACE)),
+        "groups": state["groups"].unionByName(spark.createDataFrame([a_group(f"gi{k}", list(p)) for k, p in enumerate(pairs)], GROUP)),
+    }
+    real, folded = replay.folds.update_groups, []
+    monkeypatch.setattr(replay.folds, "update_groups", lambda g, *a: folded.append({r["group_id"] for r in g.select("group_id").collect()}) or real(g, *a))
+    stages = Stages(spark, "near")
+    batch = stages.keep(state["frames"].where("next_trace_id is not null"), "batch")
+    groups_, traces, _ = replay.replay_groups(batch, crowd["traces"], crowd["groups"], stages)
+    assert folded and not any(g.startswith("gi") for ids in folded for g in ids)
+    near = {"members": "group_id", "met-groups": "group_id", "near": "trace_id"}
+    for k, name in enumerate(stages.names):
+        if name in near:
+            rows = spark.read.parquet(f"{stages.path}/{k:03}-{name}").select(near[name]).collect()
+            assert rows and not any(r[0].startswith(("i", "gi")) for r in rows), (k, name)
+    alone = replay.replay_groups(batch, state["traces"], state["groups"], Stages(spark, "alone"))
+    for got, want, own, n in ((traces, alone[1], "trace_id", 12), (groups_, alone[0], "group_id", 11)):
+        rows = [(r[own].startswith(("i", "gi")), str(r)) for r in got.collect()]
+        assert sorted(r for idle_, r in rows if not idle_) == sorted(map(str, want.collect())) and sum(idle_ for idle_, _ in rows) == n
