@@ -342,21 +342,30 @@ def encoder(path: str, *forms: str, most: int = KEPT_BYTES) -> Encoder:
     return _encoders[path, forms]
 
 
+def forget(path: str, *forms: str) -> None:
+    """Gives back an encoder with all that it keeps, and Arrow's unused memory: an idle worker would hold them on."""
+    _encoders.pop((path, forms), None)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def decode(ids: list[int], v: Vocabulary) -> str:
     """Tokens joined by spaces: what the library gives for a vocabulary file without a decoder."""
     return " ".join([v.tokens[i] for i in ids if i in v.tokens])
 
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, arrays: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, arrays: bool = True, lasting: bool = True) -> DataFrame:
     """The `keep` columns (doc_id, unless given) with n_tokens, ids and decoded, in one narrow stage.
 
-    ids is an array of int, or with arrays=False the decimal ids joined by spaces.
+    ids is an array of int, or with arrays=False the decimal ids joined by spaces. With lasting=False a worker keeps
+    nothing after its task: slower, but other work on the executor has the memory.
     """
     keep = [doc_id] if keep is None else keep
+    # arrays are decoded from the ids themselves: one form less to keep
+    forms = ("packed",) if arrays else ("decimal", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # arrays are decoded from the ids themselves: one form less to keep
-        e = encoder(path, "packed") if arrays else encoder(path, "decimal", "text")
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, *forms)
         for whole in batches:
             for b in by_bytes(whole, 0, SLICE_BYTES):
                 made = list(e.encode(b.column(0).to_pylist()))
@@ -371,6 +380,13 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
                     out, counts = pa.array(ids, pa.string()), pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], counts, out, pa.array(decoded, pa.string())], names=[*(f"c{i}" for i in range(len(keep))), "n_tokens", "ids", "decoded"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            if not lasting:
+                forget(path, *forms)
+
     kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
     out = docs.select(F.col(text).cast("string").alias("_text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
     out = out.mapInArrow(run, f"{kinds}n_tokens bigint, ids {'array<int>' if arrays else 'string'}, decoded string")

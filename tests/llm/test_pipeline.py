@@ -89,3 +89,28 @@ def test_near_dedup_keeps_null_ids_and_texts_that_share_an_id(spark):
     docs = spark.createDataFrame(data, "doc_id bigint, text string")
     got = corpus_pipeline.apply_near_dedup(spark, docs, "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, a), (None, b), (1, c), (1, d), (2, e)], key=str)
+
+
+def test_stages_hold_little_memory(spark, folder, tmp_path):
+    """Texts move in small batches when the caller writes a stage's result, and workers keep no encoder after it."""
+    import pyarrow as pa
+
+    from mnemos.llm import bpe_trie
+
+    spark.range(3000).selectExpr("id doc_id", "cast(id as string) text").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = {name: spark.conf.get(name) for name in corpus_pipeline.BATCHES}
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "encoders": [len(bpe_trie._encoders)]})
+
+    probe = lambda df: df.mapInArrow(seen, "n bigint, encoders bigint").collect()
+    try:
+        out = corpus_pipeline.apply_bpe(spark, docs, folder)
+        assert max(r["n"] for r in probe(docs)) <= 1000 and out.agg(F.sum("n_tokens")).first()[0] >= 3000
+        assert not any(r["encoders"] for r in probe(spark.range(8).repartition(8).select(F.col("id").cast("string"))))
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "256"
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
