@@ -1,8 +1,9 @@
-"""Order-dependent updates of one trace or one group: plain loops over arrays, no Spark."""
+"""Order-dependent updates of one trace or one group, and of many traces a step at a time: plain loops over arrays, no Spark."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -68,6 +69,89 @@ def apply_action(t: dict, s: dict, f: FieldConfig = FIELD) -> dict:
     return t
 
 
+def _rounds(at: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """How many traces (in order: those of more steps come first) have a first, a second, ... step, and which steps these are."""
+    n, first = np.diff(at)[order], at[:-1][order]
+    for k in range(int(n.max(initial=0))):
+        m = int(np.searchsorted(-n, -k))
+        yield m, first[:m] + k
+
+
+def _judge_many(t: dict, on: slice | np.ndarray, f: FieldConfig) -> None:
+    """uncertainty() and stability() of the traces at `on`."""
+    loss, evidence = t["pred_loss_ema"][on], t["evidence"][on]
+    t["uncertainty"][on] = unc = np.clip(t["z_sigma_diag"][on], f.sigma_floor, f.sigma_ceiling).mean(axis=1) + f.kappa_evidence / (evidence + EPS) + f.kappa_pred * loss
+    target = 1.0 / (1.0 + np.exp(-(np.log(evidence + EPS) - unc - loss)))
+    t["stability"][on] = np.clip((1 - f.eta_stability) * t["stability"][on] + f.eta_stability * target, 0.0, 1.0)
+
+
+def pushed(arr: list[str], items: list[str], size: int) -> list[str]:
+    """push() of all items in turn: the last `size` by their last place."""
+    if not items:
+        return arr
+    if len(set(arr)) < len(arr):
+        for item in items:
+            arr = push(arr, item, size)
+        return arr
+    last: dict[str, None] = {}
+    for item in reversed(items):
+        last.setdefault(item)
+        if len(last) == size:
+            break
+    else:
+        for item in reversed(arr):
+            last.setdefault(item)
+    return list(last)[:size][::-1]
+
+
+def _fold_many(t: dict, at: np.ndarray, step: Callable[[dict, int, np.ndarray], None], items: Callable[[int], list], f: FieldConfig) -> dict:
+    """Traces (arrays) after their steps, of which at[i] to at[i + 1] are trace i's. step changes the first m traces by the steps i."""
+    order = np.argsort(-np.diff(at), kind="stable")
+    back = np.argsort(order, kind="stable")
+    held = {k: v[order] for k, v in t.items() if k != "anchor_reservoir"}
+    for m, i in _rounds(at, order):
+        step(held, m, i)
+    return {k: v[back] for k, v in held.items()} | {"anchor_reservoir": [pushed(a, items(k), f.reservoir_size) for k, a in enumerate(t["anchor_reservoir"])]}
+
+
+def reconsolidate_many(t: dict, s: dict, at: np.ndarray, f: FieldConfig = FIELD) -> dict:
+    """reconsolidate() of many traces (arrays, a row for each; reservoirs are lists) over their steps (arrays, in order)."""
+    r = np.clip(s["r"], 0.0, 1.0)
+    go = ~(r <= EPS)
+    at = np.concatenate([[0], np.cumsum(go)])[at]
+    r, x, c, loss, ts = (v[go] for v in (r, s["x"], s["c"], np.maximum(s["loss"], 0.0), s["ts"]))
+    anchor = [a for a, g in zip(s["anchor_id"], go.tolist()) if g]
+
+    def step(t: dict, m: int, i: np.ndarray) -> None:
+        on, own = slice(m), r[i]
+        t["evidence"][on] = f.evidence_decay * t["evidence"][on] + own
+        t["z_mu"][on], t["z_sigma_diag"][on] = _pull(t["z_mu"][on], t["z_sigma_diag"][on], x[i], (f.eta_mu * own / (1 + f.lambda_stability * t["stability"][on]))[:, None], (f.eta_sigma * own)[:, None], True, f)
+        t["ctx_mu"][on], t["ctx_sigma_diag"][on] = _pull(t["ctx_mu"][on], t["ctx_sigma_diag"][on], c[i], (f.eta_ctx * own)[:, None], (f.eta_sigma * own)[:, None], False, f)
+        t["pred_loss_ema"][on] = 0.95 * t["pred_loss_ema"][on] + 0.05 * loss[i]
+        _judge_many(t, on, f)
+        t["last_access_ts"][on] = ts[i]
+
+    return _fold_many(t, at, step, lambda k: [a for a in anchor[at[k] : at[k + 1]] if a is not None], f)
+
+
+def apply_actions_many(t: dict, s: dict, at: np.ndarray, f: FieldConfig = FIELD) -> dict:
+    """apply_action() of many traces over their steps, as reconsolidate_many."""
+    action = np.array(s["action"], dtype=object)
+    split, assimilate = action == "SPLIT", action == "ASSIMILATE"
+
+    def step(t: dict, m: int, i: np.ndarray) -> None:
+        t["last_access_ts"][:m], t["access_ema"][:m] = s["ts"][i], 0.99 * t["access_ema"][:m] + 1.0
+        on = np.flatnonzero(assimilate[i])
+        eta = (f.eta_mu / (1 + f.lambda_stability * t["stability"][on]))[:, None]
+        t["z_mu"][on], t["z_sigma_diag"][on] = _pull(t["z_mu"][on], t["z_sigma_diag"][on], s["x"][i[on]], eta, eta, True, f)
+        on = np.flatnonzero(~split[i])
+        t["ctx_mu"][on], t["ctx_sigma_diag"][on] = _pull(t["ctx_mu"][on], t["ctx_sigma_diag"][on], s["c"][i[on]], f.eta_ctx, f.eta_ctx, False, f)
+        t["evidence"][on] = f.evidence_decay * t["evidence"][on] + 1.0
+        _judge_many(t, on, f)
+
+    return _fold_many(t, at, step, lambda k: s["anchor_id"][at[k] : at[k + 1]], f)
+
+
 def option_edge(weight: float, alpha: float, beta: float, exists: bool, temporal: float, successes: list[float], rate: float = 0.15, grow: float = 0.0) -> dict:
     """An option edge after successes in order. One is taken if it exceeds 0.7 and lowers the objective: storage 0.05 *
     0.115, complexity 0.03 * 0.15 and drift 0.08 * (1 - support), where support is the larger of temporal and option. grow:

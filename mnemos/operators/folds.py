@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,43 +12,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemos.config import FIELD, FieldConfig
-from mnemos.kernels import folds, predictor
+from mnemos.kernels import folds, pairs, predictor
 from mnemos.operators import ordered
 from mnemos.sources.stages import Stages, spread
 
 TRACE = "trace_id string, z_mu array<double>, z_sigma_diag array<double>, ctx_mu array<double>, ctx_sigma_diag array<double>, evidence double, stability double, uncertainty double, pred_loss_ema double, access_ema double, last_access_ts double, anchor_reservoir array<string>"
 _COLUMNS = [c.split()[0] for c in TRACE.split(", ")]
 _VECTORS = ("z_mu", "z_sigma_diag", "ctx_mu", "ctx_sigma_diag")
+#: Rows that a task folds together, but for a trace of more.
+BATCH = 1 << 16
 
 
-def _state(row: pd.Series) -> dict:
-    t = {c: row[c] for c in _COLUMNS}
-    return t | {c: np.asarray(t[c], dtype=np.float64) for c in _VECTORS}
-
-
-def _frame(t: dict) -> pd.DataFrame:
-    return pd.DataFrame([[t[c].tolist() if c in _VECTORS else list(t[c]) if c == "anchor_reservoir" else t[c] for c in _COLUMNS]], columns=_COLUMNS)
-
-
-def _fold(traces: DataFrame, steps: DataFrame, one) -> DataFrame:
-    """Traces folded over their steps in (ts, seq) order. Traces are independent; the order inside one is the semantics. A
-    trace of more steps than ordered.CHUNK is folded in chunks that hand on its state. Traces without steps pass by."""
+def _fold(traces: DataFrame, steps: DataFrame, many: Callable[[dict, dict, np.ndarray], dict], names: tuple[str, ...]) -> DataFrame:
+    """Traces folded over their steps (x, c, ts, anchor_id and `names`) in (ts, seq) order. Traces are independent; the order
+    inside one is the semantics. A task takes some BATCH rows of whole traces and folds them together, a step of all of them
+    at a time. A trace of more steps than ordered.CHUNK is folded in chunks that hand on its state. Traces without steps pass by.
+    """
+    vectors, columns = ("x", "c"), ["x", "c", *names, "ts", "anchor_id"]
+
+    def folded(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole traces: a row of each trace, then its steps."""
+        first = np.flatnonzero(np.diff(_codes(rows["trace_id"]), prepend=-1))
+        is_state = rows["_side"].to_numpy() == 0
+        first = first[is_state[first]]  # steps of no trace go
+        if not len(first):
+            return
+        ends = np.append(np.flatnonzero(np.diff(_codes(rows["trace_id"]), prepend=-1)), rows.num_rows)
+        ends = ends[np.searchsorted(ends, first, side="right")]
+        t = pa.Table.from_struct_array(rows["_trace"].combine_chunks().take(pa.array(first)))
+        place, mine = np.flatnonzero(~is_state), np.zeros(rows.num_rows, dtype=np.int64)
+        mine[first] += 1
+        mine[ends[ends < rows.num_rows]] -= 1
+        place = place[np.cumsum(mine)[place] > 0]
+        s = pa.Table.from_struct_array(rows["_step"].combine_chunks().take(pa.array(place)))
+        at = np.append(np.searchsorted(place, first), len(place))
+        (z, wide), (ctx, wide_ctx) = pairs.matrix(t["z_mu"]), pairs.matrix(t["ctx_mu"])
+        var, ctx_var, (x, wide_x), (c, wide_c) = pairs.matrix(t["z_sigma_diag"])[0], pairs.matrix(t["ctx_sigma_diag"])[0], *(pairs.matrix(s[v]) for v in vectors)
+        of = np.repeat(np.arange(len(first)), np.diff(at))
+        if (wide < 0).any() or (wide_ctx < 0).any() or (wide_x != wide[of]).any() or (wide_c != wide_ctx[of]).any():
+            raise ValueError("a step's vectors aren't as wide as its trace's")
+        number = {n: pairs.numbers(t[n]) for n in _COLUMNS if n not in (*_VECTORS, "trace_id", "anchor_reservoir")}
+        reservoir, given = t["anchor_reservoir"].to_pylist(), {n: pairs.numbers(s[n]) if n != "action" else s[n].to_pylist() for n in (*names, "ts")}
+        anchor = s["anchor_id"].to_pylist()
+        for n, k in {*zip(wide.tolist(), wide_ctx.tolist())}:
+            own = np.flatnonzero((wide == n) & (wide_ctx == k))
+            some = own if len(own) < len(wide) else slice(None)
+            i = np.flatnonzero(np.isin(of, own)) if len(own) < len(wide) else np.arange(len(of))
+            state = {"z_mu": z[some, :n], "z_sigma_diag": var[some, :n], "ctx_mu": ctx[some, :k], "ctx_sigma_diag": ctx_var[some, :k], "anchor_reservoir": [reservoir[j] for j in own]} | {m: v[some] for m, v in number.items()}
+            seen = {"x": x[i, :n], "c": c[i, :k], "anchor_id": [anchor[j] for j in i]} | {m: v[i] if m != "action" else [v[j] for j in i] for m, v in given.items()}
+            new = many(state, seen, np.concatenate([[0], np.cumsum(np.diff(at)[own])]))
+            ids = t["trace_id"].combine_chunks().take(pa.array(own))
+            out = {m: pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64())) if v.shape[1] else pa.array([[]] * len(v), pa.list_(pa.float64())) for m, v in new.items() if m in _VECTORS}
+            out |= {m: pa.array(new[m], mask=np.isnan(new[m])) for m in number} | {"trace_id": ids, "anchor_reservoir": pa.array(new["anchor_reservoir"], pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([out[m] for m in _COLUMNS], names=_COLUMNS)
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=_COLUMNS)
-        ordered = right.sort_values(["ts", "seq"], kind="stable").to_dict("records")
-        return _frame(one(_state(left.iloc[0]), [s | {"x": np.asarray(s["x"], dtype=np.float64), "c": np.asarray(s["c"], dtype=np.float64)} for s in ordered]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= BATCH:
+                rows = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(np.diff(_codes(rows["trace_id"]), prepend=-1))[-1])  # the last trace may go on
+                yield from folded(rows.slice(0, cut)) if cut else ()
+                held = rows.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from folded(pa.Table.from_batches(held))
 
     def fold(state: DataFrame, part: DataFrame) -> DataFrame:
-        return spread(state, "trace_id").groupBy("trace_id").cogroup(spread(part, "trace_id").groupBy("trace_id")).applyInPandas(run, TRACE)
+        cast = lambda c: F.col(c).cast(dict(x.split(" ", 1) for x in TRACE.split(", "))[c]).alias(c)
+        step = F.struct(*(F.col(c).cast("array<double>" if c in vectors else "string" if c in ("action", "anchor_id") else "double").alias(c) for c in columns))
+        left = state.select(cast("trace_id"), F.lit(0).alias("_side"), F.struct(*map(cast, _COLUMNS)).alias("_trace"))
+        right = part.select(cast("trace_id"), F.lit(1).alias("_side"), "ts", "seq", step.alias("_step"))
+        both = left.unionByName(right, allowMissingColumns=True).repartition(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), "trace_id")
+        dealt = both.sortWithinPartitions("trace_id", "_side", F.asc_nulls_last("ts"), F.asc_nulls_last("seq"))
+        return dealt.select("trace_id", "_side", "_trace", "_step").mapInArrow(run, TRACE)
 
     return ordered.folded(traces.select(*_COLUMNS), steps, ["trace_id"], ["ts", "seq"], fold)
 
 
+def _codes(ids: pa.ChunkedArray) -> np.ndarray:
+    """Equal ids that follow each other have equal numbers, and others don't."""
+    return ids.combine_chunks().dictionary_encode("encode").indices.to_numpy()
+
+
 def reconsolidate(traces: DataFrame, steps: DataFrame, config: FieldConfig = FIELD) -> DataFrame:
     """steps: trace_id, r, x, c, loss, ts, seq, anchor_id."""
-    return _fold(traces, steps, lambda t, s: folds.reconsolidate(t, s, config))
+    return _fold(traces, steps, lambda t, s, at: folds.reconsolidate_many(t, s, at, config), ("r", "loss"))
 
 
 def apply_actions(traces: DataFrame, decisions: DataFrame, config: FieldConfig = FIELD) -> DataFrame:
@@ -56,13 +105,7 @@ def apply_actions(traces: DataFrame, decisions: DataFrame, config: FieldConfig =
 
     A child of SPLIT takes half its parent's variance (0.4 at most) and the parent's context as it was at batch start.
     """
-
-    def one(t: dict, steps: list[dict]) -> dict:
-        for s in steps:
-            t = folds.apply_action(t, s, config)
-        return t
-
-    kept = _fold(traces, decisions.where("action != 'BIRTH'"), one)
+    kept = _fold(traces, decisions.where("action != 'BIRTH'"), lambda t, s, at: folds.apply_actions_many(t, s, at, config), ("action",))
     old = traces.select("trace_id", F.col("z_sigma_diag").alias("pz"), F.col("ctx_mu").alias("pc"), F.col("ctx_sigma_diag").alias("ps"))
     new = decisions.where("action in ('BIRTH', 'SPLIT')").join(old, "trace_id", "left")
     split = F.col("action") == "SPLIT"
